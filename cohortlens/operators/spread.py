@@ -114,10 +114,11 @@ def exact_medians(
     x: str,
     out: str = "median",
     *,
+    n_out: str | None = None,
     accuracy: int = 50_000,
     reach: float = 1e-4,
 ) -> DataFrame:
-    """Exact median of ``x`` per group, without gathering a group's values.
+    """Exact median of ``x`` per group (and its row count), without gathering a group's values.
 
     A mergeable sketch gives each group a bracket that surely holds its middle values; exact
     counts below the bracket plus the few distinct values inside it then give the true ranks.
@@ -151,10 +152,13 @@ def exact_medians(
             F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_v"))
         )
 
-    middle = upto.groupBy(*keys).agg(at(first_rank).alias("_a"), at(second_rank).alias("_z"))
+    middle = upto.groupBy(*keys, "_n").agg(
+        at(first_rank).alias("_a"), at(second_rank).alias("_z")
+    )
     missed = F.col("_a").isNull() | F.col("_z").isNull()
     value = F.when(missed, F.raise_error(F.lit("median bracket missed its ranks")).cast("double"))
-    return middle.select(*by, value.otherwise((F.col("_a") + F.col("_z")) / 2).alias(out))
+    size = [F.col("_n").alias(n_out)] if n_out else []
+    return middle.select(*by, value.otherwise((F.col("_a") + F.col("_z")) / 2).alias(out), *size)
 
 
 def _attach_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
@@ -164,24 +168,17 @@ def _attach_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> D
         return rows.join(F.broadcast(brackets), keys)  # one row
     total = brackets.agg(F.sum("_n").alias("t"))
     share = F.col("_n") >= HOT_SHARE * total.scalar()
-    hot = brackets.filter(share).withColumn("_hot", F.lit(True))
-    cold = brackets.filter(~share)
-    named = rows.join(F.broadcast(hot), _null_safe(rows, hot, keys), "left").select(
-        *[rows[k] for k in keys], "_x", "_n", "_lo", "_hi", "_hot"
-    )
-    warm = named.filter("_hot").drop("_hot")
-    rest = named.filter(F.col("_hot").isNull()).select(*keys, "_x")
-    cool = rest.join(cold, _null_safe(rest, cold, keys)).select(
-        *[rest[k] for k in keys], "_x", "_n", "_lo", "_hi"
-    )
-    return warm.unionByName(cool)
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
+    brackets = brackets.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    same = F.lit(True)
     for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    columns = [*keys, "_x", "_n", "_lo", "_hi"]
+    hot = brackets.filter(share)
+    tried = rows.join(F.broadcast(hot), same, "left")
+    warm = tried.filter(F.col("_n").isNotNull()).select(columns)
+    rest = tried.filter(F.col("_n").isNull()).select(*keys, "_x")
+    cool = rest.join(brackets.filter(~share), same).select(columns)
+    return warm.unionByName(cool)
 
 
 def global_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
