@@ -127,13 +127,13 @@ def table_records(
     *,
     table_id: str | None = None,
     required: Sequence[str] = (),
+    required_prefix: Sequence[str] = (),
     forbidden: Sequence[str] = (),
 ) -> DataFrame:
     """Body rows as header -> cell and header -> link maps.
 
-    The first row of a table is its header. Tables are picked by id, or by the headers they
-    must and must not have (a required header may be a prefix of the real one, as in
-    'School[a]'). Rows that repeat the header are dropped.
+    The first row of a table is its header. Tables are picked by id, or by the headers (or
+    beginnings of headers) they must and must not have. Rows that repeat the header are dropped.
     """
     if table_id is not None:
         rows = rows.filter(F.col("table_id") == table_id)
@@ -142,7 +142,9 @@ def table_records(
         "page_id", "table_no", F.col("cells").alias("header")
     )
     for name in required:
-        heads = heads.filter(F.exists("header", lambda h, n=name: h.startswith(n)))
+        heads = heads.filter(F.array_contains("header", name))
+    for name in required_prefix:
+        heads = heads.filter(F.exists("header", lambda h: h.startswith(name)))
     for name in forbidden:
         heads = heads.filter(~F.array_contains("header", name))
     body = cleaned.filter(F.col("row_no") > 0).join(heads, ["page_id", "table_no"])
