@@ -22,10 +22,10 @@ def band(
     ``overrides`` are conditions that win before any edge; ``null_label`` names the band of a
     missing value, which stays null by default; ``last`` labels values past every edge.
     """
-    out = None
+    out = F
     for condition, label in overrides:
-        out = (out or F).when(condition, F.lit(label))
-    out = (out or F).when(c.isNull(), F.lit(null_label))
+        out = out.when(condition, F.lit(label))
+    out = out.when(c.isNull(), F.lit(null_label))
     for edge, label in edges:
         out = out.when(c <= edge if inclusive else c < edge, F.lit(label))
     return out.otherwise(F.lit(last))
@@ -79,7 +79,7 @@ def tier_order(
 
 def ordinal_label(order: Column, labels: Sequence[str]) -> Column:
     """Label at a 0-based position; null stays null."""
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), (order + 1).cast("int"))
+    return F.get(F.array(*[F.lit(x) for x in labels]), order.cast("int"))
 
 
 def label_order(c: Column, labels: Sequence[str]) -> Column:

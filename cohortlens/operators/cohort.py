@@ -85,7 +85,7 @@ class Metric:
     unit: str
     value: Callable[[Rules], Column]
     known_only: bool = False
-    keep: Column | None = None
+    keep: Callable[[], Column] | None = None
 
 
 def standard_metrics(c: OutcomeColumns | None = None) -> dict[str, Metric]:
@@ -114,7 +114,7 @@ def standard_metrics(c: OutcomeColumns | None = None) -> dict[str, Metric]:
         Metric("median_bonus", "median", False, "usd", plain(c.money), True),
         Metric("signed_pct", "rate", False, "pct", flag(c.credited)),
         Metric("war_per_player", "mean", True, "war", plain(c.value), True),
-        Metric("years_to_debut", "median", True, "years", plain(c.delay), True, is_true(F.col(c.reached))),
+        Metric("years_to_debut", "median", True, "years", plain(c.delay), True, lambda: is_true(F.col(c.reached))),
     ]
     return {m.key: m for m in metrics}
 
@@ -139,7 +139,7 @@ def metric_values(
     rules = rules or Rules()
     rows = population(df, rules, c) if metric.outcome else df
     if metric.keep is not None:
-        rows = rows.filter(metric.keep)
+        rows = rows.filter(metric.keep())
     rows = rows.withColumn("x", metric.value(rules))
     return rows.filter(F.col("x").isNotNull()) if metric.known_only else rows
 

@@ -234,10 +234,14 @@ def calibration_result(deciles: DataFrame) -> DataFrame:
 
 
 def examples(df: DataFrame, name: str, order: Sequence[Column | str], show: Sequence[str] = ()) -> DataFrame:
-    """(name, example): the first offending rows in a fixed order, as JSON text."""
+    """(name, place, example): the first offending rows in a fixed order, as JSON text."""
     columns = list(show) or df.columns
     first = df.orderBy(*order).limit(MAX_EXAMPLES)
-    return first.select(F.lit(name).alias("name"), F.to_json(F.struct(*columns)).alias("example"))
+    return first.select(
+        F.lit(name).alias("name"),
+        F.monotonically_increasing_id().alias("place"),  # the limit leaves one sorted partition
+        F.to_json(F.struct(*columns)).alias("example"),
+    )
 
 
 def attach_examples(results: DataFrame, found: Sequence[DataFrame]) -> DataFrame:
@@ -247,7 +251,8 @@ def attach_examples(results: DataFrame, found: Sequence[DataFrame]) -> DataFrame
     stacked = found[0]
     for more in found[1:]:
         stacked = stacked.unionByName(more)
-    lists = stacked.groupBy("name").agg(F.sort_array(F.collect_list("example")).alias("examples"))
+    listed = F.sort_array(F.collect_list(F.struct("place", "example")))
+    lists = stacked.groupBy("name").agg(F.transform(listed, lambda e: e["example"]).alias("examples"))
     empty = F.array().cast("array<string>")
     joined = results.join(lists, "name", "left")
     return joined.withColumn("examples", F.coalesce("examples", empty))

@@ -11,6 +11,7 @@ from cohortlens.operators import quality as Q
 from cohortlens.operators.expect import curve_rises, evaluate
 from cohortlens.operators.profile import value_freq
 from cohortlens.operators.report import coverage, share_of_parent
+from cohortlens.session import cut_lineage
 from cohortlens.plans.draft import CLASS_YEARS, GRAIN, OUTCOME_YEARS, TIERS
 
 # Curve columns, limits and the yearly number of rounds.
@@ -123,7 +124,7 @@ def quality_report(fact: DataFrame, source: DataFrame, curve: DataFrame) -> dict
     """
     evaluation = evaluate(fact, GRAIN)
     deciles = evaluation.deciles.filter(F.col("curve") == "exp_mlb_signed").drop("curve")
-    results = run_checks(fact, source, curve, deciles)
+    results = cut_lineage(run_checks(fact, source, curve, deciles))
     open_checks = {r["name"] for r in results.select("name", "status").collect() if r["status"] != "pass"}
     examples = offending_rows(fact, curve, deciles)
     wanted = [df for name, df in examples.items() if name in open_checks]
