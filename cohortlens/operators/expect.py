@@ -1,18 +1,19 @@
 """Expected outcome by position: weighted spline fits, a monotone fallback, and their scores.
 
 Every fit reads (position, rows, hits) counts, so the training data is one reduction of the fact
-table however many rows it has.
+table however many rows it has. All curves and all left-out classes are fitted together: one
+small aggregation per Newton step serves every fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.casts import is_true, null_if
@@ -28,6 +29,10 @@ CLIP = 1e-6
 N_BINS = 10
 REPORT_POSITIONS = (1, 10, 30, 100, 300, 1000)
 
+BASIS = KNOTS + 2  # cubic pieces over KNOTS uniform knots
+MAX_STEPS = 60
+STEP_TOLERANCE = 1e-9
+
 
 @dataclass(frozen=True)
 class CurveSpec:
@@ -62,13 +67,13 @@ def training_counts(
     return df.groupBy(*by).agg(*aggs)
 
 
-def spline_basis(z: Column, low: float, high: float, knots: int = KNOTS) -> list[Column]:
+def spline_basis(z: Column, low: Column, high: Column) -> list[Column]:
     """Uniform cubic B-spline values of ``z``, constant beyond [low, high].
 
     Each basis function is the cardinal cubic bump moved to its own knot.
     """
-    cells = knots - 1
-    u = (F.least(F.greatest(z, F.lit(low)), F.lit(high)) - low) / ((high - low) / cells)
+    cells = KNOTS - 1
+    u = (F.least(F.greatest(z, low), high) - low) / ((high - low) / cells)
 
     def bump(v: Column) -> Column:
         far = F.abs(v - 2)
@@ -76,96 +81,182 @@ def spline_basis(z: Column, low: float, high: float, knots: int = KNOTS) -> list
         edge = (2 - far) * (2 - far) * (2 - far) / 6
         return F.when(far < 1, near).when(far < 2, edge).otherwise(F.lit(0.0))
 
-    return [bump(u - j + 3) for j in range(cells + 3)]
+    return [bump(u - j + 3) for j in range(BASIS)]
 
 
 @dataclass(frozen=True)
 class Fit:
-    """A fitted curve that adds its probability to any frame with a position column."""
+    """A fitted curve: a constant, a spline on log(position), or a decreasing step fit."""
 
     method: str
     mean: float = 0.0
     low: float = 0.0
-    high: float = 0.0
-    intercept: float = 0.0
-    weights: tuple[float, ...] = ()
+    high: float = 1.0
+    beta: tuple[float, ...] = (0.0,) * (BASIS + 1)
     steps: IsotonicRegressionModel | None = None
 
     def predict(self, df: DataFrame, x: str, out: str) -> DataFrame:
+        """Adds the curve's probability in place."""
         if self.method == "constant":
             return df.withColumn(out, F.lit(self.mean))
         if self.method == "isotonic":
             model = self.steps.setFeaturesCol("_x").setPredictionCol(out)
             return model.transform(df.withColumn("_x", F.col(x).cast("double"))).drop("_x")
-        score = F.lit(self.intercept)
-        basis = spline_basis(F.log(F.col(x).cast("double")), self.low, self.high)
-        for w, b in zip(self.weights, basis, strict=True):
-            score = score + w * b
-        return df.withColumn(out, 1 / (1 + F.exp(-score)))
-
-
-def fit_curve(
-    counts: DataFrame,
-    last: int,
-    *,
-    x: str = "x",
-    n: str = "n",
-    k: str = "k",
-    max_rise: float = MAX_RISE,
-) -> Fit:
-    """Fits P(outcome) by position from (x, n, k) counts.
+        z = F.log(F.col(x).cast("double"))
+        basis = spline_basis(z, F.lit(self.low), F.lit(self.high))
+        return df.withColumn(out, _probability([F.lit(b) for b in self.beta], basis))
+
+
+def _score(beta: Sequence[Column], basis: Sequence[Column]) -> Column:
+    out = beta[0]
+    for w, b in zip(beta[1:], basis, strict=True):
+        out = out + w * b
+    return out
+
+
+def _probability(beta: Sequence[Column], basis: Sequence[Column]) -> Column:
+    return 1 / (1 + F.exp(-_score(beta, basis)))
+
+
+def fit_many(cells: DataFrame, last: int, *, max_rise: float = MAX_RISE) -> dict[str, Fit]:
+    """A fit per value of ``fit`` from (fit, x, n, k) cells.
 
     A penalised logistic curve over a spline of log(x); when it climbs more than ``max_rise``
     above an earlier value anywhere on 1..last, a decreasing step fit instead; the plain mean
-    when there is only one outcome or one position. Only sums and coefficients reach the driver.
+    when there is only one outcome or one position. The number of fits is the number of curves
+    times classes; only their sums and coefficients reach the driver.
     """
-    cells = counts.select(
-        F.col(x).cast("double").alias("x"), F.col(n).alias("n"), F.col(k).alias("k")
-    ).filter("n > 0")
-    z = F.log("x")
-    size, hits, low, high = cells.agg(F.sum("n"), F.sum("k"), F.min(z), F.max(z)).first()
-    if not size or not hits or hits == size or low == high:
-        return Fit("constant", mean=hits / size if size else 0.0)
-    sides = F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("k").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("k")).cast("double").alias("weight")),
+    cells = cut_lineage(
+        cells.filter("n > 0").select("fit", F.col("x").cast("double").alias("x"), "n", "k")
     )
-    training = (
-        cells.select(
-            array_to_vector(F.array(*spline_basis(z, low, high))).alias("features"),
-            F.explode(sides).alias("s"),
-        )
-        .select("features", "s.label", "s.weight")
-        .filter("weight > 0")
+    z = F.log("x")
+    found = cells.groupBy("fit").agg(
+        F.sum("n").alias("size"), F.sum("k").alias("hits"), F.min(z).alias("low"), F.max(z).alias("high")
     )
-    model = LogisticRegression(
-        weightCol="weight",
-        regParam=1 / (INVERSE_PENALTY * size),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=1000,
-        tol=1e-10,
-    ).fit(training)
-    fit = Fit(
-        "logistic_spline",
-        low=low,
-        high=high,
-        intercept=float(model.intercept),
-        weights=tuple(float(w) for w in model.coefficients),
+    fits, spans = {}, {}
+    for r in found.collect():
+        if r["hits"] in (0, r["size"]) or r["low"] == r["high"]:
+            fits[r["fit"]] = Fit("constant", mean=r["hits"] / r["size"])
+        else:
+            spans[r["fit"]] = (r["low"], r["high"])
+    if spans:
+        betas = _newton(cells, spans)
+        splines = {
+            key: Fit("logistic_spline", low=low, high=high, beta=betas[key])
+            for key, (low, high) in spans.items()
+        }
+        climbs = _climbs(cells, splines, last)
+        for key, fit in splines.items():
+            fits[key] = fit if climbs[key] <= max_rise else _isotonic(cells, key)
+    return fits
+
+
+def _newton(cells: DataFrame, spans: Mapping[str, tuple[float, float]]) -> dict[str, tuple]:
+    """Coefficients of every penalised fit; each step is one aggregation over the cells."""
+    spark = cells.sparkSession
+    names = ["fit", "low", "high"]
+    knots = _local(spark, names, [(k, lo, hi) for k, (lo, hi) in spans.items()])
+    basis = spline_basis(F.log("x"), F.col("low"), F.col("high"))
+    rows = cells.join(F.broadcast(knots), "fit")  # one row per fit
+    rows = rows.select("fit", "n", "k", *[b.alias(f"b{j}") for j, b in enumerate(basis, start=1)])
+    rows = cut_lineage(rows.withColumn("b0", F.lit(1.0)))
+
+    size = BASIS + 1
+    ridge = np.full(size, 1 / INVERSE_PENALTY)
+    ridge[0] = 0.0  # the intercept is not penalised
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = [F.expr("sum(n * (greatest(s, 0D) + log1p(exp(-abs(s)))) - k * s)").alias("loss")]
+    sums += [F.expr(f"sum((k - n * p) * b{i})").alias(f"g{i}") for i in range(size)]
+    sums += [F.expr(f"sum(v * b{i} * b{j})").alias(f"h{i}_{j}") for i, j in pairs]
+    score = " + ".join(f"w{j} * b{j}" for j in range(size))
+    weights = ["fit", *[f"w{j}" for j in range(size)]]
+
+    best = {k: (np.inf, np.zeros(size), np.zeros(size)) for k in spans}  # loss, beta, step
+    trial = {k: np.zeros(size) for k in spans}
+    done: dict[str, tuple] = {}
+    for _ in range(MAX_STEPS):
+        at = _local(spark, weights, [(k, *map(float, b)) for k, b in trial.items()])
+        scored = rows.join(F.broadcast(at), "fit").selectExpr("*", f"{score} AS s")
+        scored = scored.selectExpr("*", "1 / (1 + exp(-s)) AS p").selectExpr("*", "n * p * (1 - p) AS v")
+        for r in scored.groupBy("fit").agg(*sums).collect():
+            key, beta = r["fit"], trial[r["fit"]]
+            loss = r["loss"] + 0.5 * float(ridge @ (beta * beta))
+            kept_loss, kept, step = best[key]
+            if loss > kept_loss + 1e-9 * abs(kept_loss):  # overshot: try half the step
+                step = step / 2
+            else:
+                hessian = np.diag(ridge)
+                for i, j in pairs:
+                    hessian[i, j] += r[f"h{i}_{j}"]
+                    hessian[j, i] = hessian[i, j]
+                gradient = np.array([r[f"g{i}"] for i in range(size)]) - ridge * beta
+                kept_loss, kept = loss, beta
+                step = np.linalg.solve(hessian, gradient)
+            best[key] = (kept_loss, kept, step)
+            trial[key] = kept + step
+            if np.max(np.abs(step)) < STEP_TOLERANCE:
+                done[key] = tuple(float(v) for v in trial.pop(key))
+        if not trial:
+            return done
+    raise RuntimeError(f"no convergence for {sorted(trial)}")
+
+
+def _local(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A few rows, one per fit, as a relation the planner sees the size of."""
+    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows)], names=list(names)))
+
+
+def _climbs(cells: DataFrame, fits: Mapping[str, Fit], last: int) -> dict[str, float]:
+    """Largest climb above an earlier value per fit, over the whole grid."""
+    keys = F.array(*[F.lit(k) for k in fits])
+    grid = position_grid(cells, last).select("x", F.explode(keys).alias("fit"))
+    curve = cut_lineage(predict_each(grid, fits, "x", "p"))
+    risen = rise_over_running_min(curve, "x", ["p"], by=["fit"])
+    return {r["fit"]: r["m"] for r in risen.groupBy("fit").agg(F.max("rise_p").alias("m")).collect()}
+
+
+def _isotonic(cells: DataFrame, key: str) -> Fit:
+    rates = cells.filter(F.col("fit") == key).select(
+        "x", (F.col("k") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight")
     )
-    if _climb(fit, counts, last) <= max_rise:
-        return fit
-    steps = IsotonicRegression(
+    trained = IsotonicRegression(
         isotonic=False, featuresCol="x", labelCol="rate", weightCol="weight"
-    ).fit(
-        cells.select("x", (F.col("k") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight"))
+    ).fit(rates)
+    return Fit("isotonic", steps=trained)
+
+
+def predict_each(df: DataFrame, fits: Mapping[str, Fit], x: str, out: str) -> DataFrame:
+    """Adds the probability of the fit each row names in ``fit``."""
+    size = BASIS + 1
+    plain = [(k, f.method == "constant", f.mean, f.low, f.high, *f.beta)
+             for k, f in fits.items() if f.method != "isotonic"]
+    stepped = {k: f for k, f in fits.items() if f.method == "isotonic"}
+    names = ["fit", "_flat", "_mean", "_low", "_high", *[f"_w{j}" for j in range(size)]]
+    parts = []
+    if plain:
+        table = _local(df.sparkSession, names, plain)
+        joined = df.join(F.broadcast(table), "fit")  # one row per fit
+        basis = spline_basis(F.log(F.col(x).cast("double")), F.col("_low"), F.col("_high"))
+        p = _probability([F.col(f"_w{j}") for j in range(size)], basis)
+        joined = joined.withColumn(out, F.when(F.col("_flat"), F.col("_mean")).otherwise(p))
+        parts.append(joined.select(*df.columns, out))
+    for key, fit in stepped.items():
+        parts.append(fit.predict(df.filter(F.col("fit") == key), x, out).select(*df.columns, out))
+    return _stack(parts)
+
+
+def fit_curve(counts: DataFrame, last: int, *, x: str = "x", n: str = "n", k: str = "k") -> Fit:
+    """One fit from (x, n, k) counts."""
+    cells = counts.select(
+        F.lit("one").alias("fit"), F.col(x).alias("x"), F.col(n).alias("n"), F.col(k).alias("k")
     )
-    return Fit("isotonic", steps=steps)
+    return fit_many(cells, last).get("one", Fit("constant"))
 
 
-def _climb(fit: Fit, counts: DataFrame, last: int) -> float:
-    curve = fit.predict(position_grid(counts, last), "x", "p")
-    return rise_over_running_min(curve, "x", ["p"]).agg(F.max("rise_p")).first()[0] or 0.0
+def curve_cells(counts: DataFrame, specs: Sequence[CurveSpec], x: str) -> DataFrame:
+    """Wide counts per position as long (fit, x, n, k) cells, one fit per curve."""
+    long = counts.select(F.col(x).alias("x"), F.explode(_curve_entries(specs)).alias("e"))
+    return long.select(F.col("e.curve").alias("fit"), "x", "e.n", "e.k")
 
 
 def position_grid(df: DataFrame, last: int, x: str = "x") -> DataFrame:
@@ -180,10 +271,8 @@ def fit_curves(
     specs = specs or standard_curves(c)
     counts = cut_lineage(training_counts(df, specs, [c.sequence], c))
     last = counts.agg(F.max(c.sequence)).first()[0]
-    fits = {
-        s.name: fit_curve(counts, last, x=c.sequence, n=f"n_{s.name}", k=f"k_{s.name}") for s in specs
-    }
-    return fits, last
+    fits = fit_many(curve_cells(counts, specs, c.sequence), last)
+    return {s.name: fits.get(s.name, Fit("constant")) for s in specs}, last
 
 
 def curve_table(df: DataFrame, fits: dict[str, Fit], last: int, x: str) -> DataFrame:
@@ -227,27 +316,46 @@ def scores(cells: DataFrame, p: str | Column, n: str = "n", k: str = "k") -> Dat
 
 
 def leave_one_out(
-    counts: DataFrame, last: int, *, fold: str, x: str, n: str, k: str, out: str = "pred"
+    counts: DataFrame, specs: Sequence[CurveSpec], last: int, *, fold: str, x: str, out: str = "pred"
 ) -> DataFrame:
-    """Each fold's cells predicted by a curve fitted on all other folds.
+    """Each class's cells predicted by curves fitted on all other classes: (curve, fold, x, n, k).
 
-    ``counts`` holds one row per (fold, x). The loop runs once per fold, a handful of classes.
+    ``counts`` holds one row per (fold, x) with the counts of every curve. Each cell trains the
+    fits of all other classes, a handful, and all those fits are solved together.
     """
-    folds = [r[0] for r in counts.filter(F.col(n) > 0).select(fold).distinct().orderBy(fold).collect()]
-    parts = None
-    for f in folds:
-        others = (
-            counts.filter(F.col(fold) != f)
-            .groupBy(F.col(x).alias("x"))
-            .agg(F.sum(n).alias("n"), F.sum(k).alias("k"))
-        )
-        fit = fit_curve(others, last)
-        held = counts.filter((F.col(fold) == f) & (F.col(n) > 0)).select(
-            fold, x, F.col(n).alias("n"), F.col(k).alias("k")
-        )
-        part = fit.predict(held, x, out)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    folds = [r[0] for r in counts.select(fold).distinct().orderBy(fold).collect()]
+    long = (
+        counts.select(fold, F.col(x).alias("x"), F.explode(_curve_entries(specs)).alias("e"))
+        .select(fold, "x", "e.curve", "e.n", "e.k")
+        .filter("n > 0")
+    )
+
+    def named(held):
+        return F.concat_ws("|", "curve", held.cast("string"))
+
+    others = F.explode(F.array_except(F.array(*[F.lit(f) for f in folds]), F.array(fold)))
+    cells = long.select("x", "n", "k", "curve", others.alias("_held"))
+    cells = cells.groupBy(named(F.col("_held")).alias("fit"), "x").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k")
+    )
+    fits = fit_many(cells, last)
+    for s in specs:  # a class no other class can train keeps the empty curve
+        for f in folds:
+            fits.setdefault(f"{s.name}|{f}", Fit("constant"))
+    held = long.withColumn("fit", named(F.col(fold)))
+    predicted = predict_each(held, fits, "x", out)
+    return predicted.select("curve", fold, F.col("x").alias(x), "n", "k", out)
+
+
+def _curve_entries(specs: Sequence[CurveSpec]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(s.name).alias("curve"), F.col(f"n_{s.name}").alias("n"), F.col(f"k_{s.name}").alias("k")
+            )
+            for s in specs
+        ]
+    )
 
 
 def calibration(
@@ -282,24 +390,27 @@ def evaluate(
     c = c or OutcomeColumns()
     specs = list(specs or standard_curves(c))
     by_class = cut_lineage(training_counts(df, specs, [c.period, c.sequence], c))
-    last = by_class.agg(F.max(c.sequence)).first()[0]
-    reports, deciles, fits = [], [], {}
+    last, cells = by_class.agg(F.max(c.sequence)).first()[0], curve_cells(by_class, specs, c.sequence)
+    cells = cut_lineage(cells.groupBy("fit", "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    fits = fit_many(cells, last)
+    held_out = cut_lineage(leave_one_out(by_class, specs, last, fold=c.period, x=c.sequence))
+    sizes = {
+        r["fit"]: (r["n"], r["k"])
+        for r in cells.groupBy("fit").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
+    }
+    reports, deciles = [], []
     for s in specs:
-        n, k = f"n_{s.name}", f"k_{s.name}"
-        cells = by_class.groupBy(F.col(c.sequence).alias("x")).agg(
-            F.sum(n).alias("n"), F.sum(k).alias("k")
-        )
-        fits[s.name] = fit = fit_curve(cells, last)
-        held_out = leave_one_out(by_class, last, fold=c.period, x=c.sequence, n=n, k=k)
-        size, hits = cells.agg(F.sum("n"), F.sum("k")).first()
+        fit = fits.setdefault(s.name, Fit("constant"))
+        size, hits = sizes[s.name]
         base_rate = hits / size if size else 0.0
+        own = cells.filter(F.col("fit") == s.name)
+        unseen = held_out.filter(F.col("curve") == s.name)
         scored = {
-            "baseline": scores(cells, F.lit(base_rate)),
-            "in_sample": scores(fit.predict(cells, "x", "p"), "p"),
+            "baseline": scores(own, F.lit(base_rate)),
+            "in_sample": scores(fit.predict(own, "x", "p"), "p"),
+            "leave_one_class_out": scores(unseen, "pred"),
         }
-        if held_out is not None:
-            scored["leave_one_class_out"] = scores(held_out, "pred")
-            deciles.append(_held_out_deciles(df, held_out, s, grain, c))
+        deciles.append(_held_out_deciles(df, unseen, s, grain, c))
         for kind, table in scored.items():
             reports.append(
                 table.select(

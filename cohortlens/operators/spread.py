@@ -219,21 +219,25 @@ def equal_count_bins(
 
 
 def rise_over_running_min(
-    df: DataFrame, position: str, values: Sequence[str], block: int = 4096
+    df: DataFrame,
+    position: str,
+    values: Sequence[str],
+    block: int = 4096,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Adds ``rise_<value>``: how far each value lies above the lowest one at or before it.
 
-    ``position`` is a unique whole number. The running minimum is taken inside blocks of
-    positions, below the minimum of all earlier blocks, so no task sees the whole series.
+    ``position`` is a whole number, unique within ``by``. The running minimum is taken inside
+    blocks of positions, below the minimum of all earlier blocks, so no task sees a whole series.
     """
     blocked = df.withColumn("_block", F.floor(F.col(position) / block))
-    lows = blocked.groupBy("_block").agg(*[F.min(v).alias(f"_low_{v}") for v in values])
-    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    lows = blocked.groupBy(*by, "_block").agg(*[F.min(v).alias(f"_low_{v}") for v in values])
+    earlier = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     floors = lows.select(
-        "_block", *[F.min(f"_low_{v}").over(earlier).alias(f"_floor_{v}") for v in values]
+        *by, "_block", *[F.min(f"_low_{v}").over(earlier).alias(f"_floor_{v}") for v in values]
     )
-    inside = W.partitionBy("_block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    joined = blocked.join(floors, "_block")
+    inside = W.partitionBy(*by, "_block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    joined = blocked.join(floors, [*by, "_block"])
     rises = [
         (F.col(v) - F.least(F.min(v).over(inside), F.col(f"_floor_{v}"))).alias(f"rise_{v}")
         for v in values

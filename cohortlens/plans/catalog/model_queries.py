@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import expect, spread, stats
 from cohortlens.plans.catalog.cohort_queries import MEAN_HI, MEAN_LO, METRICS
 from cohortlens.plans.catalog.registry import query, r, round_columns
-from cohortlens.plans.orders import COLUMNS, FACT_SQL, order_outcomes
+from cohortlens.plans.orders import COLUMNS, FACT_SQL, order_outcomes, table
 from cohortlens.session import cut_lineage
 
 CURVES = expect.standard_curves(COLUMNS)
@@ -75,8 +75,6 @@ def fit_scores(spark, sf):
          ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS bin FROM lineitem"""
 )
 def equal_count_bins(spark, sf):
-    from cohortlens.plans.orders import table
-
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     )
@@ -100,17 +98,14 @@ def calibration_deciles(spark, sf):
 
 @query()
 def leave_one_class_out(spark, sf):
-    spec = CURVES[0]
     counts = cut_lineage(
-        expect.training_counts(order_outcomes(spark, sf), [spec], ["class_year", "day_seq"], COLUMNS)
-    )
-    held_out = expect.leave_one_out(
-        counts, 366, fold="class_year", x="day_seq", n=f"n_{spec.name}", k=f"k_{spec.name}"
+        expect.training_counts(order_outcomes(spark, sf), CURVES, ["class_year", "day_seq"], COLUMNS)
     )
+    held_out = expect.leave_one_out(counts, CURVES, 366, fold="class_year", x="day_seq")
     return round_columns(held_out, "pred", 5)
 
 
 @query()
 def fit_report(spark, sf):
     fact = cut_lineage(order_outcomes(spark, sf))
-    return expect.evaluate(fact, ["order_key"], CURVES[:2], COLUMNS).report
+    return expect.evaluate(fact, ["order_key"], CURVES, COLUMNS).report
