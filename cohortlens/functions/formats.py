@@ -12,33 +12,36 @@ def _or_dash(value: Column, text: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit(DASH)).otherwise(text)
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """Fixed decimals, exact ties to the even digit, no thousands separators."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
+
+
 def pct(x: Column) -> Column:
     """0.29 -> '29.0%'."""
-    return _or_dash(x, F.format_string("%.1f%%", 100 * x))
+    return _or_dash(x, F.concat(_fixed(100 * x, 1), F.lit("%")))
 
 
 def pct_short(x: Column) -> Column:
     """No decimals from 9.5 % up, one below."""
-    long = F.format_string("%.0f%%", 100 * x)
-    return _or_dash(x, F.when(F.abs(x) >= 0.095, long).otherwise(F.format_string("%.1f%%", 100 * x)))
+    text = F.when(F.abs(x) >= 0.095, _fixed(100 * x, 0)).otherwise(_fixed(100 * x, 1))
+    return _or_dash(x, F.concat(text, F.lit("%")))
 
 
 def usd(x: Column) -> Column:
     """1200000 -> '$1.2M', 350000 -> '$350k', 800 -> '$800'."""
-    x = x.cast("double")
-    millions = F.concat(
-        F.lit("$"), F.regexp_replace(F.format_string("%.1f", x / 1e6), r"\.0$", ""), F.lit("M")
-    )
+    millions = F.concat(F.regexp_replace(_fixed(x / 1e6, 1), r"\.0$", ""), F.lit("M"))
     text = (
         F.when(F.bround(x / 1e3) >= 1000, millions)
-        .when(x >= 1e3, F.format_string("$%.0fk", x / 1e3))
-        .otherwise(F.format_string("$%.0f", x))
+        .when(x >= 1e3, F.concat(_fixed(x / 1e3, 0), F.lit("k")))
+        .otherwise(_fixed(x, 0))
     )
-    return _or_dash(x, text)
+    return _or_dash(x, F.concat(F.lit("$"), text))
 
 
 def one_decimal(x: Column, suffix: str = "") -> Column:
-    return _or_dash(x, F.format_string("%.1f" + suffix, x))
+    return _or_dash(x, F.concat(_fixed(x, 1), F.lit(suffix)))
 
 
 def years(x: Column) -> Column:
@@ -47,7 +50,8 @@ def years(x: Column) -> Column:
 
 def signed(x: Column, suffix: str = "", digits: int = 1) -> Column:
     """'+2.8' or '−3.9' with a true minus sign."""
-    return _or_dash(x, F.replace(F.format_string(f"%+.{digits}f{suffix}", x), F.lit("-"), F.lit("−")))
+    plus = F.when(x >= 0, F.lit("+")).otherwise(F.lit(""))
+    return _or_dash(x, F.replace(F.concat(plus, _fixed(x, digits), F.lit(suffix)), F.lit("-"), F.lit("−")))
 
 
 def points(x: Column) -> Column:

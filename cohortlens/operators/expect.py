@@ -323,12 +323,12 @@ def leave_one_out(
     ``counts`` holds one row per (fold, x) with the counts of every curve. Each cell trains the
     fits of all other classes, a handful, and all those fits are solved together.
     """
-    folds = [r[0] for r in counts.select(fold).distinct().orderBy(fold).collect()]
     long = (
         counts.select(fold, F.col(x).alias("x"), F.explode(_curve_entries(specs)).alias("e"))
         .select(fold, "x", "e.curve", "e.n", "e.k")
         .filter("n > 0")
     )
+    folds = [r[0] for r in long.select(fold).distinct().orderBy(fold).collect()]
 
     def named(held):
         return F.concat_ws("|", "curve", held.cast("string"))

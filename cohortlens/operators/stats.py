@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.intervals import direction, mean_interval, wilson
-from cohortlens.operators.cohort import Metric, OutcomeColumns, Rules, metric_values
+from cohortlens.operators.cohort import (
+    Metric,
+    OutcomeColumns,
+    Rules,
+    in_population,
+    metric_values,
+)
 from cohortlens.operators.spread import exact_medians
 
 
@@ -65,6 +71,57 @@ def stat(
     return stat_of_values(metric_values(df, metric, rules, c), by, metric.kind)
 
 
+def stat_table(
+    df: DataFrame,
+    metrics: Sequence[Metric],
+    rules: Rules | None = None,
+    c: OutcomeColumns | None = None,
+) -> DataFrame:
+    """Several metrics of one cohort: (metric, value, lo, hi, n).
+
+    Rates and means share a single pass; the medians share another.
+    """
+    rules = rules or Rules()
+    inside = in_population(rules, c)
+    defined = {}
+    for m in metrics:
+        x = m.value(rules)
+        keep = F.lit(True) if m.keep is None else m.keep()
+        defined[m.key] = F.when(keep & inside if m.outcome else keep, x)
+    sums = [m for m in metrics if m.kind != "median"]
+    out = None
+    if sums:
+        wide = df.agg(
+            *[F.count(defined[m.key]).alias(f"n_{m.key}") for m in sums],
+            *[F.sum(defined[m.key]).alias(f"t_{m.key}") for m in sums],
+            *[F.avg(defined[m.key]).alias(f"m_{m.key}") for m in sums],
+            *[F.stddev_samp(defined[m.key]).alias(f"s_{m.key}") for m in sums],
+        )
+        entries = []
+        for m in sums:
+            n, total = F.col(f"n_{m.key}"), F.col(f"t_{m.key}")
+            if m.kind == "rate":
+                lo, hi = wilson(total, n)
+            else:
+                lo, hi = mean_interval(F.col(f"m_{m.key}"), F.col(f"s_{m.key}"), n)
+            entries.append(
+                F.struct(
+                    F.lit(m.key).alias("metric"), F.col(f"m_{m.key}").alias("value"), lo.alias("lo"),
+                    hi.alias("hi"), n.alias("n"),
+                )
+            )
+        out = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    medians = [m for m in metrics if m.kind == "median"]
+    if medians:
+        entries = [F.struct(F.lit(m.key).alias("metric"), defined[m.key].alias("x")) for m in medians]
+        values = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("x IS NOT NULL")
+        found = stat_of_values(values, ["metric"], "median")
+        wanted = df.sparkSession.createDataFrame([(m.key,) for m in medians], "metric string")
+        found = wanted.join(found, "metric", "left").na.fill(0, ["n"])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def ranking(
     df: DataFrame,
     by: str,

@@ -132,11 +132,8 @@ def _all_metrics_sql(credited: bool) -> str:
 
 def _all_metrics(spark, sf, rules):
     chosen = cohort.apply_filter(order_outcomes(spark, sf), COHORT)
-    out = None
-    for key, metric in METRICS.items():
-        one = stats.stat(chosen, metric, rules, c=COLUMNS).withColumn("metric", F.lit(key))
-        out = one if out is None else out.unionByName(one)
-    return round_columns(out, "value lo hi", 4).select("metric", "value", "lo", "hi", "n")
+    table_ = stats.stat_table(chosen, list(METRICS.values()), rules, COLUMNS)
+    return round_columns(table_, "value lo hi", 4)
 
 
 @query(_all_metrics_sql(True))

@@ -53,11 +53,11 @@ def evidence_classify(spark, sf):
 
 @query(
     """WITH probe AS (SELECT c_custkey AS entity, CAST(c_nationkey AS VARCHAR) AS state,
-           CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) AS k1, c_mktsegment AS k2 FROM customer),
+           CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) AS k1, c_mktsegment AS k2 FROM customer),
        keys AS (SELECT entity, state, 'raw' AS via, 0 AS via_rank, unnest([k1, 'x' || k1]) AS key FROM probe
                 UNION ALL SELECT entity, state, 'other', 1, k2 FROM probe),
        cand AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(s_nationkey AS VARCHAR) END AS state,
-                  unnest([CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR), CASE WHEN s_acctbal > 9500 THEN 'BUILDING' ELSE 'none' END]) AS key FROM supplier),
+                  unnest([CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR), CASE WHEN s_acctbal > 9500 THEN 'BUILDING' ELSE 'none' END]) AS key FROM supplier),
        hits AS (SELECT entity, via, via_rank, key, count(DISTINCT id) AS n, min(id) AS id FROM keys JOIN cand USING (key)
                 WHERE keys.state IS NULL OR cand.state IS NULL OR keys.state = cand.state GROUP BY ALL),
        best AS (SELECT entity, min(row(via_rank, -length(key), key, id, via)) FILTER (WHERE n = 1) AS c, max(n) AS most
@@ -66,7 +66,7 @@ def evidence_classify(spark, sf):
        FROM (SELECT DISTINCT entity FROM keys) keys LEFT JOIN best USING (entity)"""
 )
 def key_match(spark, sf):
-    amount = F.col("c_acctbal").cast("decimal(12,0)").cast("string")
+    amount = F.floor("c_acctbal").cast("string")
     tries = F.array(
         F.struct(F.lit("raw").alias("via"), F.lit(0).alias("via_rank"), amount.alias("key")),
         F.struct(F.lit("raw").alias("via"), F.lit(0).alias("via_rank"), F.concat(F.lit("x"), amount).alias("key")),
@@ -78,7 +78,7 @@ def key_match(spark, sf):
     ).select("entity", "state", "t.*")
     listed = F.when(F.col("s_suppkey") % 5 != 0, F.col("s_nationkey").cast("string"))
     keys = F.array(
-        F.col("s_acctbal").cast("decimal(12,0)").cast("string"),
+        F.floor("s_acctbal").cast("string"),
         F.when(F.col("s_acctbal") > 9500, "BUILDING").otherwise("none"),
     )
     candidates = table(spark, sf, "supplier").select(
@@ -108,13 +108,13 @@ def verified_join(spark, sf):
 
 @query(
     """SELECT doc_id,
-         CASE WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') THEN 'contact'
+         CASE WHEN regexp_matches(text, '[A-Za-z0-9._]@[A-Za-z0-9]') THEN 'contact'
               WHEN regexp_matches(text, '(?i)license|copyright') THEN 'notice'
               WHEN regexp_matches(text, '\\bthe\\b') THEN 'english' END AS label FROM documents"""
 )
 def rule_classify(spark, sf):
     rules = [
-        ("[A-Za-z0-9._]+@[A-Za-z0-9.]+", "contact"),
+        ("[A-Za-z0-9._]@[A-Za-z0-9]", "contact"),
         ("(?i)license|copyright", "notice"),
         (r"\bthe\b", "english"),
     ]
@@ -128,16 +128,15 @@ def rule_classify(spark, sf):
            '[.''’ʻ]', '', 'g'), '[^a-z0-9]+', ' ', 'g'),
            '\\b(at|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), '\\bst\\b', 'state', 'g')) AS key
        FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)
-       WHERE NOT regexp_matches(lower(strip_accents(title)), '\\b(suny|unc|u|univ|col|mt|mount)\\b')
-         AND NOT regexp_matches(lower(strip_accents(title)), '^[^a-z0-9]*((the|at)[^a-z0-9]+)*st\\b')"""
+       WHERE NOT regexp_matches(' ' || regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g') || ' ',
+                                ' (suny|unc|u|univ|col|mt|mount) |^ +((the|at) )*st ')"""
 )
 def entity_keys(spark, sf):
     pages = table(spark, sf, "pages")
     titles = pages.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
-    keyed = titles.withColumn("folded", F.lower(T.fold_accents(F.col("title"))))
-    plain = ~F.col("folded").rlike(r"\b(suny|unc|u|univ|col|mt|mount)\b") & ~F.col("folded").rlike(
-        r"^[^a-z0-9]*((the|at)[^a-z0-9]+)*st\b"
-    )
+    words = F.regexp_replace(F.lower(T.fold_accents(F.col("title"))), "[^a-z0-9]+", " ")
+    keyed = titles.withColumn("words", F.concat(F.lit(" "), words, F.lit(" ")))
+    plain = ~F.col("words").rlike(" (suny|unc|u|univ|col|mt|mount) |^ +((the|at) )*st ")
     return keyed.filter(plain).select("page_id", "title", T.entity_key(F.col("title")).alias("key"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import bands, casts, dates, formats
 from cohortlens.operators import spread, staging
 from cohortlens.plans.catalog.registry import query, r, round_columns, rounded
-from cohortlens.plans.orders import FACT_SQL, line_totals, order_outcomes, table
+from cohortlens.plans.orders import FACT_SQL, build_outcomes, line_totals, table
 
 
 @query(
@@ -138,7 +138,7 @@ def band_columns(spark, sf):
            CAST(tier_order AS INTEGER) AS tier_order, tier, money_band FROM fact"""
 )
 def outcome_fact(spark, sf):
-    return order_outcomes(spark, sf).select(
+    return build_outcomes(spark, sf).select(
         "order_key", "is_final", "credited", "eligible", "reached", "value", "delay", "high",
         "tier_order", "tier", "money_band",
     )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import bands, casts, dates
 from cohortlens.operators.cohort import OutcomeColumns
-from cohortlens.operators.spread import flag_last, lookup_join
+from cohortlens.operators.spread import flag_last
+from cohortlens.session import written_once
 
 COLUMNS = OutcomeColumns(
     period="class_year",
@@ -46,12 +47,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def line_totals(lines: DataFrame) -> DataFrame:
     """Per order: lines, returned lines, exact net and gross amounts, first shipment."""
-    net = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long")
+    net = F.rint(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10000).cast("long")
     return lines.groupBy(F.col("l_orderkey").alias("order_key")).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
         F.sum(net).alias("net_e4"),
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("gross_e2"),
+        F.sum(F.rint(F.col("l_extendedprice") * 100).cast("long")).alias("gross_e2"),
         F.min("l_shipdate").alias("first_ship"),
     )
 
@@ -103,6 +104,11 @@ def expected_by_block(rows: DataFrame) -> DataFrame:
 
 
 def order_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact table, written once per application and then read back like any table."""
+    return written_once(spark, ("order_outcomes", folder), lambda: build_outcomes(spark, folder))
+
+
+def build_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """The fact table: one row per order."""
     rows = order_rows(spark, folder)
     final = F.col("is_final")
@@ -137,7 +143,7 @@ def order_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     rows = rows.withColumn("tier", bands.ordinal_label(F.col("tier_order"), TIERS))
-    rows = lookup_join(rows, expected_by_block(rows), ["block"], spread=["order_key"])
+    rows = rows.join(F.broadcast(expected_by_block(rows)), "block", "left")  # 13 blocks a year
     scored = F.col("eligible") & F.col("credited")
 
     def residual(hit, expected):
