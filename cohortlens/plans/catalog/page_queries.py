@@ -22,7 +22,7 @@ def page_link_counts(spark, sf):
 def page_rows(spark, sf):
     rows = pages.element_rows(table(spark, sf, "pages"), table="ul", row="li", cells=("a",))
     return rows.select(
-        "page_id", "table_no", "row_no", F.col("cells")[0].alias("label"), F.col("links")[0].alias("link")
+        "page_id", "table_no", "row_no", F.get("cells", 0).alias("label"), F.get("links", 0).alias("link")
     )
 
 

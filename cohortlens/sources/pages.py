@@ -18,7 +18,7 @@ from cohortlens.functions.text import clean_cell, squeeze
 
 ROW_SCHEMA = (
     "page_id long, table_no int, table_id string, row_no int, is_header boolean, "
-    "cells array<string>, links array<string>"
+    "header array<string>, cells array<string>, links array<string>"
 )
 
 
@@ -35,7 +35,7 @@ class _RowReader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == self.table:
-            self.open.append({"no": self.tables, "id": attrs.get("id"), "rows": 0, "row": None, "cell": None})
+            self.open.append({"no": self.tables, "id": attrs.get("id"), "rows": 0, "first": None, "row": None, "cell": None})
             self.tables += 1
         elif not self.open:
             return
@@ -78,8 +78,9 @@ class _RowReader(HTMLParser):
         self._end_cell(here)
         row = here["row"]
         if row is not None and row["cells"]:
+            here["first"] = here["first"] or row["cells"]
             self.rows.append(
-                (here["no"], here["id"], here["rows"], row["head"], row["cells"], row["links"])
+                (here["no"], here["id"], here["rows"], row["head"], here["first"], row["cells"], row["links"])
             )
             here["rows"] += 1
         here["row"] = None
@@ -98,7 +99,7 @@ def element_rows(
     cells: Sequence[str] = ("td", "th"),
     in_comments: bool = False,
 ) -> DataFrame:
-    """Rows of every table-like element: (page_id, table_no, table_id, row_no, cells, links).
+    """Rows of every table-like element, each with its cells, links and its table's first row.
 
     ``in_comments`` opens HTML comments first, for pages that hide tables there. Lists work
     too: ``table="ul", row="li", cells=("a",)``.
@@ -106,7 +107,7 @@ def element_rows(
     names = tuple(cells)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page_id", "table_no", "table_id", "row_no", "is_header", "cells", "links"]
+        columns = ["page_id", "table_no", "table_id", "row_no", "is_header", "header", "cells", "links"]
         for batch in batches:
             found = []
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
@@ -137,33 +138,34 @@ def table_records(
     """
     if table_id is not None:
         rows = rows.filter(F.col("table_id") == table_id)
-    cleaned = rows.withColumn("cells", F.transform("cells", clean_cell))
-    heads = cleaned.filter(F.col("row_no") == 0).select(
-        "page_id", "table_no", F.col("cells").alias("header")
+    rows = rows.filter(F.col("row_no") > 0).withColumns(
+        {"header": F.transform("header", clean_cell), "cells": F.transform("cells", clean_cell)}
     )
     for name in required:
-        heads = heads.filter(F.array_contains("header", name))
+        rows = rows.filter(F.array_contains("header", name))
     for name in required_prefix:
-        heads = heads.filter(F.exists("header", lambda h: h.startswith(name)))
+        rows = rows.filter(F.exists("header", lambda h: h.startswith(name)))
     for name in forbidden:
-        heads = heads.filter(~F.array_contains("header", name))
-    body = cleaned.filter(F.col("row_no") > 0).join(heads, ["page_id", "table_no"])
-    width = F.least(F.size("header"), F.size("cells"))
-    header = F.slice("header", F.lit(1), width)
-    return body.filter(F.col("cells") != F.col("header")).select(
+        rows = rows.filter(~F.array_contains("header", name))
+    rows = rows.filter(F.col("cells") != F.col("header"))
+    return rows.select(
         "page_id",
         "table_no",
         "row_no",
-        F.map_from_entries(_first_named(F.arrays_zip(header.alias("k"), F.slice("cells", F.lit(1), width).alias("v")))).alias("cell"),
-        F.map_from_entries(_first_named(F.arrays_zip(header.alias("k"), F.slice("links", F.lit(1), width).alias("v")))).alias("link"),
+        _by_name(F.col("header"), F.col("cells")).alias("cell"),
+        _by_name(F.col("header"), F.col("links")).alias("link"),
     )
 
 
-def _first_named(entries: Column) -> Column:
-    """Entries whose name did not occur before, so repeated headers do not clash in a map."""
-    return F.filter(
-        entries,
-        lambda e, i: (e["k"] != "") & ~F.exists(F.slice(entries, F.lit(1), i), lambda b: b["k"] == e["k"]),
+def _by_name(header: Column, values: Column) -> Column:
+    """Header -> value; of repeated headers the first counts, and missing cells are left out."""
+    named = F.filter(
+        F.sequence(F.lit(0), F.size(header) - 1),
+        lambda i: (i < F.size(values)) & (F.get(header, i) != "")
+        & (F.array_position(header, F.get(header, i)) == i + 1),
+    )
+    return F.map_from_arrays(
+        F.transform(named, lambda i: F.get(header, i)), F.transform(named, lambda i: F.get(values, i))
     )
 
 

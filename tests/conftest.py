@@ -10,7 +10,7 @@ from cohortlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 8)
+    session = local_session("tests", 4, shuffle_partitions=3)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
