@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.spread import lookup_join
+
 
 def counts_by(df: DataFrame, by: Sequence[str], conditions: dict[str, Column]) -> DataFrame:
     """Rows per group and how many meet each condition."""
@@ -86,15 +88,15 @@ def repeat_examples(df: DataFrame, entity: str, order: Sequence[str], k: int = 5
 
 
 def alias_groups(df: DataFrame, canonical: str, raw: str) -> DataFrame:
-    """Canonical names written in more than one way, with their spellings.
+    """Canonical names written in more than one way: one row per spelling, with their number.
 
-    Spellings are reduced to distinct pairs first; a canonical name has a handful of them.
+    Spellings stay rows, so a canonical name may have any number of them.
     """
     pairs = df.filter(F.col(raw).isNotNull() & F.col(canonical).isNotNull()).select(canonical, raw)
-    groups = pairs.distinct().groupBy(canonical).agg(
-        F.count(F.lit(1)).alias("n_raw"), F.sort_array(F.collect_list(raw)).alias("raw_names")
-    )
-    return groups.filter(F.col("n_raw") > 1)
+    pairs = pairs.distinct()
+    several = pairs.groupBy(canonical).agg(F.count(F.lit(1)).alias("n_raw")).filter("n_raw > 1")
+    named = lookup_join(pairs, several, [canonical], spread=[raw], how="inner")
+    return named.orderBy(canonical, raw)
 
 
 def alias_counts(df: DataFrame, canonical: str, raw: str, flag: Column) -> DataFrame:

@@ -17,25 +17,50 @@ from cohortlens.session import cut_lineage
 HOT_SHARE = 0.01  # a key above this share of rows is hot; there are fewer than 100 of those
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], *, fraction: float = 0.01) -> DataFrame:
+    """Keys that hold more than HOT_SHARE of the rows, judged on a sample: under 100 rows.
+
+    The sample only decides how rows travel; no result depends on it.
+    """
+    seen = df.select(*on).sample(fraction=fraction, seed=1).groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    total = seen.agg(F.sum("_n").alias("t")).scalar()
+    return seen.filter(F.col("_n") > HOT_SHARE * total).drop("_n")
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     *,
-    spread: Sequence[str],
+    spread: Sequence[str] = (),
     how: str = "left",
     salts: int = 16,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Joins a lookup holding one row per key to rows whose keys may be hot.
 
-    Rows of a key are dealt over ``salts`` tasks by a hash of ``spread`` (grain columns) and the
-    lookup is repeated per salt. Null keys match nothing, and are dealt out the same way. A
-    lookup that Spark measures below its broadcast threshold is still broadcast.
+    Rows of a key are dealt over ``salts`` tasks by a hash of ``spread`` (grain columns), or by
+    the task they come from when there is no grain, and the lookup is repeated per salt. For a
+    lookup too large to repeat, ``hot`` (see ``hot_keys``) names the keys to treat so; all other
+    keys travel plainly. Null keys match nothing and are dealt out. A lookup that Spark measures
+    below its broadcast threshold is still broadcast.
     """
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    salt = F.pmod(F.xxhash64(*spread) if spread else F.spark_partition_id(), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is not None:
+        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # under 1 / HOT_SHARE rows
+        rows, lookup = rows.join(marked, list(on), "left"), lookup.join(marked, list(on), "left")
+        missing = F.lit(False)
+        for c in on:
+            missing = missing | F.col(c).isNull()
+        salt = F.when(F.col("_hot") | missing, salt).otherwise(F.lit(0))
+        copies = F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0)))
+    dealt = rows.withColumn("_salt", salt)
+    repeated = lookup.withColumn("_salt", F.explode(copies))
+    if hot is not None:
+        dealt, repeated = dealt.drop("_hot"), repeated.drop("_hot")
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
@@ -101,11 +126,10 @@ def with_group_total(
 def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once.
 
-    The repeated keys are found by counting on the map side; the rows then only need a semi
-    join, which adaptive execution splits where a key is hot.
+    Keys are counted on the map side, and the rows of a repeated key stay spread over tasks.
     """
     repeated = df.groupBy(*keys).count().filter("count > 1").drop("count")
-    return df.join(repeated, list(keys), "left_semi")
+    return lookup_join(df, repeated, list(keys), how="left_semi")
 
 
 def exact_medians(
@@ -181,11 +205,14 @@ def _attach_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> D
     return warm.unionByName(cool)
 
 
-def global_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+def global_position(
+    df: DataFrame, order: Sequence[str], out: str = "position", size: str | None = None
+) -> DataFrame:
     """0-based place of every row in a total order, computed without a one-task sort.
 
     Rows are range partitioned, stored, and numbered inside their partition; the partition sizes
-    (one row per partition) then shift each number to its global place.
+    (one row per partition) then shift each number to its global place. ``size`` also adds the
+    number of rows.
     """
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     stored = cut_lineage(sorted_rows.withColumn("_id", F.monotonically_increasing_id()))
@@ -196,25 +223,28 @@ def global_position(df: DataFrame, order: Sequence[str], out: str = "position")
     )
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    starts = sizes.select(
+        "_part",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.sum("_size").over(W.partitionBy()).alias("_total"),
+    )
     placed = numbered.join(F.broadcast(starts), "_part")  # one row per partition
-    return placed.select(*df.columns, (F.col("_start") + F.col("_at")).alias(out))
+    total = [F.col("_total").alias(size)] if size else []
+    return placed.select(*df.columns, (F.col("_start") + F.col("_at")).alias(out), *total)
 
 
 def equal_count_bins(
     df: DataFrame, order: Sequence[str], n_bins: int, out: str = "bin"
 ) -> DataFrame:
     """1-based bins of near-equal size along a total order; earlier bins take the remainder."""
-    placed = global_position(df, order, "_pos")
-    size = placed.agg(F.max("_pos") + 1).scalar()
-    small = F.floor(size / n_bins)
-    extra = F.pmod(size, F.lit(n_bins))
+    placed = global_position(df, order, "_pos", "_n")
+    pos, small = F.col("_pos"), F.floor(F.col("_n") / n_bins)
+    extra = F.pmod("_n", F.lit(n_bins))
     edge = extra * (small + 1)
-    pos = F.col("_pos")
     early = F.floor(pos / (small + 1))
     late = extra + F.floor((pos - edge) / F.greatest(small, F.lit(1)))
-    return placed.withColumn(out, (F.when(pos < edge, early).otherwise(late) + 1).cast("int")).drop(
-        "_pos"
+    return placed.select(
+        *df.columns, (F.when(pos < edge, early).otherwise(late) + 1).cast("int").alias(out)
     )
 
 

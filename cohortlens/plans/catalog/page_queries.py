@@ -43,19 +43,16 @@ def page_field(spark, sf):
        FROM events"""
 )
 def flatten_json(spark, sf):
-    """Events gathered into user documents with nested structs, then flattened back."""
+    """Each event as a nested document of rounds and picks, then flattened back."""
     event = F.struct(
         F.col("event_id").alias("eventId"),
         F.col("user_id").alias("userId"),
         F.struct(F.get_json_object("props", "$.k").cast("long").alias("kValue")).alias("props"),
         F.struct(F.struct(F.col("event_type").alias("name")).alias("type")).alias("event"),
     )
-    hour = F.date_trunc("hour", "ts")
-    documents = table(spark, sf, "events").groupBy("user_id", hour.alias("hour")).agg(
-        F.collect_list(event).alias("picks")
-    )
-    rounds = documents.select(F.struct(F.array(F.struct("picks")).alias("rounds")).alias("drafts"))
-    return nested.flatten_nested(rounds, ["drafts.rounds", "picks"], {"source_year": 2024})
+    rounds = F.array(F.struct(F.array(event).alias("picks")))
+    documents = table(spark, sf, "events").select(F.struct(rounds.alias("rounds")).alias("drafts"))
+    return nested.flatten_nested(documents, ["drafts.rounds", "picks"], {"source_year": 2024})
 
 
 @query(

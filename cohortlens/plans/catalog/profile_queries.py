@@ -60,12 +60,12 @@ def repeat_examples(spark, sf):
 
 
 @query(
-    """SELECT p_brand, count(*) AS n_raw, array_to_string(list_sort(list(p_type)), '|') AS raw_names
-       FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 45) GROUP BY 1 HAVING count(*) > 1"""
+    """WITH p AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size > 45)
+       SELECT p_brand, p_name, n_raw FROM p JOIN (SELECT p_brand, count(*) AS n_raw FROM p GROUP BY 1 HAVING count(*) > 1)
+       USING (p_brand)"""
 )
 def alias_groups(spark, sf):
-    groups = profile.alias_groups(table(spark, sf, "part").filter("p_size > 45"), "p_brand", "p_type")
-    return groups.withColumn("raw_names", F.array_join("raw_names", "|"))
+    return profile.alias_groups(table(spark, sf, "part").filter("p_size > 45"), "p_brand", "p_name")
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import bands, casts, dates
 from cohortlens.operators.cohort import FilterSpec, OutcomeColumns
 from cohortlens.operators.expect import Fit, curve_table, fit_curves, with_expected, with_residuals
-from cohortlens.operators.spread import flag_last, keep_first, lookup_join, nulls_last
+from cohortlens.operators.spread import flag_last, hot_keys, keep_first, lookup_join, nulls_last
 from cohortlens.operators.staging import choose_source, sum_by_kind, tagged_union
 
 GRAIN = ["draft_year", "pick_number"]
@@ -272,7 +272,7 @@ def build_fact(inputs: Mapping[str, DataFrame]) -> DataFrame:
     )
     df = picks.join(second, GRAIN, "left")
     df = flag_last(df, ["person_id"], GRAIN, "is_final_draft")
-    df = lookup_join(df, people, ["person_id"], spread=GRAIN)
+    df = lookup_join(df, people, ["person_id"], spread=GRAIN, hot=hot_keys(picks, ["person_id"]))
     df = lookup_join(df, schools, ["school_name_raw"], spread=GRAIN)
     df = lookup_join(df, starts, ["draft_year"], spread=["pick_number"])
     df = with_school(with_money(df))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import bands, casts, dates
 from cohortlens.operators.cohort import OutcomeColumns
-from cohortlens.operators.spread import flag_last
+from cohortlens.operators.spread import flag_last, hot_keys, lookup_join
 from cohortlens.session import written_once
 
 COLUMNS = OutcomeColumns(
@@ -83,7 +83,8 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = flag_last(orders, ["cust_key", "priority"], ["order_date", "order_key"], "is_final")
     rows = rows.join(line_totals(table(spark, folder, "lineitem")), "order_key", "left")
-    return rows.join(customer, "cust_key", "left")
+    hot = hot_keys(table(spark, folder, "orders").withColumnRenamed("o_custkey", "cust_key"), ["cust_key"])
+    return lookup_join(rows, customer, ["cust_key"], spread=["order_key"], hot=hot)
 
 
 def expected_by_block(rows: DataFrame) -> DataFrame:

@@ -101,6 +101,37 @@ def test_lookup_join_keeps_every_row_once(df, spark):
     assert wrong.count() == 0
 
 
+def test_hot_keys_only_are_salted_and_the_result_is_whole(df, spark):
+    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "g string, v int")
+    hot = spread.hot_keys(df, ["g"], fraction=1.0)
+    found = {r["g"] for r in hot.collect()}
+    assert "hot" in found and len(found) <= 100
+    for how, size in (("left", df.count()), ("inner", df.filter("g IN ('hot', 'a')").count())):
+        got = spread.lookup_join(df, lookup, ["g"], spread=["id"], hot=hot, how=how)
+        assert set(got.columns) == {*df.columns, "v"}
+        assert got.count() == size == got.select("id").distinct().count()
+        assert got.filter(~F.col("v").eqNullSafe(F.when(F.col("g") == "hot", 1).when(F.col("g") == "a", 2))).count() == 0
+
+
+def test_a_hot_key_is_dealt_over_many_tasks(spark):
+    """Two thirds of the rows share a key; no task may get more than a fraction of them."""
+    rows = spark.range(0, 60_000, 1, 20).select("id", F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id")).alias("k"))
+    lookup = spark.createDataFrame([(7, "x")], "k long, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for options in ({"spread": ["id"]}, {}, {"spread": ["id"], "hot": spread.hot_keys(rows, ["k"])}):
+            joined = spread.lookup_join(rows, lookup, ["k"], **options)
+            sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in sizes) == 60_000
+            assert max(r["count"] for r in sizes) < 30_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
 def test_global_position_and_bins_match_a_sort(df, data, rows):
     got = dict(rows(spread.global_position(df, ["x", "id"]).select("id", "position")))
     ordered = sorted((x, i) for i, _, x in data)
