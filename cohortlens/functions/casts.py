@@ -24,9 +24,20 @@ def leading_token(c: Column, allowed: Iterable[str]) -> Column:
     return F.when(token.isin(*allowed), token)
 
 
+def whole_number(c: Column) -> Column:
+    """Text as an int, null when it is not one.
+
+    The text is looked at first: a failing cast costs an exception, and labels often fail.
+    """
+    text = c.cast("string")
+    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text).try_cast("int")
+
+
 def parse_money(c: Column) -> Column:
     """'$1,250,000' or '1250000' as a double; anything else is null."""
-    return F.regexp_replace(c.cast("string"), r"[$,\s]", "").try_cast("double")
+    bare = F.regexp_replace(c.cast("string"), r"[$,\s]", "")
+    number = bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return F.when(number, bare).try_cast("double")
 
 
 def yes_no(c: Column) -> Column:

@@ -320,30 +320,45 @@ def leave_one_out(
 ) -> DataFrame:
     """Each class's cells predicted by curves fitted on all other classes: (curve, fold, x, n, k).
 
-    ``counts`` holds one row per (fold, x) with the counts of every curve. Each cell trains the
-    fits of all other classes, a handful, and all those fits are solved together.
+    ``counts`` holds one row per (fold, x) with the counts of every curve. All fits are solved
+    together.
     """
+    long, cells = _held_out_cells(counts, specs, fold, x)
+    return _predict_held_out(long, fit_many(cells, last), fold, x, out)
+
+
+def _held_out_cells(
+    counts: DataFrame, specs: Sequence[CurveSpec], fold: str, x: str
+) -> tuple[DataFrame, DataFrame]:
+    """Cells per (fold, curve), and the training cells of each fit: a cell trains the fits of all
+    other classes, a handful."""
     long = (
         counts.select(fold, F.col(x).alias("x"), F.explode(_curve_entries(specs)).alias("e"))
         .select(fold, "x", "e.curve", "e.n", "e.k")
         .filter("n > 0")
     )
     folds = [r[0] for r in long.select(fold).distinct().orderBy(fold).collect()]
-
-    def named(held):
-        return F.concat_ws("|", "curve", held.cast("string"))
-
-    others = F.explode(F.array_except(F.array(*[F.lit(f) for f in folds]), F.array(fold)))
-    cells = long.select("x", "n", "k", "curve", others.alias("_held"))
-    cells = cells.groupBy(named(F.col("_held")).alias("fit"), "x").agg(
+    known = F.array(*[F.lit(f) for f in folds]) if folds else F.array(F.lit(None).cast("int"))
+    trained = long.select(
+        "x", "n", "k", "curve", F.explode(F.array_except(known, F.array(fold))).alias("_held")
+    )
+    cells = trained.groupBy(_fit_name(F.col("_held")).alias("fit"), "x").agg(
         F.sum("n").alias("n"), F.sum("k").alias("k")
     )
-    fits = fit_many(cells, last)
-    for s in specs:  # a class no other class can train keeps the empty curve
-        for f in folds:
-            fits.setdefault(f"{s.name}|{f}", Fit("constant"))
-    held = long.withColumn("fit", named(F.col(fold)))
-    predicted = predict_each(held, fits, "x", out)
+    return long, cells
+
+
+def _fit_name(held: Column) -> Column:
+    return F.concat_ws("|", "curve", held.cast("string"))
+
+
+def _predict_held_out(
+    long: DataFrame, fits: Mapping[str, Fit], fold: str, x: str, out: str
+) -> DataFrame:
+    named = long.withColumn("fit", _fit_name(F.col(fold)))
+    untrained = [r[0] for r in named.select("fit").distinct().collect() if r[0] not in fits]
+    fits = {**fits, **{key: Fit("constant") for key in untrained}}  # no other class had rows
+    predicted = predict_each(named, fits, "x", out)
     return predicted.select("curve", fold, F.col("x").alias(x), "n", "k", out)
 
 
@@ -392,15 +407,17 @@ def evaluate(
     by_class = cut_lineage(training_counts(df, specs, [c.period, c.sequence], c))
     last, cells = by_class.agg(F.max(c.sequence)).first()[0], curve_cells(by_class, specs, c.sequence)
     cells = cut_lineage(cells.groupBy("fit", "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    fits = fit_many(cells, last)
-    held_out = cut_lineage(leave_one_out(by_class, specs, last, fold=c.period, x=c.sequence))
+    long, held_cells = _held_out_cells(by_class, specs, c.period, c.sequence)
+    solved = fit_many(cells.unionByName(held_cells), last)
+    fits = {s.name: solved.get(s.name, Fit("constant")) for s in specs}
+    held_out = cut_lineage(_predict_held_out(long, solved, c.period, c.sequence, "pred"))
     sizes = {
         r["fit"]: (r["n"], r["k"])
         for r in cells.groupBy("fit").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
     }
     reports, deciles = [], []
     for s in specs:
-        fit = fits.setdefault(s.name, Fit("constant"))
+        fit = fits[s.name]
         size, hits = sizes[s.name]
         base_rate = hits / size if size else 0.0
         own = cells.filter(F.col("fit") == s.name)

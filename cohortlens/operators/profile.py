@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.casts import whole_number
 from cohortlens.operators.spread import lookup_join
 
 
@@ -19,7 +20,7 @@ def counts_by(df: DataFrame, by: Sequence[str], conditions: dict[str, Column]) -
 
 def label_profile(df: DataFrame, by: str, label: str) -> DataFrame:
     """Rows, highest numeric label and number of non-numeric labels per group."""
-    number = F.col(label).try_cast("int")
+    number = whole_number(F.col(label))
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(number).alias("max_label"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.casts import is_true
+from cohortlens.functions.casts import is_true, whole_number
 from cohortlens.functions.intervals import share_pct, wilson_rate
 from cohortlens.operators.expect import curve_rises
 from cohortlens.operators.spread import duplicated
@@ -181,7 +181,7 @@ def period_result(
 
 def max_label_offenders(df: DataFrame, period: str, label: str, expected: Column) -> DataFrame:
     """Periods whose highest numeric label is not the expected one; none at all is wrong too."""
-    got = df.groupBy(period).agg(F.max(F.col(label).try_cast("int")).alias("max_label"))
+    got = df.groupBy(period).agg(F.max(whole_number(F.col(label))).alias("max_label"))
     got = got.withColumn("expected", expected)
     return got.filter(~F.col("max_label").eqNullSafe(F.col("expected")))
 

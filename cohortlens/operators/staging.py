@@ -7,12 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.casts import whole_number
 from cohortlens.operators.spread import lookup_join
 
 
 def typed_projection(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
     """out -> (source column, type); values that do not fit the type become null."""
-    return df.select([F.col(src).try_cast(t).alias(out) for out, (src, t) in columns.items()])
+    kinds = dict(df.dtypes)
+
+    def typed(src: str, t: str) -> Column:
+        if kinds[src] == "string" and t == "int":
+            return whole_number(F.col(src))
+        return F.col(src).try_cast(t)
+
+    return df.select([typed(src, t).alias(out) for out, (src, t) in columns.items()])
 
 
 def choose_source(

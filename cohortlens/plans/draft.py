@@ -72,7 +72,7 @@ def stage_picks(raw: DataFrame) -> DataFrame:
         c("draft_year").cast("int").alias("draft_year"),
         c("pick_number").cast("int").alias("pick_number"),
         c("pick_round").cast("string").alias("round_label"),
-        c("pick_round").try_cast("int").alias("round_number"),
+        casts.whole_number(c("pick_round")).alias("round_number"),
         "team_name",
         c("person_id").cast("long").alias("person_id"),
         c("person_full_name").alias("player_name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.casts import parse_money, yes_no
+from cohortlens.functions.casts import parse_money, whole_number, yes_no
 from cohortlens.operators.spread import keep_first
 from cohortlens.sources.pages import element_rows, labelled_date, table_records
 
@@ -33,9 +33,9 @@ def round_rows(pages: DataFrame, base_url: str = "") -> DataFrame:
         "table_no",
         "row_no",
         "draft_year",
-        text("OvPck").try_cast("int").alias("overall_pick"),
+        whole_number(text("OvPck")).alias("overall_pick"),
         F.when(text("DT") == "", text("Rnd")).otherwise(F.concat_ws(" ", text("Rnd"), text("DT"))).alias("round_label"),
-        text("RdPck").try_cast("int").alias("round_pick"),
+        whole_number(text("RdPck")).alias("round_pick"),
         text("Tm").alias("team"),
         yes_no(cell("Signed")).alias("signed"),
         parse_money(cell("Bonus")).alias("bonus_usd"),
