@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import expect, spread, stats
+from cohortlens.operators import expect, report, spread, stats
 from cohortlens.plans.catalog.cohort_queries import MEAN_HI, MEAN_LO, METRICS
 from cohortlens.plans.catalog.registry import query, r, round_columns
 from cohortlens.plans.orders import COLUMNS, FACT_SQL, order_outcomes, table
@@ -96,6 +96,21 @@ def calibration_deciles(spark, sf):
     return round_columns(expect.calibration(rows, "pred", "reached", ["order_key"]), "expected observed")
 
 
+@query(
+    FACT_SQL
+    + f""", b AS (SELECT ntile(10) OVER (ORDER BY exp_reached, order_key) AS decile, exp_reached,
+                 CASE WHEN reached THEN 1.0 ELSE 0.0 END AS y FROM fact WHERE eligible AND credited),
+        d AS (SELECT decile, avg(exp_reached) AS expected, avg(y) AS observed FROM b GROUP BY 1)
+      SELECT {r("max(abs(observed - expected))")} AS worst_gap FROM d"""
+)
+def worst_calibration_gap(spark, sf):
+    rows = order_outcomes(spark, sf).filter("eligible AND credited").select(
+        "order_key", "reached", F.col("exp_reached").alias("pred")
+    )
+    deciles = expect.calibration(rows, "pred", "reached", ["order_key"])
+    return round_columns(report.worst_gap(deciles), "worst_gap")
+
+
 @query()
 def leave_one_class_out(spark, sf):
     counts = cut_lineage(

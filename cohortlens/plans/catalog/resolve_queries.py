@@ -106,6 +106,28 @@ def verified_join(spark, sf):
     return round_columns(joined, "name_match_score", 4)
 
 
+NAME_KEY_SQL = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})),
+  '[.''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\b(jr|sr|ii|iii|iv|v)\\b', '', 'g'), '\\s+', ' ', 'g'))"""
+TEXT_SQL = """nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<{0}(?:\\s[^>]*)?>(.*?)</{0}>', 1),
+  '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')"""
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {TEXT_SQL.format("title")} AS title, {TEXT_SQL.format("h1")} AS heading FROM pages),
+         k AS (SELECT page_id, heading IS NOT NULL AS matched, {NAME_KEY_SQL.format("coalesce(title, '')")} AS a,
+                      {NAME_KEY_SQL.format("coalesce(heading, '')")} AS b FROM p)
+       SELECT page_id, matched, a <> '' AND b <> '' AND string_split(a, ' ')[-1] = string_split(b, ' ')[-1]
+              AND substr(a, 1, 1) = substr(b, 1, 1) AS same_last_name_initial,
+              array_to_string(list_sort(string_split(a, ' ')), ' ') = array_to_string(list_sort(string_split(b, ' ')), ' ')
+                AND a <> '' AS identical FROM k"""
+)
+def verified_join_flags(spark, sf):
+    titles, headings = title_pairs(spark, sf)
+    joined = resolve.verified_join(titles, headings, ["page_id"], [F.col("title")], "heading")
+    same = F.coalesce(F.col("name_match_score") == 100, F.lit(False))
+    return joined.select("page_id", "matched", "same_last_name_initial", same.alias("identical"))
+
+
 @query(
     """SELECT doc_id,
          CASE WHEN regexp_matches(text, '[A-Za-z0-9._]@[A-Za-z0-9]') THEN 'contact'

@@ -139,3 +139,10 @@ def quality_report(fact: DataFrame, source: DataFrame, curve: DataFrame) -> dict
         "slot_model": evaluation.report,
         "slot_model_deciles": evaluation.deciles,
     }
+
+
+def enforce(report: dict[str, DataFrame]) -> None:
+    """Stops the build when any check failed."""
+    failed = [r["name"] for r in report["checks"].filter("status = 'fail'").select("name").collect()]
+    if failed:
+        raise RuntimeError(f"quality gate closed: {', '.join(sorted(failed))}")

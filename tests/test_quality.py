@@ -107,5 +107,7 @@ def test_full_report_finds_examples_only_where_needed(fact, curve):
     tally = report["summary"].first()
     assert tally["n_pass"] + tally["n_warn"] + tally["n_fail"] == 19 and tally["gate_open"] is False
     assert report["school_type_mix_by_year"].count() > 0
+    with pytest.raises(RuntimeError, match="years_present"):
+        quality_gate.enforce(report)
     mix = report["outcome_tier_mix_by_year"].filter("draft_year = 2019").collect()
     assert sum(r["picks"] for r in mix) == 2
