@@ -14,19 +14,18 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import cut_lineage
 
-HOT_SHARE = 0.01  # a key above this share of rows is hot; there are fewer than 100 of those
+HOT_KEYS = 100  # the largest keys are treated apart; any key above 1 % of the rows is among them
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], *, fraction: float = 0.01) -> DataFrame:
-    """Keys that hold more than HOT_SHARE of the rows, judged on a sample: under 100 rows.
+    """The HOT_KEYS most frequent keys, judged on a sample.
 
     The sample only decides how rows travel; no result depends on it.
     """
     seen = df.select(*on).sample(fraction=fraction, seed=1).groupBy(*on).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    total = seen.agg(F.sum("_n").alias("t")).scalar()
-    return seen.filter(F.col("_n") > HOT_SHARE * total).drop("_n")
+    return seen.orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS).drop("_n")
 
 
 def lookup_join(
@@ -50,7 +49,7 @@ def lookup_join(
     salt = F.pmod(F.xxhash64(*spread) if spread else F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is not None:
-        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # under 1 / HOT_SHARE rows
+        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # HOT_KEYS rows
         rows, lookup = rows.join(marked, list(on), "left"), lookup.join(marked, list(on), "left")
         missing = F.lit(False)
         for c in on:
@@ -186,23 +185,20 @@ def exact_medians(
 
 
 def _attach_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with its group's bracket. Hot groups, fewer than 1 / HOT_SHARE of them by
-    definition, are broadcast; the rows of all others meet their bracket by key."""
+    """Each row with its group's bracket. The HOT_KEYS largest groups are broadcast, so their rows
+    stay where they are; only the rows of smaller groups meet their bracket by key."""
     if keys == ["_all"]:
         return rows.join(F.broadcast(brackets), keys)  # one row
-    total = brackets.agg(F.sum("_n").alias("t"))
-    share = F.col("_n") >= HOT_SHARE * total.scalar()
     brackets = brackets.withColumnsRenamed({k: f"_g_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     columns = [*keys, "_x", "_n", "_lo", "_hi"]
-    hot = brackets.filter(share)
+    hot = brackets.orderBy(F.col("_n").desc(), *[f"_g_{k}" for k in keys]).limit(HOT_KEYS)
     tried = rows.join(F.broadcast(hot), same, "left")
     warm = tried.filter(F.col("_n").isNotNull()).select(columns)
     rest = tried.filter(F.col("_n").isNull()).select(*keys, "_x")
-    cool = rest.join(brackets.filter(~share), same).select(columns)
-    return warm.unionByName(cool)
+    return warm.unionByName(rest.join(brackets, same).select(columns))
 
 
 def global_position(
