@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.casts import is_true
-from cohortlens.operators.spread import lookup_join
+from cohortlens.operators.spread import hot_keys, lookup_join
 
 
 @dataclass(frozen=True)
@@ -182,7 +182,8 @@ def leading_cut(
     that never reach the label drop out.
     """
     cuts = full.filter(F.col(label) == last).groupBy(group).agg(F.max(order).alias("_cut"))
-    kept = lookup_join(df, cuts, [group], spread=spread, how="inner")
+    hot = hot_keys(df, [group])
+    kept = lookup_join(df, cuts, [group], spread=spread, how="inner", hot=hot)
     return kept.filter(F.col(order) <= F.col("_cut")).drop("_cut")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.casts import whole_number
-from cohortlens.operators.spread import lookup_join
+from cohortlens.operators.spread import hot_keys, lookup_join
 
 
 def counts_by(df: DataFrame, by: Sequence[str], conditions: dict[str, Column]) -> DataFrame:
@@ -96,7 +96,8 @@ def alias_groups(df: DataFrame, canonical: str, raw: str) -> DataFrame:
     pairs = df.filter(F.col(raw).isNotNull() & F.col(canonical).isNotNull()).select(canonical, raw)
     pairs = pairs.distinct()
     several = pairs.groupBy(canonical).agg(F.count(F.lit(1)).alias("n_raw")).filter("n_raw > 1")
-    named = lookup_join(pairs, several, [canonical], spread=[raw], how="inner")
+    hot = hot_keys(pairs, [canonical])
+    named = lookup_join(pairs, several, [canonical], spread=[raw], how="inner", hot=hot)
     return named.orderBy(canonical, raw)
 
 

@@ -128,7 +128,7 @@ def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     Keys are counted on the map side, and the rows of a repeated key stay spread over tasks.
     """
     repeated = df.groupBy(*keys).count().filter("count > 1").drop("count")
-    return lookup_join(df, repeated, list(keys), how="left_semi")
+    return lookup_join(df, repeated, list(keys), how="left_semi", hot=hot_keys(df, keys))
 
 
 def exact_medians(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.casts import whole_number
-from cohortlens.operators.spread import lookup_join
+from cohortlens.operators.spread import hot_keys, lookup_join
 
 
 def typed_projection(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -73,7 +73,7 @@ def with_match_flag(
 ) -> DataFrame:
     """Marks rows whose key occurs on the other side; every row is kept once."""
     keys = other.select(*on).distinct().withColumn(out, F.lit(True))
-    marked = lookup_join(rows, keys, on, spread=spread)
+    marked = lookup_join(rows, keys, on, spread=spread, hot=hot_keys(rows, on))
     return marked.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 

@@ -34,8 +34,9 @@ def lookup_joins(spark, sf):
         table(spark, sf, "region"), "r_regionkey", "left"
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    rows = spread.lookup_join(orders, places, ["o_custkey"], spread=["o_orderkey"])
-    rows = spread.lookup_join(rows, brand, ["o_custkey"], spread=["o_orderkey"])
+    hot = spread.hot_keys(orders, ["o_custkey"])
+    rows = spread.lookup_join(orders, places, ["o_custkey"], spread=["o_orderkey"], hot=hot)
+    rows = spread.lookup_join(rows, brand, ["o_custkey"], spread=["o_orderkey"], hot=hot)
     return rows.selectExpr("o_orderkey", "segment", "n_name AS nation", "r_name AS region", "brand")
 
 

@@ -162,7 +162,7 @@ def age_and_elapsed_years(spark, sf):
     years = dates.completed_years(born, at)
     aged = spread.lookup_join(
         orders.select("o_orderkey", "o_custkey", "o_orderdate"), firsts, ["o_custkey"],
-        spread=["o_orderkey"],
+        spread=["o_orderkey"], hot=spread.hot_keys(orders, ["o_custkey"]),
     )
     edges = [(1, "≤1"), (2, "2"), (3, "3"), (4, "4")]
     return aged.select(

@@ -11,7 +11,7 @@ from cohortlens.functions.bands import range_band
 from cohortlens.functions.casts import is_true, whole_number
 from cohortlens.operators import profile as P
 from cohortlens.operators.report import coverage_pivot
-from cohortlens.operators.spread import lookup_join
+from cohortlens.operators.spread import hot_keys, lookup_join
 from cohortlens.operators.staging import id_union, orphans, with_match_flag
 from cohortlens.plans.backfill import crosscheck_year
 from cohortlens.plans.draft import GRAIN
@@ -69,7 +69,8 @@ def people_tables(
     bios = people.select(F.col("id").alias("person_id"), "birth_date", "mlb_debut_date").withColumn(
         "_in", F.lit(True)
     )
-    joined = lookup_join(picks.select(*GRAIN, "person_id"), bios, ["person_id"], spread=GRAIN)
+    hot = hot_keys(picks, ["person_id"])
+    joined = lookup_join(picks.select(*GRAIN, "person_id"), bios, ["person_id"], spread=GRAIN, hot=hot)
 
     def pct(column: str) -> Column:
         return 100 * F.avg(F.col(column).isNotNull().cast("double"))
