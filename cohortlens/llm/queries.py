@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, licenses, quality, toxicity, urls
+from cohortlens.llm import chat, jaccard, licenses, pieces, quality, toxicity, urls
 from cohortlens.llm.common import table
 from cohortlens.llm.registry import QUERIES
 
+#: Model file of the public tokenizer that documents are encoded with.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -38,11 +45,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 for _query in (
+    op1_sentencepiece,
     op2_license_scan,
     op3_chat_format,
     op4_quality_rules,
     op7_toxicity,
     op8_url_filter,
+    op9_ngram_jaccard,
 ):
     QUERIES[_query.__name__] = _query
