@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, jaccard, licenses, pieces, quality, toxicity, urls
+from cohortlens.llm import (
+    chat,
+    decontaminate,
+    extraction,
+    jaccard,
+    licenses,
+    pieces,
+    pii,
+    quality,
+    toxicity,
+    urls,
+)
 from cohortlens.llm.common import table
 from cohortlens.llm.registry import QUERIES
 
@@ -33,6 +44,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = toxicity.training_fold()
@@ -49,13 +70,20 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 for _query in (
     op1_sentencepiece,
     op2_license_scan,
     op3_chat_format,
     op4_quality_rules,
+    op5_decontaminate,
+    op6_pii_surrogates,
     op7_toxicity,
     op8_url_filter,
     op9_ngram_jaccard,
+    op10_html_extract,
 ):
     QUERIES[_query.__name__] = _query
