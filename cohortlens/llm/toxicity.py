@@ -233,8 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model | None:
     return train(texts[1], texts[0], share)
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``score`` from 0 to 1 and ``predicted`` (1 from 0.5 on) of every whole text."""
+def score(
+    docs: DataFrame,
+    model: Model | None,
+    keep: tuple[str, ...] = ("doc_id",),
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
+    """Score from 0 to 1 and prediction (1 from 0.5 on) of every whole text, under ``names``."""
 
     def make():
         if model is None:
@@ -251,10 +256,16 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
         return work
 
-    fields = [double("score"), T.StructField("predicted", T.IntegerType())]
+    fields = [double(names[0]), T.StructField(names[1], T.IntegerType())]
     return map_texts(docs, make, fields, keep)
 
 
+def reject(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` without the texts predicted to be toxic."""
+    scored = score(docs, model, tuple(docs.columns), ("__score", "__predicted"))
+    return scored.where("__predicted = 0").select(*docs.columns)
+
+
 def training_fold() -> Column:
     """Whether a document's label may train: crc32 of its id as text, modulo 5, is not 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
