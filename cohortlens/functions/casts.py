@@ -25,12 +25,13 @@ def leading_token(c: Column, allowed: Iterable[str]) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """Text as an int, null when it is not one.
+    """Text as an int, null when it is not one; '5.0' is 5.
 
     The text is looked at first: a failing cast costs an exception, and labels often fail.
     """
     text = c.cast("string")
-    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text).try_cast("int")
+    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)(?:\.0*)?\s*$", 1)
+    return F.when(digits != "", digits).try_cast("int")
 
 
 def parse_money(c: Column) -> Column:

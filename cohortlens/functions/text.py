@@ -81,7 +81,7 @@ def squeeze(c: Column) -> Column:
 
 
 def strip_location(c: Column) -> Column:
-    """'Louisiana State University (Baton Rouge, LA)' -> 'Louisiana State University'."""
+    """Text without a closing '(place, XX)': 'Harbor Works (Dock Town, ZZ)' -> 'Harbor Works'."""
     return F.trim(F.regexp_replace(c, LOCATION, ""))
 
 

@@ -157,7 +157,7 @@ def _newton(cells: DataFrame, spans: Mapping[str, tuple[float, float]]) -> dict[
     names = ["fit", "low", "high"]
     knots = _local(spark, names, [(k, lo, hi) for k, (lo, hi) in spans.items()])
     basis = spline_basis(F.log("x"), F.col("low"), F.col("high"))
-    rows = cells.join(F.broadcast(knots), "fit")  # one row per fit
+    rows = cells.join(knots, "fit")
     rows = rows.select("fit", "n", "k", *[b.alias(f"b{j}") for j, b in enumerate(basis, start=1)])
     rows = cut_lineage(rows.withColumn("b0", F.lit(1.0)))
 
@@ -176,7 +176,7 @@ def _newton(cells: DataFrame, spans: Mapping[str, tuple[float, float]]) -> dict[
     done: dict[str, tuple] = {}
     for _ in range(MAX_STEPS):
         at = _local(spark, weights, [(k, *map(float, b)) for k, b in trial.items()])
-        scored = rows.join(F.broadcast(at), "fit").selectExpr("*", f"{score} AS s")
+        scored = rows.join(at, "fit").selectExpr("*", f"{score} AS s")
         scored = scored.selectExpr("*", "1 / (1 + exp(-s)) AS p").selectExpr("*", "n * p * (1 - p) AS v")
         for r in scored.groupBy("fit").agg(*sums).collect():
             key, beta = r["fit"], trial[r["fit"]]
@@ -235,7 +235,7 @@ def predict_each(df: DataFrame, fits: Mapping[str, Fit], x: str, out: str) -> Da
     parts = []
     if plain:
         table = _local(df.sparkSession, names, plain)
-        joined = df.join(F.broadcast(table), "fit")  # one row per fit
+        joined = df.join(table, "fit")
         basis = spline_basis(F.log(F.col(x).cast("double")), F.col("_low"), F.col("_high"))
         p = _probability([F.col(f"_w{j}") for j in range(size)], basis)
         joined = joined.withColumn(out, F.when(F.col("_flat"), F.col("_mean")).otherwise(p))
@@ -330,22 +330,22 @@ def leave_one_out(
 def _held_out_cells(
     counts: DataFrame, specs: Sequence[CurveSpec], fold: str, x: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Cells per (fold, curve), and the training cells of each fit: a cell trains the fits of all
-    other classes, a handful."""
+    """Cells per (fold, curve), and the training cells of each fit: all cells less the fold's own."""
     long = (
         counts.select(fold, F.col(x).alias("x"), F.explode(_curve_entries(specs)).alias("e"))
         .select(fold, "x", "e.curve", "e.n", "e.k")
         .filter("n > 0")
     )
-    folds = [r[0] for r in long.select(fold).distinct().orderBy(fold).collect()]
-    known = F.array(*[F.lit(f) for f in folds]) if folds else F.array(F.lit(None).cast("int"))
-    trained = long.select(
-        "x", "n", "k", "curve", F.explode(F.array_except(known, F.array(fold))).alias("_held")
+    total = long.groupBy("curve", "x").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+    folds = long.select("curve", fold).distinct()
+    own = long.groupBy("curve", fold, "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    rest = total.join(folds, "curve").join(own, ["curve", fold, "x"], "left").select(
+        _fit_name(F.col(fold)).alias("fit"),
+        "x",
+        (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n"),
+        (F.col("all_k") - F.coalesce("k", F.lit(0))).alias("k"),
     )
-    cells = trained.groupBy(_fit_name(F.col("_held")).alias("fit"), "x").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k")
-    )
-    return long, cells
+    return long, rest.filter("n > 0")
 
 
 def _fit_name(held: Column) -> Column:

@@ -147,5 +147,5 @@ def mismatch_share(df: DataFrame, a: str, b: str) -> DataFrame:
 def stable_sample(df: DataFrame, column: str, n: int, seed: int = 0) -> DataFrame:
     """The same n distinct values for a seed however the data is partitioned, sorted."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    drawn = values.orderBy(F.xxhash64(F.col(column), F.lit(seed)), column).limit(n)
+    drawn = values.orderBy(F.md5(F.concat(F.col(column).cast("string"), F.lit(f"|{seed}"))), column).limit(n)
     return drawn.orderBy(column)

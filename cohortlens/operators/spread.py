@@ -20,12 +20,14 @@ HOT_KEYS = 100  # the largest keys are treated apart; any key above 1 % of the r
 def hot_keys(df: DataFrame, on: Sequence[str], *, fraction: float = 0.01) -> DataFrame:
     """The HOT_KEYS most frequent keys, judged on a sample.
 
-    The sample only decides how rows travel; no result depends on it.
+    The keys are fetched once, so both sides of a join treat the same ones apart whatever the
+    sample: it only decides how rows travel.
     """
     seen = df.select(*on).sample(fraction=fraction, seed=1).groupBy(*on).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    return seen.orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS).drop("_n")
+    top = seen.orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS).drop("_n")
+    return df.sparkSession.createDataFrame(top.collect(), top.schema)  # HOT_KEYS rows at most
 
 
 def lookup_join(
@@ -35,17 +37,20 @@ def lookup_join(
     *,
     spread: Sequence[str] = (),
     how: str = "left",
-    salts: int = 16,
+    salts: int | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Joins a lookup holding one row per key to rows whose keys may be hot.
 
     Rows of a key are dealt over ``salts`` tasks by a hash of ``spread`` (grain columns), or by
     the task they come from when there is no grain, and the lookup is repeated per salt. For a
-    lookup too large to repeat, ``hot`` (see ``hot_keys``) names the keys to treat so; all other
-    keys travel plainly. Null keys match nothing and are dealt out. A lookup that Spark measures
+    lookup too large to repeat, ``hot`` (see ``hot_keys``) names the keys to treat so, each dealt
+    over as many tasks as a shuffle has; all other keys travel plainly. Null keys match nothing and are dealt out. A lookup that Spark measures
     below its broadcast threshold is still broadcast.
     """
+    if salts is None:
+        shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = 16 if hot is None else max(16, shuffled)
     salt = F.pmod(F.xxhash64(*spread) if spread else F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is not None:
@@ -224,7 +229,7 @@ def global_position(
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
         F.sum("_size").over(W.partitionBy()).alias("_total"),
     )
-    placed = numbered.join(F.broadcast(starts), "_part")  # one row per partition
+    placed = numbered.join(starts, "_part")
     total = [F.col("_total").alias(size)] if size else []
     return placed.select(*df.columns, (F.col("_start") + F.col("_at")).alias(out), *total)
 

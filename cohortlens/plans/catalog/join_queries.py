@@ -82,13 +82,12 @@ def orphans(spark, sf):
 
 @query(
     """SELECT o_orderkey, o_orderstatus FROM orders
-       WHERE CAST(year(o_orderdate) AS INTEGER) IN (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 49)"""
+       WHERE CAST(o_orderdate AS DATE) IN (SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem)"""
 )
 def shared_periods(spark, sf):
-    years = table(spark, sf, "lineitem").filter("l_linestatus = 'F' AND l_quantity > 49")
-    years = years.select(F.year("l_shipdate").alias("y")).distinct()
-    orders = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
-    return orders.join(years, "y", "left_semi").select("o_orderkey", "o_orderstatus")
+    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
+    orders = table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return orders.join(days, "day", "left_semi").select("o_orderkey", "o_orderstatus")
 
 
 @query(

@@ -38,12 +38,15 @@ def expected_curve(spark, sf):
 @query()
 def observed_minus_expected(spark, sf):
     fact = order_outcomes(spark, sf)
-    fits, _ = expect.fit_curves(fact, CURVES[:1], COLUMNS)
+    fits, _ = expect.fit_curves(fact, CURVES, COLUMNS)
+    plain = fact.select("order_key", "class_year", "day_seq", "reached", "high", "eligible", "credited")
     scored = expect.with_residuals(
-        expect.with_expected(fact, fits, COLUMNS), [("reached", "exp_mlb_signed", "minus_exp")], COLUMNS
+        expect.with_expected(plain, fits, COLUMNS),
+        [("reached", "exp_mlb_signed", "reached_gap"), ("high", "exp_regular_signed", "high_gap")],
+        COLUMNS,
     )
-    out = scored.select("order_key", "class_year", "day_seq", "exp_mlb_signed", "minus_exp")
-    return round_columns(out, "exp_mlb_signed minus_exp", 5)
+    out = scored.select("order_key", "class_year", "day_seq", *fits, "reached_gap", "high_gap")
+    return round_columns(out, " ".join([*fits, "reached_gap", "high_gap"]), 5)
 
 
 @query(

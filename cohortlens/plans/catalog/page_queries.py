@@ -8,17 +8,24 @@ from cohortlens.sources import nested, pages
 
 
 @query(
-    """WITH nav AS (SELECT page_id, regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1) AS list FROM pages),
-         items AS (SELECT page_id, unnest(regexp_extract_all(list, '<li><a href="[^"]*">[^<]*</a>')) AS item FROM nav)
+    """WITH lists AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<ul>.*?</ul>')) AS list FROM pages),
+         items AS (SELECT page_id, unnest(regexp_extract_all(list, '<li><a href="[^"]*">[^<]*</a>')) AS item FROM lists)
        SELECT page_id, count(*) AS n_links FROM items GROUP BY 1"""
 )
 def page_link_counts(spark, sf):
     rows = pages.element_rows(table(spark, sf, "pages"), table="ul", row="li", cells=("a",))
-    first = rows.filter(F.col("table_no") == 0)
-    return first.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
-@query()
+@query(
+    """WITH lists AS (SELECT page_id, regexp_extract_all(html, '(?s)<ul>.*?</ul>') AS found FROM pages),
+         numbered AS (SELECT page_id, unnest(range(len(found))) AS t, found FROM lists),
+         items AS (SELECT page_id, t, regexp_extract_all(found[t + 1], '(?s)<li><a href="[^"]*">[^<]*</a>') AS item FROM numbered),
+         rows AS (SELECT page_id, t, unnest(range(len(item))) AS i, item FROM items)
+       SELECT page_id, CAST(t AS INTEGER) AS table_no, CAST(i AS INTEGER) AS row_no,
+         regexp_extract(item[i + 1], '>([^<]*)</a>', 1) AS label, regexp_extract(item[i + 1], 'href="([^"]*)"', 1) AS link
+       FROM rows"""
+)
 def page_rows(spark, sf):
     rows = pages.element_rows(table(spark, sf, "pages"), table="ul", row="li", cells=("a",))
     return rows.select(

@@ -7,6 +7,11 @@ from cohortlens.plans.catalog.registry import query, r, round_columns
 from cohortlens.plans.orders import FACT_SQL, order_outcomes, table
 
 OUTCOME_COLUMNS = ["n_lines", "reached", "value", "delay", "money", "high", "tier"]
+FACT_COLUMNS = (
+    "order_key cust_key priority status order_date class_year day_seq price is_final n_lines n_returned net_e4 "
+    "gross_e2 first_ship segment nation region credited eligible reached value delay money slot_value block high "
+    "tier_order money_band tier exp_reached_all exp_high_all exp_reached exp_high reached_minus_exp high_minus_exp"
+).split()
 
 
 def _complete(expr):
@@ -16,11 +21,11 @@ def _complete(expr):
 @query(
     FACT_SQL
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, {_complete(c)} AS pct_non_null FROM fact" for c in OUTCOME_COLUMNS
+        f"SELECT '{c}' AS column_name, {_complete(c)} AS pct_non_null FROM fact" for c in FACT_COLUMNS
     )
 )
 def completeness(spark, sf):
-    out = profile.completeness(order_outcomes(spark, sf), columns=OUTCOME_COLUMNS)
+    out = profile.completeness(order_outcomes(spark, sf))
     return round_columns(out, "pct_non_null")
 
 
@@ -60,12 +65,12 @@ def repeat_examples(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_size > 45)
+    """WITH p AS (SELECT DISTINCT p_brand, p_name FROM part)
        SELECT p_brand, p_name, n_raw FROM p JOIN (SELECT p_brand, count(*) AS n_raw FROM p GROUP BY 1 HAVING count(*) > 1)
        USING (p_brand)"""
 )
 def alias_groups(spark, sf):
-    return profile.alias_groups(table(spark, sf, "part").filter("p_size > 45"), "p_brand", "p_name")
+    return profile.alias_groups(table(spark, sf, "part"), "p_brand", "p_name")
 
 
 @query(
@@ -141,7 +146,10 @@ def mismatch_share(spark, sf):
     return round_columns(profile.mismatch_share(lines, "a", "b"), "pct_mismatch")
 
 
-@query()
+@query(
+    """SELECT p_name FROM (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL)
+       ORDER BY md5(p_name || '|0'), p_name LIMIT 25"""
+)
 def stable_sample(spark, sf):
     return profile.stable_sample(table(spark, sf, "part"), "p_name", 25)
 

@@ -151,23 +151,35 @@ def dq_group_checks(spark, sf):
     return out.select(*PLAIN)
 
 
+BAD_ROWS = {
+    "line_join": "n_lines IS NULL",
+    "value_join": "is_final AND coalesce(reached, false) AND value IS NULL",
+    "value_range": "value NOT BETWEEN 0 AND 4",
+    "price_range": "price NOT BETWEEN 0 AND 499000",
+    "ship_after_order": "CAST(first_ship AS DATE) <= order_date",
+    "no_credited_non_final": "credited AND NOT is_final",
+    "reached_credited": "coalesce(reached, false) AND NOT credited",
+    "expectation_complete": "exp_reached IS NULL OR exp_reached < 0 OR exp_reached > 1",
+    "tiers_complete": "(class_year BETWEEN 1995 AND 1999) <> (tier IS NOT NULL)",
+}
+
+
 @query(
     FACT_SQL
-    + """, a AS (SELECT 'price_range' AS name, CAST(order_key AS VARCHAR) AS example FROM fact
-               WHERE price NOT BETWEEN 0 AND 499000 ORDER BY order_key LIMIT 20),
-         b AS (SELECT 'ship_after_order' AS name, CAST(order_key AS VARCHAR) AS example FROM fact
-               WHERE CAST(first_ship AS DATE) <= order_date ORDER BY order_key LIMIT 20)
-       SELECT * FROM a UNION ALL SELECT * FROM b"""
+    + " UNION ALL ".join(
+        f"(SELECT '{name}' AS name, CAST(order_key AS VARCHAR) AS example FROM fact WHERE {bad} ORDER BY order_key LIMIT 20)"
+        for name, bad in BAD_ROWS.items()
+    )
 )
 def dq_examples(spark, sf):
     fact = order_outcomes(spark, sf)
-    checks = {c.name: c for c in _row_checks()}
     found = [
-        Q.examples(fact.filter(checks[n].bad), n, ["order_key"], ["order_key"])
-        for n in ("price_range", "ship_after_order")
+        Q.examples(fact.filter(c.bad), c.name, ["order_key"], ["order_key"]) for c in _row_checks() if c.bad is not None
     ]
-    text = F.get_json_object("example", "$.order_key").alias("example")
-    return found[0].unionByName(found[1]).select("name", text)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("name", F.get_json_object("example", "$.order_key").alias("example"))
 
 
 @query(
@@ -204,9 +216,9 @@ def curve_rise_offenders(spark, sf):
 
 @query(
     FACT_SQL
-    + f""", d AS (SELECT block AS decile, count(*) AS n, avg(exp_reached) AS expected,
+    + f""", d AS (SELECT class_year * 100 + block AS decile, count(*) AS n, avg(exp_reached) AS expected,
                avg(CASE WHEN reached THEN 1.0 ELSE 0.0 END) AS observed
-             FROM fact WHERE eligible AND credited AND class_year <= 1997 GROUP BY 1),
+             FROM fact WHERE eligible AND credited GROUP BY 1),  -- a bin for each class and block
         w AS (SELECT *, (expected + 2.706025 / (2 * n)) / (1 + 2.706025 / n) AS centre,
                1.645 * sqrt(expected * (1 - expected) / n + 2.706025 / (4 * n * n)) / (1 + 2.706025 / n) AS half FROM d)
       SELECT decile, n, {r("expected")} AS expected, {r("observed")} AS observed, {r("centre - half")} AS interval_low,
@@ -214,8 +226,8 @@ def curve_rise_offenders(spark, sf):
       FROM w WHERE observed NOT BETWEEN centre - half AND centre + half"""
 )
 def calibration_offenders(spark, sf):
-    rows = order_outcomes(spark, sf).filter("eligible AND credited AND class_year <= 1997")
-    bins = rows.groupBy(F.col("block").alias("decile")).agg(
+    rows = order_outcomes(spark, sf).filter("eligible AND credited")
+    bins = rows.groupBy((F.col("class_year") * 100 + F.col("block")).alias("decile")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("exp_reached").alias("expected"),
         F.avg(F.col("reached").cast("double")).alias("observed"),
     )

@@ -84,11 +84,11 @@ def band_extremes(spark, sf):
 
 RANGE_CASE = "CASE " + " ".join(
     f"WHEN day_seq >= {a} THEN '{a}+'" if b is None else f"WHEN day_seq BETWEEN {a} AND {b} THEN '{a}–{b}'"
-    for a, b in RANGES
+    for a, b, _ in RANGES
 ) + " END"
 RANGE_ORDER = "CASE " + " ".join(
     f"WHEN day_seq >= {a} THEN {i}" if b is None else f"WHEN day_seq BETWEEN {a} AND {b} THEN {i}"
-    for i, (a, b) in enumerate(RANGES)
+    for i, (a, b, _) in enumerate(RANGES)
 ) + " END"
 K_LO, K_HI = wilson_sql("sum(hit)", "count(*)")
 RANGE_SQL = FACT_SQL + f""", rg AS (

@@ -143,37 +143,104 @@ def rule_classify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.first_match(F.col("text"), rules).alias("label"))
 
 
+def _replaced(sql, *pairs):
+    """``sql`` under regular replacements, the first one innermost."""
+    for pattern, text in pairs:
+        sql = f"regexp_replace({sql}, '{pattern}', '{text}', 'g')"
+    return sql
+
+
+ENTITY_KEY_SQL = "trim(" + _replaced(
+    "replace(" + _replaced("lower(strip_accents(name))", (r"\[[^\]]*\]", " ")) + ", '&', ' and ')",
+    ("[.''’ʻ]", ""),
+    ("[^a-z0-9]+", " "),
+    (r"\bstate university of new york\b|\bsuny\b", " "),
+    (r"\bunc\b", "north carolina"),
+    (r"\b(at|the)\b", " "),
+    (r"\s+", " "),
+    (r"\b(mount|mt) st\b", r"\1 saint"),
+    ("^ ?st\\b", "saint"),
+    (r"\bst\b", "state"),
+    (r"\b(u|univ)\b", "university"),
+    (r"\bcol\b", "college"),
+    (r"\bmt\b", "mount"),
+    (r"\s+", " "),
+) + ")"
+
+
 @query(
-    """SELECT page_id, title,
-         trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-           replace(regexp_replace(lower(strip_accents(title)), '\\[[^\\]]*\\]', ' ', 'g'), '&', ' and '),
-           '[.''’ʻ]', '', 'g'), '[^a-z0-9]+', ' ', 'g'),
-           '\\b(at|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), '\\bst\\b', 'state', 'g')) AS key
-       FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)
-       WHERE NOT regexp_matches(' ' || regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g') || ' ',
-                                ' (suny|unc|u|univ|col|mt|mount) |^ +((the|at) )*st ')"""
+    f"""WITH names AS (
+          SELECT 'page' AS kind, page_id AS id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS name FROM pages
+          UNION ALL
+          SELECT 'part', p_partkey, unnest(['Univ. of ' || p_name, 'St. ' || p_name || ' Col.', p_name || ' St',
+            'SUNY at ' || p_name, 'UNC ' || p_name || ' & the U', 'Mt. St. ' || p_name, 'Mt ' || p_name || ' [1]',
+            'State University of New York, ' || p_name]) FROM part)
+        SELECT kind, id, name, {ENTITY_KEY_SQL} AS key FROM names"""
 )
 def entity_keys(spark, sf):
-    pages = table(spark, sf, "pages")
-    titles = pages.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
-    words = F.regexp_replace(F.lower(T.fold_accents(F.col("title"))), "[^a-z0-9]+", " ")
-    keyed = titles.withColumn("words", F.concat(F.lit(" "), words, F.lit(" ")))
-    plain = ~F.col("words").rlike(" (suny|unc|u|univ|col|mt|mount) |^ +((the|at) )*st ")
-    return keyed.filter(plain).select("page_id", "title", T.entity_key(F.col("title")).alias("key"))
+    titles = table(spark, sf, "pages").select(
+        F.lit("page").alias("kind"),
+        F.col("page_id").alias("id"),
+        F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("name"),
+    )
+    shapes = (
+        "Univ. of {}", "St. {} Col.", "{} St", "SUNY at {}", "UNC {} & the U", "Mt. St. {}", "Mt {} [1]",
+        "State University of New York, {}",
+    )
+    spelled = [
+        F.concat(F.lit(before), F.col("p_name"), F.lit(after)) for before, after in (x.split("{}") for x in shapes)
+    ]
+    parts = table(spark, sf, "part").select(
+        F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.explode(F.array(*spelled)).alias("name")
+    )
+    return titles.unionByName(parts).withColumn("key", T.entity_key(F.col("name")))
 
 
 @query(
-    """WITH n AS (SELECT doc_id, substr(text, 1, instr(text || chr(10), chr(10)) - 1) AS line FROM documents),
-         k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(line)), '[.''’]', '', 'g'),
-                '[^a-z0-9]+', ' ', 'g'), '\\b(jr|sr|ii|iii|iv|v)\\b', '', 'g'), '\\s+', ' ', 'g')) AS key FROM n)
+    """WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[.''’]', '', 'g'),
+                '[^a-z0-9]+', ' ', 'g'), '\\b(jr|sr|ii|iii|iv|v)\\b', '', 'g'), '\\s+', ' ', 'g')) AS key FROM documents)
        SELECT doc_id, key, array_to_string(list_sort(string_split(key, ' ')), ' ') AS sorted_key FROM k"""
 )
 def person_keys(spark, sf):
-    first = F.substring_index("text", "\n", 1)
-    keyed = table(spark, sf, "documents").select("doc_id", T.person_key(first).alias("key"))
+    keyed = table(spark, sf, "documents").select("doc_id", T.person_key(F.col("text")).alias("key"))
     return keyed.withColumn("sorted_key", T.sorted_tokens(F.col("key")))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, p_name, p_name || repeat('z', CAST(p_partkey % 12 AS INTEGER)) AS other FROM part),
+         t AS (SELECT p_partkey, p_name, other, p_partkey % 7 <> 0 AS matched,
+                 CAST(length(p_name) AS DOUBLE) AS a, CAST(length(other) AS DOUBLE) AS b FROM p),
+         s AS (SELECT *, CASE WHEN matched THEN 200 * a / (a + b) END AS score FROM t)
+       SELECT p_partkey, matched, CASE WHEN matched THEN floor(score * 1e4 + 0.5) / 1e4 END AS name_match_score,
+         coalesce(matched AND score < 85, false) AS name_mismatch,
+         CASE WHEN matched AND score >= 85 THEN p_partkey END AS ref_id,
+         coalesce(matched AND p_name = other AND p_partkey % 5 <> 0, false) AS same_last_name_initial FROM s"""
+)
+def verified_join_names(spark, sf):
+    """Names that agree, drift apart and are missing: letters are added at the end of one side, so
+    the common part is the shorter name; every fifth row has its words swapped, which must not count."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    words = F.split("p_name", " ")
+    added = F.expr("repeat('z', CAST(p_partkey % 12 AS INT))")
+    front, last = F.slice(words, 1, F.size(words) - 1), F.concat(F.element_at(words, -1), added)
+    other = F.when(F.col("p_partkey") % 5 == 0, F.concat_ws(" ", last, front)).otherwise(
+        F.concat_ws(" ", front, last)
+    )
+    refs = parts.where("p_partkey % 7 <> 0").select(
+        "p_partkey", other.alias("ref_name"), F.col("p_partkey").alias("ref_id")
+    )
+    joined = resolve.verified_join(
+        parts, refs, ["p_partkey"], [F.col("p_name")], "ref_name", withhold=["ref_id"]
+    )
+    return round_columns(
+        joined.select(
+            "p_partkey", "matched", "name_match_score", "name_mismatch", "ref_id", "same_last_name_initial"
+        ),
+        "name_match_score",
+        4,
+    )
+
+
 @query(
     """SELECT c_custkey, c_name || ' (Town, ' || upper(substr(c_mktsegment, 1, 2)) || ')' AS placed, c_name AS stripped,
          upper(substr(c_mktsegment, 1, 2)) AS state, c_name || ' (' || upper(substr(c_mktsegment, 1, 2)) || ')' AS tagged,

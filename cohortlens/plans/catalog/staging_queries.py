@@ -59,7 +59,7 @@ def tagged_union_filtered_sum(spark, sf):
         src AS (
           SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS class_year,
                  CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS own,
-                 nullif(CASE WHEN gross > 300000 THEN 0 ELSE gross END, 0) AS lines
+                 nullif(gross, 0) AS lines
           FROM orders LEFT JOIN line ON l_orderkey = o_orderkey),
         chosen AS (
           SELECT *, CASE WHEN class_year <= 1996 AND lines IS NOT NULL THEN 'lines'
@@ -77,12 +77,11 @@ def source_priority_value(spark, sf):
     lines = line_totals(table(spark, sf, "lineitem")).select(
         F.col("order_key").alias("o_orderkey"), (F.col("gross_e2") / 100.0).alias("gross")
     )
-    capped = F.when(F.col("gross") > 300000, F.lit(0.0)).otherwise(F.col("gross"))
     rows = table(spark, sf, "orders").join(lines, "o_orderkey", "left").select(
         "o_orderkey",
         F.year("o_orderdate").alias("class_year"),
         F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("own"),
-        casts.null_if(capped, 0).alias("lines"),
+        casts.null_if(F.col("gross"), 0).alias("lines"),
     )
     year, own, other = F.col("class_year"), F.col("own"), F.col("lines")
     rules = [

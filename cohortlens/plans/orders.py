@@ -37,7 +37,10 @@ THRESHOLDS = (0.5, 1.0, 2.0)
 HIGH_VALUE = 1.0
 MONEY_EDGES = [(100_000, "<100k"), (200_000, "100k–200k"), (400_000, "200k–400k")]
 MONEY_BANDS = ["400k+", "200k–400k", "100k–200k", "<100k"]
-RANGES = [(1, 30), (31, 90), (91, 180), (181, 270), (271, 360), (361, None)]
+RANGES = [
+    (1, 30, "1–30"), (31, 90, "31–90"), (91, 180, "91–180"), (181, 270, "181–270"), (271, 360, "271–360"),
+    (361, None, "361+"),
+]
 BLOCK = 30
 
 

@@ -21,7 +21,7 @@ KEY_FIELDS = (
     "signing_bonus_usd", "pick_value", "person_birth_date", "school_name", "school_school_class",
     "school_state", "person_primary_position_abbreviation",
 )
-ROUND_BANDS = [(1, 5, "1-5"), (6, 10, "6-10"), (11, 20, "11-20"), (21, 999, "21+")]
+ROUND_BANDS = [(1, 5, "1-5"), (6, 10, "6-10"), (11, 20, "11-20"), (21, None, "21+")]
 BAND_ORDER = ["1-5", "6-10", "11-20", "21+", "supplemental"]
 MAX_EXAMPLES = 10
 SAMPLE_SIZE = 25
