@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from cohortlens.session import cut_lineage
 
 SUPPORT = 0.002
+#: Urls that a combination must occur in at least; below, anything is frequent in a small table.
+LEAST_URLS = 25
 CONFIDENCE = 0.8
 
 
@@ -114,6 +116,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
             ).alias("items")
         )
     )
+    support = min(1.0, max(support, LEAST_URLS / baskets.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     implied = F.col("consequent")[0]
     found = cut_lineage(
