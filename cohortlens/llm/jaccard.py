@@ -12,10 +12,13 @@ sets of ``a`` and ``b`` shingles may differ in at most ``(a + b) // 7`` shingles
   late and empty segments last, so shared passages are filed only where nothing rarer is left.
 * In the smallest band sets may differ in one shingle; there the whole set and all its
   one-deletion neighbours are filed.
-* Documents under the same content first meet only the smallest of them (no pairs among the rest).
-  What links becomes one component. Then only contents that still hold several components give
-  pairs, of documents in different components, whose shingle counts by 128 hash bins do not rule the
-  pair out already. Every remaining pair is decided on the full sets of 64-bit shingle hashes.
+* Documents under the same content first meet only the smallest of them, then one other of them
+  (no pairs among the rest). What links becomes one component. Only contents that
+  still hold several components give pairs, of documents in different components.
+* A set's parity sketch has a bit for each hash slot, about as many as shingles, that tells whether
+  an odd number of shingles falls there. Sketches differ in at most as many bits as the sets differ
+  in shingles, so they rule out most false pairs at a fraction of the sets' size. Every remaining
+  pair is decided on the full sets of 64-bit shingle hashes.
 * Components come from alternating star contraction on tables of links.
 
 Null and empty texts, and rows without a doc_id, have the empty set or no node: they are linked with
@@ -35,11 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import SLICE, long, map_texts
+from cohortlens.llm.common import SLICE, lean, long, map_texts
 from cohortlens.session import cut_lineage
 
 WORDS = 5
-BINS = 128
+LEAST_BITS = 256
 
 #: Sizes at which a band begins. Partners differ in size by a third at most, and a band spans more.
 BANDS = (1, 6, *(int(19 * 3.16**k) for k in range(24)))
@@ -49,6 +52,12 @@ BANDS = (1, 6, *(int(19 * 3.16**k) for k in range(24)))
 SAMPLE_DOCS = 8_000
 FREQUENT = 50_000
 
+#: Rounds in which the documents of a content meet another of them, before the rest meets in pairs.
+ROUNDS = 1
+
+#: Smallest keys of a document that tell whether a pair has met under a smaller key.
+FIRSTS = 8
+
 #: Rows up to which a table of ids is sent to all executors (24 bytes each).
 SENT_ROWS = 1_000_000
 
@@ -66,31 +75,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Sorted 64-bit hashes of a text's distinct shingles. Word hashes are remembered, up to a number."""
 
-    def __init__(self, remembered: int = 300_000):
-        self.hashes: dict[bytes, int] = {}
+    def __init__(self, remembered: int = 100_000):
+        self.hashes = _WordHashes()
         self.remembered = remembered
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
         if not words:
             return np.empty(0, dtype=np.uint64)
-        known = self.hashes
-        if len(known) > self.remembered:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         if len(words) < WORDS:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
+            whole = xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))
+            return np.array([whole], dtype=np.uint64)
+        if len(self.hashes) > self.remembered:
+            self.hashes.clear()
+        ids = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
         n = len(words) - WORDS + 1
-        joined = np.zeros(n, dtype=np.uint64)
-        for k in range(WORDS):
-            joined = _mix(joined + ids[k : k + n] * _MULTIPLIERS[k])
-        return np.unique(joined)
+        joined = ids[:n] * _MULTIPLIERS[0]
+        for k in range(1, WORDS):
+            joined += ids[k : k + n] * _MULTIPLIERS[k]
+        joined = _mix(joined)
+        joined.sort()
+        fresh = np.empty(n, dtype=bool)
+        fresh[0] = True
+        np.not_equal(joined[1:], joined[:-1], out=fresh[1:])
+        return joined[fresh]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity bits by the low bits of the hashes; as many bits as the next power of two of the size."""
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
+    slots = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(one: bytes, two: bytes) -> int:
+    """Shingles in which the sets of two sketches differ at least."""
+    a, b = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    n, m = 8 * len(one), 8 * len(two)
+    # The low bits of a hash in the smaller sketch are its low bits in the folded larger one.
+    while n > m:
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        b = (b >> m) ^ (b & ((1 << m) - 1))
+    return (a ^ b).bit_count()
 
 
 def band_of(size: int) -> int:
@@ -131,18 +169,21 @@ def signatures(shingles: np.ndarray, costs: tuple[np.ndarray, np.ndarray]) -> li
 
 
 def contents(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each segment's content, and whether the segment is empty."""
+    """Key of each segment's content, and whether the segment is empty.
+
+    A segment is an interval of hashes, so that sorted shingles lie in the order of their segments.
+    """
     m = segments_of(band)
     seed = np.uint64(((band + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    mixed = _mix(shingles + seed)
-    segment = (mixed >> np.uint64(40)).astype(np.int64) % m
-    order = np.argsort(segment, kind="stable")
-    ranked = segment[order]
-    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    segment = (((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+    fresh = np.empty(len(segment), dtype=bool)
+    fresh[0] = True
+    np.not_equal(segment[1:], segment[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
     sums = np.zeros(m, dtype=np.uint64)
-    sums[ranked[first]] = np.add.reduceat(_mix(mixed)[order], first)
+    sums[segment[first]] = np.add.reduceat(_mix(shingles + seed), first)
     empty = np.ones(m, dtype=bool)
-    empty[ranked[first]] = False
+    empty[segment[first]] = False
     number = np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return _mix(sums + number + seed), empty
 
@@ -150,15 +191,20 @@ def contents(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
 def _cheapest(
     filed: tuple[np.ndarray, np.ndarray], wanted: int, costs: tuple[np.ndarray, np.ndarray]
 ) -> np.ndarray:
+    """The first ``wanted`` keys by cost, then key; empty segments are last."""
     keys, empty = filed
     frequent, counts = costs
-    cost = np.zeros(len(keys), dtype=np.int64)
+    full = keys[~empty]
+    cost = np.zeros(len(full), dtype=np.int64)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-        cost = np.where(frequent[at] == keys, counts[at], 0)
-    cost = np.where(empty, np.iinfo(np.int64).max, cost)
-    # lexsort takes its last key first; ties of cost go by the key itself.
-    return keys[np.lexsort((keys, cost))[: min(wanted, len(keys))]]
+        at = np.minimum(np.searchsorted(frequent, full), len(frequent) - 1)
+        cost = np.where(frequent[at] == full, counts[at], 0)
+    free = full[cost == 0]
+    if wanted <= len(free):
+        return free if wanted == len(free) else np.partition(free, wanted - 1)[:wanted]
+    # lexsort takes its last key first.
+    ranked = np.concatenate([full[np.lexsort((full, cost))], np.sort(keys[empty])])
+    return ranked[:wanted]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -170,26 +216,25 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Per row: size, 128-bit hash of the set, and shingles by hash bin (255 at most each)."""
+    """Per row: size, 128-bit hash of the set, and parity sketch."""
 
     def make():
         shingler = Shingler()
 
         def work(texts: list[bytes]):
-            n, high, low, bins = [], [], [], []
+            n, high, low, bits = [], [], [], []
             for value in texts:
                 shingles = shingler(value)
                 digest = xxhash.xxh3_128_digest(shingles.tobytes())
-                counts = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=BINS)
                 n.append(len(shingles))
                 high.append(int.from_bytes(digest[:8], "big", signed=True))
                 low.append(int.from_bytes(digest[8:], "big", signed=True))
-                bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-            return [n, high, low, bins]
+                bits.append(sketch(shingles) if len(shingles) else None)
+            return [n, high, low, bits]
 
         return work
 
-    fields = [long("n"), long("high"), long("low"), T.StructField("bins", T.BinaryType())]
+    fields = [long("n"), long("high"), long("low"), T.StructField("bits", T.BinaryType())]
     return map_texts(docs, make, fields)
 
 
@@ -217,7 +262,7 @@ def _keyed(docs: DataFrame, keys_of) -> DataFrame:
                     )
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(lean(run), out)
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -293,16 +338,16 @@ def _shared(filed: DataFrame) -> DataFrame:
                 key, hub, given = int(keys[-1]), int(hubs[-1]), bool(pairs[-1])
         return
 
-    return filed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, out)
+    return filed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(lean(run), out)
 
 
 # ---- pairs
 
 
 def _possible(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """Pairs (hub, doc_id) that sizes and hash bins do not rule out. No features rule out nothing."""
+    """Pairs (hub, doc_id) that sketches do not rule out. No features rule out nothing."""
     left = features.select(
-        F.col("doc_id").alias("hub"), F.col("n").alias("n1"), F.col("bins").alias("bins1")
+        F.col("doc_id").alias("hub"), F.col("n").alias("n1"), F.col("bits").alias("bits1")
     )
     both = pairs.join(features, "doc_id", "left").join(left, "hub", "left")
     out = T.StructType([long("hub"), long("doc_id")])
@@ -311,29 +356,14 @@ def _possible(pairs: DataFrame, features: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            one, two = (_matrix(batch.column(i)).astype(np.int16) for i in (4, 5))
-            apart = np.abs(one - two).sum(1)
-            fine = (apart <= (n + m) // 7) | (n < 0) | (m < 0)
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            fine = [n is None or m is None or least_difference(x, y) <= (n + m) // 7 for n, m, x, y in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(fine)), batch.column(1).filter(pa.array(fine))],
                 schema=to_arrow_schema(out),
             )
 
-    return both.select(
-        "hub",
-        "doc_id",
-        F.coalesce("n", F.lit(-1)).alias("n"),
-        F.coalesce("n1", F.lit(-1)).alias("n1"),
-        "bins",
-        "bins1",
-    ).mapInArrow(run, out)
-
-
-def _matrix(bins: pa.Array) -> np.ndarray:
-    none = bytes(BINS)
-    joined = b"".join([none if b is None else b for b in bins.to_pylist()])
-    return np.frombuffer(joined, dtype=np.uint8).reshape(-1, BINS)
+    return both.select("hub", "doc_id", "n", "n1", "bits", "bits1").mapInArrow(lean(run), out)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -393,10 +423,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     return (
         placed.select("hub", "place", "leaf", "doc_id", "t")
-        .mapInArrow(shingled, sets)
+        .mapInArrow(lean(shingled), sets)
         .repartition("hub", "place")
         .sortWithinPartitions("hub", "place", "leaf")
-        .mapInArrow(compared, out)
+        .mapInArrow(lean(compared), out)
         .distinct()
     )
 
@@ -434,66 +464,89 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(shared: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs under a key whose documents are still in different components and may link."""
+def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, component) of the keys whose documents are in several components; stored.
+
+    Two documents under a key have met already, for one of them is the smallest."""
     labelled = shared.join(labels, shared["doc_id"] == labels["node"], "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    open_keys = (
+    several = (
         labelled.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
         .where("low <> high and n > 2")
         .select("key")
     )
-    rows = labelled.join(open_keys, "key").join(features, "doc_id", "left")
-    rows = rows.withColumn("n", F.coalesce("n", F.lit(-1)))
+    return cut_lineage(labelled.join(several, "key"))
+
+
+def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (hub, doc_id) of one document of each key, chosen by hash, with those of other components."""
+    hubs = rows.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("h")
+    )
+    met = rows.join(hubs, "key").where("component <> h.component")
+    return met.select(
+        F.least("doc_id", "h.doc_id").alias("hub"), F.greatest("doc_id", "h.doc_id").alias("doc_id")
+    ).distinct()
+
+
+def _cross_pairs(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs under a key whose documents are in different components and may link.
+
+    A pair that shares several keys is left to the smallest one as far as the documents' smallest
+    keys tell; under the smallest shared key it always comes out.
+    """
+    firsts = rows.groupBy("doc_id").agg(
+        F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts")
+    )
+    rows = rows.join(firsts, "doc_id").join(features, "doc_id", "left")
     out = T.StructType([long("hub"), long("doc_id")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, component, n, bins in _by_key(batches):
+        for key, ids, component, n, bits, firsts in _by_key(batches):
+            before = [{f for f in own if f < key} for own in firsts]
             for i in range(len(ids) - 1):
                 rest = slice(i + 1, None)
                 unknown = (n[rest] < 0) | (n[i] < 0)
                 sized = 4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i])
-                near = np.flatnonzero((component[rest] != component[i]) & (sized | unknown))
-                if not len(near):
-                    continue
-                unknown = unknown[near]
-                near += i + 1
-                apart = np.abs(bins[near].astype(np.int16) - bins[i]).sum(1)
-                near = near[(apart <= (n[near] + n[i]) // 7) | unknown]
-                if len(near):
+                near = np.flatnonzero((component[rest] != component[i]) & (sized | unknown)) + i + 1
+                near = [
+                    j for j in near.tolist()
+                    if before[i].isdisjoint(before[j])
+                    and (n[i] < 0 or n[j] < 0 or least_difference(bits[i], bits[j]) <= (n[i] + n[j]) // 7)
+                ]
+                if near:
                     a, b = np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=to_arrow_schema(out))
 
     return (
-        rows.select("key", "doc_id", "component", "n", "bins")
+        rows.select("key", "doc_id", "component", F.coalesce("n", F.lit(-1)).alias("n"), "bits", "firsts")
         .repartition("key")
         .sortWithinPartitions("key", "doc_id")
-        .mapInArrow(run, out)
+        .mapInArrow(lean(run), out)
         .distinct()
     )
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]):
-    """(ids, components, sizes, bins) of each key, from batches sorted by key."""
-    held: list[tuple] = []
+    """(key, ids, components, sizes, sketches, smallest keys) of each key, from rows sorted by key."""
+    held: list[list] = []
     open_key = None
+
+    def group():
+        columns = list(zip(*held, strict=True))
+        return open_key, *(np.array(c, dtype=np.int64) for c in columns[:3]), *columns[3:]
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        columns = [batch.column(i).to_numpy() for i in (1, 2, 3)]
-        bins = _matrix(batch.column(4))
-        cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and keys[low] != open_key:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
-            open_key = keys[low]
-            held.append((*[c[low:high] for c in columns], bins[low:high]))
+        for key, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if key != open_key:
+                if held:
+                    yield group()
+                held, open_key = [], key
+            held.append(row)
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield group()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -503,13 +556,13 @@ def join(docs: DataFrame) -> DataFrame:
     groups = (
         profiles.where("n > 0 and doc_id is not null")
         .groupBy("high", "low", "n")
-        .agg(F.min("doc_id").alias("hub"), F.first("bins").alias("bins"))
+        .agg(F.min("doc_id").alias("hub"), F.first("bits").alias("bits"))
     )
     groups = cut_lineage(groups)
     # Ids with several different sets have no features, so that nothing is ruled out for them.
     features = (
         groups.groupBy(F.col("hub").alias("doc_id"))
-        .agg(F.max("n").alias("n"), F.first("bins").alias("bins"), F.count(F.lit(1)).alias("k"))
+        .agg(F.max("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("k"))
         .where("k = 1")
         .drop("k")
     )
@@ -525,21 +578,24 @@ def join(docs: DataFrame) -> DataFrame:
     found = cut_lineage(_verified(docs, _possible(stars, features)))
 
     # A document id with several different texts joins their groups.
-    rows = profiles.where("n > 0 and doc_id is not null").select("doc_id", "high", "low", "n").distinct()
-    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    sets = profiles.where("n > 0 and doc_id is not null").select("doc_id", "high", "low", "n").distinct()
+    several = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     tied = (
-        rows.join(several, "doc_id")
+        sets.join(several, "doc_id")
         .join(groups.select("high", "low", "n", "hub"), ["high", "low", "n"])
         .select("hub", "doc_id")
     )
-    known = found.unionByName(tied)
+    known = cut_lineage(found.unionByName(tied))
     labels = cut_lineage(components(known))
-    rest = _cross_pairs(shared.select("key", "doc_id"), features, labels).join(
-        stars, ["hub", "doc_id"], "left_anti"
-    )
-    rest = cut_lineage(rest)
-    if not rest.isEmpty():
-        labels = components(known.unionByName(_verified(docs, rest)))
+    for turn in range(ROUNDS + 1):
+        rows = _open_rows(shared.select("key", "doc_id"), labels)
+        if rows.isEmpty():
+            break
+        pairs = _star_pairs(rows, turn) if turn < ROUNDS else _cross_pairs(rows, features)
+        pairs = cut_lineage(pairs.join(stars, ["hub", "doc_id"], "left_anti"))
+        known = cut_lineage(known.unionByName(_verified(docs, _possible(pairs, features))))
+        labels = cut_lineage(components(known))
+        stars = stars.unionByName(pairs)
 
     class_of = groups.join(labels, groups["hub"] == labels["node"], "left").select(
         "high", "low", "n", F.coalesce("component", "hub").alias("class")
