@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import SLICE, long, string as text_field
+from cohortlens.llm.common import SLICE, lean, long, string as text_field
 from cohortlens.session import cut_lineage
 
 KEY = b"surrogates"
@@ -66,6 +66,9 @@ _NAME = re.compile(
     rf"\b(?:{TITLES})\.? (?P<person>[^\W\d_][^\W\d_]+(?:[ -](?=[^\W\d_]+)[^\W\d_][^\W\d_]+){{0,2}})"
 )
 
+#: Texts in which this isn't found have no entities.
+_LIKELY = rf"[0-9@]|AKIA|\b(?:{TITLES})\b"
+
 KINDS = ("email", "secret", "ip", "account", "card", "social", "phone", "access", "hex", "person")
 
 
@@ -76,7 +79,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
         found += [(*m.span("secret"), "secret") for m in _SECRET.finditer(text) if _looks_secret(m["secret"])]
-    if re.search(r"\d", text):
+    if re.search(r"\d|AKIA", text):
         found += [(*m.span(), m.lastgroup) for m in _NUMBERS.finditer(text)]
     for m in _NAME.finditer(text):
         words = re.split(r"([ -])", m["person"])
@@ -190,6 +193,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _country(phone: str) -> str:
+    found = re.match(r"\+\d{1,3}(?=[ .(-])", phone)
+    return found[0] if found else ""
+
+
 def _ip_kind(octets: list[int]) -> str:
     a, b = octets[:2]
     if a == 10 or (a == 172 and 16 <= b < 32) or (a == 192 and b == 168):
@@ -228,8 +236,7 @@ def surrogate(entity: str, kind: str, key: bytes = KEY, attempt: int = 0) -> str
         given = iter(f"{compact[:2]}{check:02d}{body}")
         return "".join(c if c == " " else next(given) for c in entity)
     if kind == "phone":
-        m = re.match(r"\+\d{1,3}(?=[ .(-])", entity)
-        country = m[0] if m else ""
+        country = _country(entity)
         digits = re.sub(r"\D", "", entity[len(country) :])
         given = iter(shuffled(digits, _ALPHABETS, key, f"{tweak}{country}"))
         return country + re.sub(r"\d", lambda _: next(given), entity[len(country) :])
@@ -270,11 +277,14 @@ def _cased(word: str, like: str) -> str:
 
 def canonical(entity: str, kind: str) -> str:
     """The form in which different spellings of an entity are one."""
-    if kind in ("card", "social", "phone"):
-        return re.sub(r"[^\d+]", "", entity)
+    if kind == "card":
+        return re.sub(r"\D", "", entity)
+    if kind == "phone":
+        country = _country(entity)
+        return f"{country} {re.sub(r'\D', '', entity[len(country) :])}".strip()
     if kind == "account":
         return entity.replace(" ", "")
-    return entity.lower() if kind in ("email", "person", "hex", "secret") else entity
+    return entity.lower() if kind in ("email", "person", "hex") else entity
 
 
 def replace(text: str, attempts: dict[str, int], key: bytes, known: dict) -> tuple[str, dict[str, int]]:
@@ -315,9 +325,7 @@ def entities(docs: DataFrame) -> DataFrame:
                     [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], schema=to_arrow_schema(out)
                 )
 
-    # Texts without a digit, an at-sign and a title have no entities.
-    likely = F.col("text").rlike(rf"[0-9@]|\b(?:{TITLES})\b")
-    return docs.where(likely).select("text").mapInArrow(run, out).distinct()
+    return docs.where(F.col("text").rlike(_LIKELY)).select("text").mapInArrow(lean(run), out).distinct()
 
 
 def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
@@ -333,7 +341,7 @@ def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
                 [*batch.columns, pa.array(made, pa.string())], schema=to_arrow_schema(out)
             )
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -368,14 +376,17 @@ def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
 def protect(
     docs: DataFrame, key: bytes = KEY, names: tuple[str, str] = ("n_entities", "kinds")
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` replaced, plus the entities found, by ``names``."""
+    """All rows and columns of ``docs`` with ``text`` replaced, plus their number and kinds of entities.
+
+    ``names`` are those of the two new columns; columns of ``docs`` with these names are replaced.
+    """
     odd = cut_lineage(exceptions(cut_lineage(entities(docs)), key))
     count = odd.count()
     rows = docs.withColumn("__attempts", F.lit(None).cast("string"))
     if count:
         rows = _with_attempts(docs, odd, count <= SENT_ROWS)
 
-    passed = [c for c in docs.columns if c != "text"]
+    passed = [c for c in docs.columns if c.lower() not in ("text", names[0].lower(), names[1].lower())]
     out = T.StructType(
         [*[docs.schema[c] for c in passed], text_field("text"), long(names[0]), text_field(names[1])]
     )
@@ -387,7 +398,7 @@ def protect(
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                if len(known) > 100_000:
+                if len(known) > 20_000:
                     known.clear()
                 made = [
                     replace(text, json.loads(tries) if tries else {}, key, known)
@@ -404,12 +415,12 @@ def protect(
                 )
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return rows.select(*passed, text, "__attempts").mapInArrow(run, out)
+    return rows.select(*passed, text, "__attempts").mapInArrow(lean(run), out)
 
 
 def _with_attempts(docs: DataFrame, odd: DataFrame, few: bool) -> DataFrame:
     """``docs`` with the attempts of the exceptions in each text, found by its entities."""
-    out = T.StructType([long("hash"), text_field("kind"), text_field("entity")])
+    out = T.StructType([long("__of"), text_field("kind"), text_field("entity")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,11 +436,10 @@ def _with_attempts(docs: DataFrame, odd: DataFrame, few: bool) -> DataFrame:
 
     # Equal texts have equal entities, so a text's hash can stand for it; a false match is harmless.
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    likely = F.col("text").rlike(rf"[0-9@]|\b(?:{TITLES})\b")
-    having = hashed.where(likely).select("__hash", "text").mapInArrow(run, out).distinct()
+    having = hashed.where(F.col("text").rlike(_LIKELY)).select("__hash", "text").mapInArrow(lean(run), out).distinct()
     tries = (
         having.join(F.broadcast(odd) if few else odd, ["kind", "entity"])
-        .groupBy("hash")
+        .groupBy("__of")
         .agg(
             F.to_json(
                 F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "entity"), "attempt")))
@@ -439,5 +449,5 @@ def _with_attempts(docs: DataFrame, odd: DataFrame, few: bool) -> DataFrame:
     tries = cut_lineage(tries)
     small = tries.count() <= SENT_ROWS
     return hashed.join(
-        F.broadcast(tries) if small else tries, hashed["__hash"] == tries["hash"], "left"
-    ).drop("hash", "__hash")
+        F.broadcast(tries) if small else tries, hashed["__hash"] == tries["__of"], "left"
+    ).drop("__of", "__hash")
