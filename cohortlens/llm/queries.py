@@ -11,6 +11,7 @@ from cohortlens.llm import (
     extraction,
     jaccard,
     licenses,
+    oracles,
     pieces,
     pii,
     quality,
@@ -18,7 +19,7 @@ from cohortlens.llm import (
     urls,
 )
 from cohortlens.llm.common import table
-from cohortlens.llm.registry import QUERIES
+from cohortlens.llm.registry import ORACLES, QUERIES
 
 #: Model file of the public tokenizer that documents are encoded with.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -87,3 +88,5 @@ for _query in (
     op10_html_extract,
 ):
     QUERIES[_query.__name__] = _query
+ORACLES["op3_chat_format"] = oracles.CHAT_FORMAT
+ORACLES["op9_ngram_jaccard"] = oracles.NGRAM_JACCARD
