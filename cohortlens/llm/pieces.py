@@ -23,6 +23,7 @@ import functools
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cohortlens.llm.common import lean
+
 MARK = "▁"
 
-#: Words whose ids, and pairs whose compatibility, a Python worker remembers.
+#: Words whose ids, and pairs whose compatibility, a Python worker remembers (of words twice as many
+#: at most, for the last full set of them is kept, too).
 REMEMBERED = 200_000
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
+def _words(text: str) -> list[str]:
+    """Marked words of a text, each without its first mark."""
+    if not text:
+        return []
+    if MARK not in text:
+        words = text.split(" ")
+        if "" not in words:
+            return words
+    return [w[1:] for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+
+
 class Pieces:
     """A vocabulary of scored pieces: id by piece, score by id, and the byte pieces."""
 
@@ -52,10 +67,28 @@ class Pieces:
         self.unknown = next((i for i, (p, _) in enumerate(pieces) if p == "<unk>"), 0)
         self.byte_ids = [self.ids.pop(f"<0x{b:02X}>", None) for b in range(256)]
         self.runs = {p: i for p, i in self.ids.items() if len(p) > 1 and not p.strip(MARK)}
-        self.longest = max((len(p) for p in self.ids), default=1)
+        # A trie of the pieces read backwards; "" holds (length, id) of the pieces that end a text
+        # which ends on the node's path, the longest first.
+        self.backwards: dict = {"": ()}
+        usable = [(p, i) for p, i in self.ids.items() if kind == "unigram" or p not in self.runs]
+        for piece, i in sorted(usable, key=lambda x: len(x[0])):
+            node = self.backwards
+            for c in reversed(piece):
+                node = node.setdefault(c, {"": None})
+            node[""] = i
+        todo = list(self.backwards.items())
+        ways: list[tuple[dict, int, tuple]] = [(n, 1, ()) for c, n in todo if c]
+        while ways:
+            node, length, found = ways.pop()
+            if node[""] is not None:
+                found = ((length, node[""]), *found)
+            node[""] = found
+            ways += [(n, length + 1, found) for c, n in node.items() if c]
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.remembered: dict[str, tuple[int, ...]] = {}
-        self.compatible = functools.lru_cache(REMEMBERED)(self._compatible)
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.text_of = [p for p, _ in pieces]
+        self.pairs: dict[int, bool] = {}
         self.run_ids = functools.lru_cache(4096)(self._run_ids)
 
         self.bytes_of = [p.replace(MARK, " ").encode() for p, _ in pieces]
@@ -82,9 +115,13 @@ class Pieces:
         ids = [self.byte_ids[b] for b in character.encode()]
         return [self.unknown] if None in ids else ids
 
-    def _compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether merging the text of two neighbouring pieces gives just these two."""
-        return self.merged(left + right) == [left, right]
+        one, two = self.text_of[left], self.text_of[right]
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
+        fits = self.pairs[left << 32 | right] = self.merged(one + two) == [one, two]
+        return fits
 
     def merged(self, word: str) -> list[str]:
         """Pieces after repeatedly merging the best pair, the leftmost among equals."""
@@ -113,80 +150,99 @@ class Pieces:
                 at += 1
         return tuple(self.ids[MARK * k] for k in parts)
 
-    def _step(self, word: str, end: int, starts: list[int], totals: list[float]) -> None:
-        """Adds the forward state of ``word[:end]``: where its last piece starts."""
-        if self.kind == "bpe":
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if piece not in self.ids and end - start > 1:
-                    continue
-                if start == 0 or self.compatible(word[starts[start] : start], piece):
-                    starts.append(start)
-                    return
-            raise AssertionError(f"no segmentation of {word[:end]!r}")
-        best, at = None, end - 1
-        for start in range(max(0, end - self.longest), end):
-            i = self.ids.get(word[start:end])
-            if i is None and end - start > 1:
-                continue
-            total = totals[start] + (self.least if i is None else self.scores[i])
-            if best is None or total > best:
-                best, at = total, start
-        starts.append(at)
-        totals.append(best)
+    def _forward(self, word: str, done: int, starts: list[int], last: list, totals: list[float]) -> None:
+        """Adds the forward states of all prefixes longer than ``done``: start and id of the last piece."""
+        root, pairs, bpe = self.backwards, self.pairs, self.kind == "bpe"
+        for end in range(done + 1, len(word) + 1):
+            node, at = root, end
+            while at:
+                further = node.get(word[at - 1])
+                if further is None:
+                    break
+                node, at = further, at - 1
+            found = node[""]
+            # A character that is no piece is one by itself.
+            start, i = end - 1, found[-1][1] if found and found[-1][0] == 1 else None
+            if bpe:
+                # Exactly one candidate fits, so the shortest one needs no test when all others fail.
+                for length, piece in found:
+                    if length == 1:
+                        break
+                    before = last[end - length]
+                    if before is not None:
+                        fits = pairs.get(before << 32 | piece)
+                        if fits is None:
+                            fits = self.compatible(before, piece)
+                        if not fits:
+                            continue
+                    # Nothing stands before, or a character that never merges.
+                    start, i = end - length, piece
+                    break
+            else:
+                best = totals[start] + (self.least if i is None else self.scores[i])
+                for length, piece in found:
+                    total = totals[end - length] + self.scores[piece]
+                    if total > best:
+                        best, start, i = total, end - length, piece
+                totals.append(best)
+            starts.append(start)
+            last.append(i)
 
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each marked word."""
-        known = self.remembered
-        out = {w: known[w] for w in words if w in known}
-        # Only the last mark of a run can be part of a longer piece; the rest are a run of marks.
-        cores: dict[str, str] = {}
-        for word in words - out.keys():
-            marks = len(word) - len(word.lstrip(MARK))
-            cores[word] = word if self.kind == "unigram" else word[marks - 1 :]
-        cut: dict[str, list[int]] = {}
-        starts, totals, before = [0], [0.0], ""
-        for core in sorted(set(cores.values())):
-            shared = 0
-            for a, b in zip(before, core, strict=False):
+        """Ids of marked words, these and others. A word is given without its first mark."""
+        if len(self.remembered) > REMEMBERED:
+            self.older, self.remembered = self.remembered, {}
+        known, older = self.remembered, self.older
+        fresh: list[str] = []
+        runs: list[str] = []
+        for word in words:
+            if word not in known:
+                if word in older:
+                    known[word] = older[word]
+                elif word.startswith(MARK) and self.kind == "bpe":
+                    # Only the last mark of a run can be part of a longer piece.
+                    runs.append(word)
+                    core = word.lstrip(MARK)
+                    if core not in known:
+                        fresh.append(core)
+                else:
+                    fresh.append(word)
+        starts, last, totals, before = [0], [None], [0.0], ""
+        for key in sorted(fresh):
+            word = MARK + key
+            shared = 5 if word[:5] == before[:5] and len(before) > 5 else 0
+            for a, b in zip(before[shared:], word[shared:], strict=False):
                 if a != b:
                     break
                 shared += 1
-            del starts[shared + 1 :], totals[shared + 1 :]
-            for end in range(shared + 1, len(core) + 1):
-                self._step(core, end, starts, totals)
-            before = core
-            ends, at = [], len(core)
-            while at > 0:
-                ends.append(at)
+            del starts[shared + 1 :], last[shared + 1 :], totals[shared + 1 :]
+            self._forward(word, shared, starts, last, totals)
+            before = word
+            ids, at = [], len(word)
+            while at:
+                i = last[at]
+                if i is None:
+                    ids += self.spelled(word[at - 1])[::-1]
+                else:
+                    ids.append(i)
                 at = starts[at]
-            cut[core] = ends[::-1]
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word, core in cores.items():
-            ids: list[int] = []
-            start = 0
-            for end in cut[core]:
-                i = self.ids.get(core[start:end])
-                ids += [i] if i is not None else self.spelled(core[start:end])
-                start = end
-            if len(core) < len(word):
-                marks = len(word) - len(core)
-                alone = cut[core][0] == 1
-                ids = [*self.run_ids(marks + alone), *ids[alone:]]
-            out[word] = known[word] = tuple(ids)
-        return out
+            ids.reverse()
+            known[key] = tuple(ids)
+        for word in runs:
+            rest = word.lstrip(MARK)
+            ids = known[rest]
+            # A mark that joined no piece belongs to the run before it.
+            alone = ids[0] == self.ids.get(MARK)
+            known[word] = (*self.run_ids(len(word) - len(rest) + alone), *ids[alone:])
+        return known
 
     def encode(self, texts: list[str]) -> tuple[array, np.ndarray]:
         """Ids of all texts in one row, and where each text's ids end."""
-        split = [
-            _WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts
-        ]
-        found = self.encode_words({w for words in split for w in words})
+        split = [_words(t) for t in texts]
+        found = self.encode_words(set().union(*split)).__getitem__
         flat, ends = array("i"), np.zeros(len(texts) + 1, dtype=np.int32)
         for i, words in enumerate(split):
-            for w in words:
-                flat.extend(found[w])
+            flat.extend(chain.from_iterable(map(found, words)))
             ends[i + 1] = len(flat)
         return flat, ends
 
@@ -194,7 +250,7 @@ class Pieces:
         table = self.bytes_of
         if ids and (min(ids) < 0 or max(ids) >= len(table)):
             raise ValueError("an id is outside the model")
-        joined = b"".join([table[i] for i in ids])
+        joined = b"".join(map(table.__getitem__, ids))
         return joined.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -232,8 +288,8 @@ def encode(
         schema = to_arrow_schema(out)
         pieces = _model(name, kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = part.column(n).to_pylist()
                 flat, ends = pieces.encode(texts)
                 same = [
@@ -252,7 +308,7 @@ def encode(
                 )
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
-    return docs.select(*keep, text).mapInArrow(run, out)
+    return docs.select(*keep, text).mapInArrow(lean(run), out)
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -269,4 +325,4 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
             kept = [batch.column(i).cast(schema.types[i]) for i in range(n)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select(*keep, "ids").mapInArrow(run, out)
+    return encoded.select(*keep, "ids").mapInArrow(lean(run), out)
