@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import double, map_texts, plain_words
+from cohortlens.llm.common import double, map_texts, plain_words, trim_memory
 
 TOXIC_TEXTS = 2400
 ORDINARY_TEXTS = 4800
@@ -230,7 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model | None:
         )
         texts[kind] = [r["text"].encode() for r in chosen.collect()]
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train(texts[1], texts[0], share)
+    model = train(texts[1], texts[0], share)
+    texts.clear()
+    trim_memory()
+    return model
 
 
 def score(
