@@ -154,6 +154,13 @@ def key_offenders(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return duplicated(df, keys)
 
 
+def unique_result(df: DataFrame, keys: Sequence[str], name: str, detail: str) -> DataFrame:
+    """Rows that share their grain key, counted by one reduction; ``key_offenders`` shows them."""
+    shared = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    rows = F.coalesce(F.sum("_rows"), F.lit(0))
+    return offenders_result(shared, name, "uniqueness", "fail", detail, value=rows)
+
+
 def final_offenders(df: DataFrame, entity: str, flag: str) -> DataFrame:
     """Entities without exactly one final record."""
     finals = df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(

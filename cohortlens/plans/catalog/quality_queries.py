@@ -135,9 +135,8 @@ def dq_group_checks(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     results = [
         Q.row_count(fact, table(spark, sf, "orders")),
-        Q.offenders_result(Q.key_offenders(fact, ["order_key"]), "unique_order", "uniqueness", "fail", ""),
-        Q.offenders_result(Q.key_offenders(lines, ["l_orderkey", "l_linenumber"]), "unique_line",
-                           "uniqueness", "fail", ""),
+        Q.unique_result(fact, ["order_key"], "unique_order", ""),
+        Q.unique_result(lines, ["l_orderkey", "l_linenumber"], "unique_line", ""),
         Q.offenders_result(Q.final_offenders(fact, "cust_key", "is_final"), "one_final_per_customer",
                            "uniqueness", "fail", ""),
         Q.period_result(fact, "class_year", 1995, 2002),

@@ -70,8 +70,7 @@ def run_checks(
     coverage_years = Q.coverage_by_period(fact, "draft_year", "bonus_usd", first_ten)
     results = [
         Q.row_count(fact, source),
-        Q.offenders_result(Q.key_offenders(fact, GRAIN), "unique_pick", "uniqueness", "fail",
-                           "rows share their grain key"),
+        Q.unique_result(fact, GRAIN, "unique_pick", "rows share their grain key"),
         Q.offenders_result(Q.final_offenders(fact, "person_id", "is_final_draft"),
                            "one_final_draft_per_person", "uniqueness", "fail",
                            "people without exactly one final record"),

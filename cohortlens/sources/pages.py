@@ -16,14 +16,27 @@ from pyspark.sql import functions as F
 from cohortlens.functions.dates import first_date_of_range
 from cohortlens.functions.text import clean_cell, squeeze
 
-ROW_SCHEMA = (
-    "page_id long, table_no int, table_id string, row_no int, is_header boolean, "
+ROW_FIELDS = (
+    "table_no int, table_id string, row_no int, is_header boolean, "
     "header array<string>, cells array<string>, links array<string>"
 )
 
 
+#: Cells that one cell may span at most, as browsers read it.
+MAX_SPAN = 1000
+PAGES_AT_ONCE = 100
+
+
+def _span(value: str | None) -> int:
+    number = (value or "").strip()
+    return min(max(int(number), 1), MAX_SPAN) if number.isdecimal() else 1
+
+
 class _RowReader(HTMLParser):
-    """Collects cells of repeated row elements; nested tables start a table of their own."""
+    """Collects cells of repeated row elements; nested tables start a table of their own.
+
+    A cell that spans columns or rows is repeated in each of its places.
+    """
 
     def __init__(self, table: str, row: str, cells: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
@@ -35,7 +48,7 @@ class _RowReader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == self.table:
-            self.open.append({"no": self.tables, "id": attrs.get("id"), "rows": 0, "first": None, "row": None, "cell": None})
+            self.open.append({"no": self.tables, "id": attrs.get("id"), "rows": 0, "first": None, "row": None, "cell": None, "below": {}})
             self.tables += 1
         elif not self.open:
             return
@@ -44,10 +57,12 @@ class _RowReader(HTMLParser):
             return
         if tag == self.row:
             self._end_row(here)
-            here["row"] = {"cells": [], "links": [], "head": True}
+            here["row"] = {"cells": [], "head": True}
         if tag in self.cell_tags and here["row"] is not None:
             self._end_cell(here)
-            here["cell"] = {"text": [], "link": None}
+            here["cell"] = {
+                "text": [], "link": None, "wide": _span(attrs.get("colspan")), "high": _span(attrs.get("rowspan")),
+            }
             here["row"]["head"] &= tag == "th"
         if tag == "a" and here["cell"] is not None and here["cell"]["link"] is None:
             here["cell"]["link"] = attrs.get("href")
@@ -70,18 +85,41 @@ class _RowReader(HTMLParser):
 
     def _end_cell(self, here):
         if here["cell"] is not None:
-            here["row"]["cells"].append("".join(here["cell"]["text"]))
-            here["row"]["links"].append(here["cell"]["link"])
+            here["row"]["cells"].append(here["cell"])
             here["cell"] = None
 
+    def _placed(self, here, cells):
+        """(text, link) by column: cells reaching down from earlier rows keep their columns."""
+        above, below, out = here["below"], {}, []
+        todo = iter(cells)
+        cell = next(todo, None)
+        while cell is not None or any(column >= len(out) for column in above):
+            at = len(out)
+            if at in above:
+                left, content = above[at]
+                out.append(content)
+                if left > 1:
+                    below[at] = (left - 1, content)
+            elif cell is None:
+                out.append(("", None))
+            else:
+                content = ("".join(cell["text"]), cell["link"])
+                out.append(content)
+                if cell["high"] > 1:
+                    below[at] = (cell["high"] - 1, content)
+                cell["wide"] -= 1
+                if not cell["wide"]:
+                    cell = next(todo, None)
+        here["below"] = below
+        return [text for text, _ in out], [link for _, link in out]
+
     def _end_row(self, here):
         self._end_cell(here)
         row = here["row"]
         if row is not None and row["cells"]:
-            here["first"] = here["first"] or row["cells"]
-            self.rows.append(
-                (here["no"], here["id"], here["rows"], row["head"], here["first"], row["cells"], row["links"])
-            )
+            cells, links = self._placed(here, row["cells"])
+            here["first"] = here["first"] or cells
+            self.rows.append((here["no"], here["id"], here["rows"], row["head"], here["first"], cells, links))
             here["rows"] += 1
         here["row"] = None
 
@@ -109,18 +147,21 @@ def element_rows(
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "table_no", "table_id", "row_no", "is_header", "header", "cells", "links"]
         for batch in batches:
-            found = []
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-                reader = _RowReader(table, row, names)
-                reader.feed(html or "")
-                reader.close()
-                found += [(page_id, *r) for r in reader.rows]
-            yield pd.DataFrame(found, columns=columns)
+            for start in range(0, len(batch), PAGES_AT_ONCE):
+                part = batch.iloc[start : start + PAGES_AT_ONCE]
+                found = []
+                for page_id, html in zip(part["page_id"], part["html"], strict=True):
+                    reader = _RowReader(table, row, names)
+                    reader.feed(html or "")
+                    reader.close()
+                    found += [(page_id, *r) for r in reader.rows]
+                yield pd.DataFrame(found, columns=columns)
 
     html = F.col("html")
     if in_comments:
         html = F.regexp_replace(html, "<!--|-->", "")
-    return pages.select(F.col("page_id").cast("long"), html.alias("html")).mapInPandas(read, ROW_SCHEMA)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", html.alias("html")).mapInPandas(read, f"page_id {kind}, {ROW_FIELDS}")
 
 
 def table_records(

@@ -176,3 +176,21 @@ def test_backfill_and_crosscheck(spark):
     r = summary.first()
     assert (r["n"], r["exact_pct"], r["within_pct"]) == (2, 0.0, 50.0)  # a base of zero is never close
     assert [t["pick_number"] for t in top.collect()] == [4, 1]
+
+
+def test_spans_repeat_a_cell_in_all_its_places(spark):
+    html = (
+        "<table><tr><th>School</th><th colspan=2>Home</th><th>League</th></tr>"
+        "<tr><td>Alpha</td><td>Port</td><td>QQ</td><td rowspan='3'><a href='/n'>North</a></td></tr>"
+        "<tr><td>Beta</td><td rowspan=2>Bay</td><td>RR</td></tr>"
+        "<tr><td>Gamma</td><td>SS</td></tr><tr><td colspan=x>Delta</td></tr></table>"
+    )
+    df = spark.createDataFrame([("p", html), ("q", None)], "page_id string, html string")
+    got = [(r["cells"], r["links"][-1]) for r in element_rows(df).orderBy("row_no").collect()]
+    assert got == [
+        (["School", "Home", "Home", "League"], None),
+        (["Alpha", "Port", "QQ", "North"], "/n"),
+        (["Beta", "Bay", "RR", "North"], "/n"),
+        (["Gamma", "Bay", "SS", "North"], "/n"),
+        (["Delta"], None),
+    ]
