@@ -12,7 +12,7 @@ sets of ``a`` and ``b`` shingles may differ in at most ``(a + b) // 7`` shingles
   late and empty segments last, so shared passages are filed only where nothing rarer is left.
 * In the smallest band sets may differ in one shingle; there the whole set and all its
   one-deletion neighbours are filed.
-* Documents under the same content first meet only the smallest of them, then one other of them
+* Documents under the same content first meet only two of them, the smallest and one chosen by hash
   (no pairs among the rest). What links becomes one component. Only contents that
   still hold several components give pairs, of documents in different components.
 * A set's parity sketch has a bit for each hash slot, about as many as shingles, that tells whether
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import SLICE, lean, long, map_texts
+from cohortlens.llm.common import SLICE, lean, long, map_texts, small_batches
 from cohortlens.session import cut_lineage
 
 WORDS = 5
@@ -52,9 +52,6 @@ BANDS = (1, 6, *(int(19 * 3.16**k) for k in range(24)))
 SAMPLE_DOCS = 8_000
 FREQUENT = 50_000
 
-#: Rounds in which the documents of a content meet another of them, before the rest meets in pairs.
-ROUNDS = 1
-
 #: Smallest keys of a document that tell whether a pair has met under a smaller key.
 FIRSTS = 8
 
@@ -262,7 +259,7 @@ def _keyed(docs: DataFrame, keys_of) -> DataFrame:
                     )
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(lean(run), out)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text).mapInArrow(lean(run), out)
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -480,15 +477,15 @@ def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return cut_lineage(labelled.join(several, "key"))
 
 
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (hub, doc_id) of one document of each key, chosen by hash, with those of other components."""
-    hubs = rows.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "component")).alias("h")
+def _star_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (hub, doc_id) of each document with two of its key's: the smallest and one by hash."""
+    chosen = shared.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("other")
+    )
+    second = shared.join(chosen, "key").select(
+        F.least("doc_id", "other").alias("hub"), F.greatest("doc_id", "other").alias("doc_id")
     )
-    met = rows.join(hubs, "key").where("component <> h.component")
-    return met.select(
-        F.least("doc_id", "h.doc_id").alias("hub"), F.greatest("doc_id", "h.doc_id").alias("doc_id")
-    ).distinct()
+    return shared.select("hub", "doc_id").unionByName(second).where("hub <> doc_id").distinct()
 
 
 def _cross_pairs(rows: DataFrame, features: DataFrame) -> DataFrame:
@@ -574,7 +571,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     costs = _frequent_keys(docs.where(F.col("doc_id").isNotNull()))
     shared = cut_lineage(_shared(_keyed(heads, lambda s: signatures(s, costs))))
-    stars = cut_lineage(shared.where("hub <> doc_id").select("hub", "doc_id").distinct())
+    stars = cut_lineage(_star_pairs(shared))
     found = cut_lineage(_verified(docs, _possible(stars, features)))
 
     # A document id with several different texts joins their groups.
@@ -587,15 +584,10 @@ def join(docs: DataFrame) -> DataFrame:
     )
     known = cut_lineage(found.unionByName(tied))
     labels = cut_lineage(components(known))
-    for turn in range(ROUNDS + 1):
-        rows = _open_rows(shared.select("key", "doc_id"), labels)
-        if rows.isEmpty():
-            break
-        pairs = _star_pairs(rows, turn) if turn < ROUNDS else _cross_pairs(rows, features)
-        pairs = cut_lineage(pairs.join(stars, ["hub", "doc_id"], "left_anti"))
-        known = cut_lineage(known.unionByName(_verified(docs, _possible(pairs, features))))
-        labels = cut_lineage(components(known))
-        stars = stars.unionByName(pairs)
+    rows = _open_rows(shared.select("key", "doc_id"), labels)
+    if not rows.isEmpty():
+        rest = cut_lineage(_cross_pairs(rows, features).join(stars, ["hub", "doc_id"], "left_anti"))
+        labels = components(known.unionByName(_verified(docs, _possible(rest, features))))
 
     class_of = groups.join(labels, groups["hub"] == labels["node"], "left").select(
         "high", "low", "n", F.coalesce("component", "hub").alias("class")
