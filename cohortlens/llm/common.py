@@ -21,6 +21,8 @@ WORD_BYTES = bytes(
 
 #: Texts that are held as Python objects at a time.
 SLICE = 256
+#: Rows of a batch between Spark and Python, at most; texts are long, and workers should stay small.
+BATCH_ROWS = 1024
 
 
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -47,6 +49,14 @@ def trim_memory() -> None:
         trim(0)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's batches to Python were bounded by ``BATCH_ROWS``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "0")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,7 +96,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     text_bytes = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")
-    return df.select(*[F.col(c) for c in keep], text_bytes).mapInArrow(lean(run), out)
+    return small_batches(df).select(*[F.col(c) for c in keep], text_bytes).mapInArrow(lean(run), out)
 
 
 def long(name: str) -> T.StructField:

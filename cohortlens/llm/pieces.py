@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import lean
+from cohortlens.llm.common import lean, small_batches
 
 MARK = "▁"
 
@@ -308,7 +308,7 @@ def encode(
                 )
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
-    return docs.select(*keep, text).mapInArrow(lean(run), out)
+    return small_batches(docs).select(*keep, text).mapInArrow(lean(run), out)
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

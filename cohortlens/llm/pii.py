@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cohortlens.llm.common import SLICE, lean, long, string as text_field
+from cohortlens.llm.common import SLICE, lean, long, string as text_field, small_batches
 from cohortlens.session import cut_lineage
 
 KEY = b"surrogates"
@@ -325,7 +325,7 @@ def entities(docs: DataFrame) -> DataFrame:
                     [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], schema=to_arrow_schema(out)
                 )
 
-    return docs.where(F.col("text").rlike(_LIKELY)).select("text").mapInArrow(lean(run), out).distinct()
+    return small_batches(docs).where(F.col("text").rlike(_LIKELY)).select("text").mapInArrow(lean(run), out).distinct()
 
 
 def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
@@ -415,7 +415,7 @@ def protect(
                 )
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return rows.select(*passed, text, "__attempts").mapInArrow(lean(run), out)
+    return small_batches(rows).select(*passed, text, "__attempts").mapInArrow(lean(run), out)
 
 
 def _with_attempts(docs: DataFrame, odd: DataFrame, few: bool) -> DataFrame:
