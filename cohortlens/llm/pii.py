@@ -3,14 +3,16 @@
 Found are e-mail addresses, telephone, card, account and social security numbers, IP addresses,
 access keys and secrets, and names after a title. A surrogate is the entity under a keyed
 permutation of all strings of its format: a Feistel network over the alphabets of its characters, so
-digits stay digits, letters keep their script, case and, in names, vowels and consonants. Listed
+digits stay digits, letters keep their script or Unicode page, case and, in names, vowels and consonants. Listed
 given names move within the list of their gender. Check digits are valid where they were, IP
 addresses stay in their kind of range. One key and one entity always give one surrogate, in all
 documents, whatever the case it is written in; different entities cannot share one.
 
 What a permutation cannot promise is that a surrogate is not the true value of somebody else in the
 corpus. The distinct entities are therefore checked against each other as tables, and colliding ones
-get the next permutation until no collision is left.
+get the next permutation until no collision is left. After ``SAME`` permutations a name, e-mail
+address, telephone number or secret becomes longer, by two characters more at each attempt, so small
+formats cannot run out; if collisions were left after ``LAST`` attempts, the job would fail.
 
 Null and empty texts become empty texts without entities. Repeated rows are replaced alike. Extra
 columns are left alone. An empty table gives no rows.
@@ -22,7 +24,9 @@ import hashlib
 import json
 import re
 import string
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,8 @@ from cohortlens.session import cut_lineage
 
 KEY = b"surrogates"
 ROUNDS = 10
+#: Attempts that keep an entity's format, and those after which the job fails.
+SAME, LAST = 6, 60
 #: Rows of exceptions up to which they are sent to all executors.
 SENT_ROWS = 100_000
 
@@ -119,6 +125,21 @@ _HEX = (string.digits + "abcdef",)
 _SPOKEN = (string.digits, _VOWELS, _CONSONANTS, *_ALPHABETS[2:])
 
 
+def _class(c: str) -> tuple[str, bool, bool]:
+    upper = c.upper()
+    return unicodedata.category(c), len(upper) == 1 and upper.lower() == c, upper == c
+
+
+@cache
+def _page(c: str) -> str:
+    """The letters or digits like ``c`` among the 256 characters around it."""
+    if not c.isalnum() or c != c.lower():
+        return ""
+    first = ord(c) & ~255
+    near = (chr(i) for i in range(first, first + 256))
+    return "".join(x for x in near if x.isalnum() and x == x.lower() and _class(x) == _class(c))
+
+
 def _round(key: bytes, tweak: str, step: int, value: int, size: int) -> int:
     data = f"{tweak}\0{step}\0{value}".encode()
     width = (size.bit_length() + 7) // 8 + 8
@@ -149,15 +170,16 @@ def shuffled(text: str, alphabets: tuple[str, ...], key: bytes, tweak: str) -> s
     places, letters, sizes = [], [], []
     for i, c in enumerate(text):
         low = c.lower()
-        for alphabet in alphabets:
-            if len(low) == 1 and low in alphabet:
-                places.append((i, alphabet, c != low))
-                letters.append(alphabet.index(low))
-                sizes.append(len(alphabet))
-                break
+        if len(low) != 1:
+            continue
+        alphabet = next((a for a in alphabets if low in a), None) or _page(low)
+        if alphabet:
+            places.append((i, alphabet, c != low))
+            letters.append(alphabet.index(low))
+            sizes.append(len(alphabet))
     if not places:
         return text
-    form = "".join(str(alphabets.index(a)) for _, a, _ in places)
+    form = "".join(str(alphabets.index(a)) if a in alphabets else f"<{a[0]}>" for _, a, _ in places)
     fixed = "".join(c.lower() for i, c in enumerate(text) if i not in {p for p, _, _ in places})
     half = len(sizes) // 2
     left = right = 1
@@ -208,11 +230,13 @@ def _ip_kind(octets: list[int]) -> str:
 def surrogate(entity: str, kind: str, key: bytes = KEY, attempt: int = 0) -> str:
     """The entity's replacement; ``attempt`` chooses another permutation."""
     tweak = f"{kind}#{attempt}"
+    more = 2 * max(0, attempt - SAME + 1)
     if kind == "email":
         local, domain = entity.split("@", 1)
         host, _, ending = domain.rpartition(".")
         changed = shuffled(f"{local}@{host}", _SPOKEN, key, tweak)
-        return f"{changed}.{ending}"
+        longer = _longer(canonical(entity, kind), string.ascii_lowercase, more, key, tweak)
+        return f"{changed.replace('@', longer + '@')}.{ending}"
     if kind == "ip":
         octets = [int(x) for x in entity.split(".")]
         sort = _ip_kind(octets)
@@ -239,20 +263,31 @@ def surrogate(entity: str, kind: str, key: bytes = KEY, attempt: int = 0) -> str
         country = _country(entity)
         digits = re.sub(r"\D", "", entity[len(country) :])
         given = iter(shuffled(digits, _ALPHABETS, key, f"{tweak}{country}"))
-        return country + re.sub(r"\d", lambda _: next(given), entity[len(country) :])
+        longer = _longer(canonical(entity, kind), string.digits, more, key, tweak)
+        return country + re.sub(r"\d", lambda _: next(given), entity[len(country) :]) + longer
     if kind == "access":
         return entity[:4] + shuffled(entity[4:], _ALPHABETS, key, tweak)
     if kind == "hex" or (kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity)):
         return shuffled(entity, _HEX, key, f"hex#{attempt}")
     if kind == "person":
-        return "".join(
-            _name(part, key, attempt) if part not in " -" else part for part in re.split("([ -])", entity)
-        )
-    return shuffled(entity, _ALPHABETS, key, tweak)
+        *before, last = re.split("([ -])", entity)
+        made = [_name(part, key, attempt) if part not in " -" else part for part in before]
+        end = last[-1].lower()
+        alphabet = next((a for a in _ALPHABETS[1:] if end in a), string.ascii_lowercase)
+        longer = _longer(canonical(entity, kind), alphabet, more, key, tweak)
+        return "".join([*made, _name(last, key, attempt, longer)])
+    longer = _longer(entity, string.ascii_lowercase, more if kind == "secret" else 0, key, tweak)
+    return shuffled(entity, _ALPHABETS, key, tweak) + longer
+
+
+def _longer(entity: str, alphabet: str, n: int, key: bytes, tweak: str) -> str:
+    """``n`` keyed characters for an entity whose format has no free value."""
+    return "".join(alphabet[_round(key, f"{tweak}|{entity}", i, n, len(alphabet))] for i in range(n))
 
 
-def _name(word: str, key: bytes, attempt: int) -> str:
-    """A part of a name: listed given names by gender, others by sound; never a listed name."""
+def _name(word: str, key: bytes, attempt: int, longer: str = "") -> str:
+    """A part of a name: listed given names by gender, others by sound; never a listed name unless
+    it was one. ``longer`` goes before the last letter."""
     low = word.lower()
     for gender, listed in enumerate(GIVEN):
         if low in listed:
@@ -260,13 +295,13 @@ def _name(word: str, key: bytes, attempt: int) -> str:
             while True:
                 at = permute(at, 5, 5, key, f"given{gender}#{attempt}")
                 if at < len(listed):
-                    return _cased(listed[at], word)
+                    return _cased(listed[at][:-1] + longer + listed[at][-1], word)
     plain = {n for listed in GIVEN for n in listed}
     # The last letter often tells the gender, so it stays.
     out = _walk(
         low, lambda w: shuffled(w[:-1], _SPOKEN, key, f"name#{attempt}|{w[-1]}") + w[-1], lambda w: w not in plain
     )
-    return _cased(out, word)
+    return _cased(out[:-1] + longer + out[-1], word)
 
 
 def _cased(word: str, like: str) -> str:
@@ -337,6 +372,8 @@ def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
             made = [
                 canonical(surrogate(v, k, key, t), k) for k, v, t in zip(kinds, values, tries, strict=True)
             ]
+            # A surrogate that holds its whole entity hides nothing; it collides like the entity itself.
+            made = [v if v in m else m for v, m in zip(values, made, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(made, pa.string())], schema=to_arrow_schema(out)
             )
@@ -363,8 +400,10 @@ def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
             .select("kind", "entity")
         )
         again = cut_lineage(taken.unionByName(twice).distinct())
-        if again.isEmpty() or current.agg(F.max("attempt")).first()[0] >= 30:
+        if again.isEmpty():
             break
+        if current.agg(F.max("attempt")).first()[0] >= LAST:
+            raise RuntimeError(f"{again.count()} surrogates collide after {LAST} attempts")
         redone = current.join(again, ["kind", "entity"], "left_semi").select(
             "kind", "entity", (F.col("attempt") + 1).alias("attempt")
         )

@@ -97,3 +97,24 @@ def test_collisions_with_true_values_are_moved_on(spark):
     made = [t.removeprefix("call ").removesuffix(" now") for t in rows]
     assert len(set(made)) == len(numbers)
     assert not set(made) & set(numbers)
+
+
+def test_formats_without_free_values(spark):
+    """All listed names occur, so each surrogate of a listed name is a true value."""
+    given = [n.capitalize() for n in pii.GIVEN[0]]
+    docs = samples.documents(spark, [(1000 + i, f"Mr {n} came") for i, n in enumerate(given)] + [(2000, "MR JOHN or Mr JOHN came")])
+    rows = {r["doc_id"]: r["text"] for r in pii.protect(docs, KEY).collect() if r["doc_id"] is not None}
+    made = [rows[1000 + i].split()[1] for i in range(len(given))]
+    assert len(set(made)) == len(given) and not set(made) & set(given)
+    assert rows[2000].split()[4] == made[given.index("John")].upper()
+
+
+@pytest.mark.parametrize("entity", ["李明@例子.com", "さくら@れい.com", "محمد@مثال.com", "דוד@דוגמה.com", "สมชาย@ตย.com", "_@_.com", "١٢٣@٤٥.com"])
+def test_letters_of_other_scripts_move(spark, entity):
+    if entity != "_@_.com":
+        made = pii.surrogate(entity, "email", KEY)
+        changed = [a != b for a, b in zip(entity[:-4], made[:-4], strict=True)]
+        assert sum(changed) >= 2 and [k for _, _, k in pii.find(made)] == ["email"]
+        assert all(ord(a) >> 8 == ord(b) >> 8 for a, b in zip(entity, made, strict=True))
+    docs = spark.createDataFrame([(1, f"write to {entity} now")], "doc_id long, text string")
+    assert entity not in pii.protect(docs, KEY).first()["text"]
