@@ -1,11 +1,10 @@
 """URL filter: listed rules first, then association rules that are mined from the listed verdicts.
 
-A url's tokens are its host's labels and endings and the pieces of its path and query. Where a
-listed rule decides a url, its verdict is a label: Spark's FP-growth finds the token combinations
-that are frequent among all urls and imply one verdict; urls without a listed verdict count against
-every implication. Combinations below the support or the
-confidence are left out, and so is every rule that a shorter one with as much confidence makes
-needless. Rules are filed under their rarest token, so a url meets only the rules filed under its
+A url's tokens are its host's endings, the labels before the shortest one, and the pieces of its path
+and query. Where a listed rule decides a url, its verdict is a label: Spark's FP-growth finds the
+token combinations that are frequent among the labelled urls and imply one verdict; urls without a
+listed verdict say nothing for or against. Combinations below the support or the confidence are left
+out, and so is every rule that a shorter one with as much confidence makes needless. Rules are filed under their rarest token, so a url meets only the rules filed under its
 own tokens; of the rules whose tokens it all has, the most confident decides, and without one the
 url is allowed.
 
@@ -81,7 +80,7 @@ def listed_rule(rules: tuple[Rule, ...] = LISTED) -> tuple[Column, Column]:
 
 
 def tokens(url: str = "url") -> Column:
-    """Distinct tokens: host labels and endings, path and query pieces."""
+    """Distinct tokens: host endings and the labels before the shortest, path and query pieces."""
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     endings = F.transform(
         F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))),
@@ -94,8 +93,10 @@ def tokens(url: str = "url") -> Column:
     def named(kind: str, values: Column) -> Column:
         return F.transform(values, lambda x: F.concat(F.lit(kind + ":"), x))
 
+    # The last two labels always come with their ending and would only double the combinations.
+    before = F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0)))
     all_tokens = F.concat(
-        named("host", labels), named("under", endings), named("path", pieces), named("query", asked)
+        named("host", before), named("under", endings), named("path", pieces), named("query", asked)
     )
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
         F.array_distinct(all_tokens)
@@ -173,7 +174,7 @@ def judge(
     )
     urls = rows.groupBy("url", "host", "path", "listed").agg(F.count(F.lit(1)).alias("rows"))
     mined = mine(
-        rows.where(F.col("host") != "").select(
+        rows.where((F.col("host") != "") & F.col("listed").isNotNull()).select(
             tokens().alias("tokens"), F.col("listed").alias("verdict")
         ),
         support,

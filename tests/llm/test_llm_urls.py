@@ -95,3 +95,15 @@ def test_without_rows_or_listed_verdicts(spark):
     rows = [(1, "http://a.org/", None, None), (1, "http://a.org/", None, None), (2, None, None, None)]
     got = urls.judge(spark.createDataFrame(rows, SHAPE)).collect()
     assert len(got) == 3 and {r["verdict"] for r in got} == {"allow"}
+
+
+def test_unlisted_urls_do_not_count_against_a_rule(spark):
+    """Most urls with the token are unlisted; all that are listed are blocked."""
+    rules = (urls.Rule("block", "bad.org", "/"), urls.Rule("allow", "good.org", "/"))
+    rows = [(i, f"http://bad.org/{i}?ref=win", None, None) for i in range(60)]
+    rows += [(100 + i, f"http://good.org/{i}?ref=no", None, None) for i in range(60)]
+    rows += [(200 + i, f"http://h{i}.net/x{i}?ref=win", None, None) for i in range(300)]
+    rows += [(600 + i, f"http://h{i}.net/x{i}", None, None) for i in range(100)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, SHAPE), rules).collect()}
+    assert {(got[i]["verdict"], got[i]["mined_rule"]) for i in range(200, 500)} == {("block", "query:win")}
+    assert {got[i]["verdict"] for i in [*range(100, 160), *range(600, 700)]} == {"allow"}
