@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (
+    alignment,
     chat,
     decontaminate,
     extraction,
@@ -23,6 +24,8 @@ from cohortlens.llm.registry import ORACLES, QUERIES
 
 #: Model file of the public tokenizer that documents are encoded with.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Vocabulary file of the byte-level tokenizer that it is aligned with.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECE_MODEL)
+
+
 for _query in (
     op1_sentencepiece,
     op2_license_scan,
@@ -86,6 +93,7 @@ for _query in (
     op8_url_filter,
     op9_ngram_jaccard,
     op10_html_extract,
+    op13_tokenizer_alignment,
 ):
     QUERIES[_query.__name__] = _query
 ORACLES["op3_chat_format"] = oracles.CHAT_FORMAT
