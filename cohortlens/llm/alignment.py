@@ -12,8 +12,8 @@ bytes of their tokens are compared place by place.
    Inside a window every shared end closes a group, and each stretch between neighbouring ends of
    either side is one link, the pair of the two tokens that cover it.
 4. Counts. Tasks count their windows, so a link is counted once a window and task, and the counts of
-   id pairs are summed over the corpus. The ``LISTED`` most frequent pairs are sent to the tasks;
-   texts emit their links of all other pairs, which are joined.
+   id pairs are summed over the corpus. Every text's links are stored (packed) next to its sizes. The
+   ``LISTED`` most frequent pairs are sent to the tasks; links of all other pairs are joined.
 
 Null and empty texts, and texts whose tokens do not spell them (the mark character itself, say), have
 no tokens: zeros and an empty digest. Repeated rows and ids are counted and returned each; an empty
@@ -24,13 +24,14 @@ those of the results. Very long texts are read whole; what a task remembers is b
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from cohortlens.llm.common import SLICE, lean, long, small_batches, string
-from cohortlens.session import cut_lineage
+from cohortlens.session import cut_lineage, shared_folder
 
 #: Windows and links that a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -50,6 +52,10 @@ REMEMBERED_LINKS = 3_000_000
 LONGEST = 64
 #: Most frequent id pairs whose counts every task gets (20 bytes each); all others are joined.
 LISTED = 1_000_000
+#: Pieces that are given to the tokenizers in one text.
+TOGETHER = 500
+#: Number of a piece of text that its tokens do not spell.
+UNSPELLED = -1
 
 #: White space before a blank: a blank there may belong to the token that begins before it.
 _CROSSED = re.compile("[\\s\\u180e\\u200b] ")
@@ -81,8 +87,12 @@ class Tokenizers:
                 self.b_bytes.append(b"")
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
-        self.a_marked = [t.startswith(b" ") for t in self.a_bytes]
-        self.b_marked = [t.startswith(b" ") for t in self.b_bytes]
+        self.a_marked, self.b_marked = (
+            np.array([t.startswith(b" ") for t in side]) for side in (self.a_bytes, self.b_bytes)
+        )
+        self.a_lengths, self.b_lengths = (
+            np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes)
+        )
         #: Whether no piece holds a mark behind another character, so that blanks cut B's tokens.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -101,9 +111,18 @@ class Tokenizers:
                 out[-1] += " " + part
         return out
 
-    def ids(self, pieces: Sequence[str]) -> list[tuple[list[int], list[int]]]:
-        a = self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)
-        return list(zip([e.ids for e in a], self.b.encode(list(pieces), num_threads=1), strict=True))
+    def ids(self, pieces: Sequence[str]) -> tuple[list[int], list[int]]:
+        """Ids of both sides of all pieces, one after another.
+
+        Pieces without white space are written into common texts, where blanks keep them apart.
+        """
+        text = " ".join(pieces)
+        texts = list(pieces)
+        if self.cuts and len(_WHITE.findall(text)) == len(pieces) - 1 and "▁" not in text:
+            texts = [" ".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        b = self.b.encode(texts, num_threads=1)
+        return [i for e in a for i in e.ids], [i for ids in b for i in ids]
 
 
 def _byte_signs() -> dict[str, int]:
@@ -117,39 +136,70 @@ def _byte_signs() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Aligned:
-    """A window: its groups of ids, and a pair of ids for each link."""
-
-    groups: list[tuple[tuple[int, ...], tuple[int, ...]]]
-    links: list[int]
-
-
-def align_window(
-    a: Sequence[int], b: Sequence[int], a_bytes: Sequence[bytes], b_bytes: Sequence[bytes]
-) -> Aligned:
-    """Groups between shared ends, and the pairs of ids (``a << 32 | b``) whose bytes overlap."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append((tuple(a[first_a:i]), tuple(b[first_b:j])))
-            first_a, first_b = i, j
-            if i == len(a):
-                return Aligned(groups, links)
-            end_a += len(a_bytes[a[i]])
-            end_b += len(b_bytes[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(a_bytes[a[i]])
-        else:
-            j += 1
-            end_b += len(b_bytes[b[j]])
+    """Windows one after another: counts per window, and the links and written groups of all.
+
+    ``sizes`` has tokens of A, tokens of B, groups and links of each window. ``links`` holds a pair of
+    ids (``a << 32 | b``) for each two tokens whose bytes overlap, ``written`` each window's groups as
+    ``a1,a2|b1;a3|b2;``.
+    """
+
+    sizes: np.ndarray
+    links: np.ndarray
+    written: list[str]
+
+
+def align_windows(a: Side, b: Side, a_counts: np.ndarray, b_counts: np.ndarray) -> Aligned:
+    """Windows of so many tokens each; the two sides of a window have the same bytes."""
+    a_last, b_last = np.cumsum(a_counts), np.cumsum(b_counts)
+    window_ends = a.ends[a_last - 1]
+    either = np.union1d(a.ends, b.ends)
+    pairs = a.ids[np.searchsorted(a.ends, either)] << 32 | b.ids[np.searchsorted(b.ends, either)]
+    a_shared = b.ends[np.minimum(np.searchsorted(b.ends, a.ends), len(b.ends) - 1)] == a.ends
+    b_shared = a.ends[np.minimum(np.searchsorted(a.ends, b.ends), len(a.ends) - 1)] == b.ends
+    shared = a.ends[a_shared]
+
+    def per_window(ends: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(ends, window_ends, side="right"), prepend=0)
+
+    # a token of A stands behind the tokens of B of earlier groups, one of B behind A's of its own
+    b_upto = np.searchsorted(b.ends, shared, side="right")
+    a_upto = np.searchsorted(a.ends, shared, side="right")
+    a_group, b_group = np.searchsorted(shared, a.ends), np.searchsorted(shared, b.ends)
+    a_place = np.arange(len(a.ids)) + np.concatenate([[0], b_upto])[a_group]
+    b_place = np.arange(len(b.ids)) + a_upto[b_group]
+    text = np.empty(len(a.ids) + len(b.ids), object)
+    text[a_place] = np.where(a_shared, _numerals("|")[a.ids], _numerals(",")[a.ids])
+    text[b_place] = np.where(b_shared, _numerals(";")[b.ids], _numerals(",")[b.ids])
+    parts, stops = text.tolist(), (a_last + b_last).tolist()
+    written = ["".join(parts[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
+    sizes = np.stack([a_counts, b_counts, per_window(shared), per_window(either)], axis=1)
+    return Aligned(sizes, pairs, written)
+
+
+@functools.cache
+def _numerals(sign: str) -> np.ndarray:
+    """Decimal ids below 2 ** 17, each followed by ``sign``."""
+    return np.array([f"{i}{sign}" for i in range(1 << 17)], object)
+
+
+@dataclass(frozen=True)
+class Side:
+    """Ids of one tokenizer's tokens one after another, and where the bytes of each end."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, ids: Sequence[int] | np.ndarray, lengths: np.ndarray) -> Side:
+        ids = np.asarray(ids, np.int64)
+        return cls(ids, np.cumsum(lengths[ids]))
 
 
 class Windows:
-    """Aligned windows by number, with what was counted for them so far."""
+    """Aligned windows, and pieces of text made of them, by number.
+
+    A piece that is one window has the window's number, a longer one a number of its own.
+    """
 
     def __init__(self, models: Tokenizers):
         self.models = models
@@ -157,106 +207,140 @@ class Windows:
 
     def clear(self) -> None:
         self.number: dict[tuple[int, ...], int] = {}
-        self.by_piece: dict[str, tuple[int, ...] | None] = {}
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A and B, groups
+        self.by_piece: dict[str, int] = {}
+        self.sizes = array("q")
         self.written: list[str] = []
         self.links = array("q")
         self.ends = array("q", [0])
         self.counts = np.zeros(0, np.int64)
-        self.valued: tuple[Any, np.ndarray] = (None, np.zeros((0, 3), np.int64))
 
     def full(self) -> bool:
-        return max(len(self.number), len(self.by_piece)) > REMEMBERED or len(self.links) > REMEMBERED_LINKS
+        return max(len(self.written), len(self.by_piece)) > REMEMBERED or len(self.links) > REMEMBERED_LINKS
 
     def of_texts(self, texts: Sequence[str]) -> list[list[int] | None]:
-        """Window numbers of each text in order; none for a text that tokens do not spell."""
+        """Numbers of each text's pieces in order; none for a text that tokens do not spell."""
         cut = [self.models.pieces_of(t) if t else [] for t in texts]
-        known = self.by_piece
-        new = {p for pieces in cut for p in pieces if p not in known}
-        fresh = list(new)
-        for piece, (a, b) in zip(fresh, self.models.ids(fresh) if fresh else [], strict=True):
-            known[piece] = self._windows(piece, a, b)
-        out: list[list[int] | None] = []
-        for pieces in cut:
-            found = [known[p] for p in pieces]
-            out.append(None if None in found else [w for some in found for w in some])
-        for piece in fresh:
-            if len(piece) > LONGEST:
-                del known[piece]
-        return out
-
-    def _windows(self, piece: str, a: list[int], b: list[int]) -> tuple[int, ...] | None:
+        get = self.by_piece.get
+        found = [list(map(get, pieces)) for pieces in cut]
+        open_texts = [i for i, ws in enumerate(found) if None in ws]
+        fresh = list(dict.fromkeys(p for i in open_texts for p, w in zip(cut[i], found[i], strict=True) if w is None))
+        if fresh:
+            self._add(fresh)
+            for i in open_texts:
+                found[i] = list(map(get, cut[i]))
+            for piece in fresh:
+                if len(piece) > LONGEST:
+                    del self.by_piece[piece]
+        return [None if UNSPELLED in ws else ws for ws in found]
+
+    def _add(self, fresh: Sequence[str]) -> None:
+        """Tokenises and aligns pieces of text, all of them at once."""
+        plain = [p for p in fresh if not _WHITE.search(p) and "▁" not in p]
+        if plain:
+            self._add_alike(plain)
+        if len(plain) < len(fresh):
+            self._add_alike([p for p in fresh if p not in self.by_piece])
+
+    def _add_alike(self, fresh: Sequence[str]) -> None:
         m = self.models
-        spelled = (" " + piece).encode("utf-8", "replace")
-        if b"".join([m.a_bytes[i] for i in a]) != spelled or b"".join([m.b_bytes[i] for i in b]) != spelled:
-            return None
-        a_ends = np.cumsum([len(m.a_bytes[i]) for i in a])
-        b_ends = np.cumsum([len(m.b_bytes[i]) for i in b])
-        _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=False, return_indices=True)
-        out, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            if x == len(a) or (m.a_marked[a[x]] and m.b_marked[b[y]]):
-                out.append(self._numbered(a[i:x], b[j:y]))
-                i, j = x, y
-        return tuple(out)
-
-    def _numbered(self, a: list[int], b: list[int]) -> int:
-        key = (*a, -1, *b)
-        at = self.number.get(key)
-        if at is None:
-            at = self.number[key] = len(self.number)
-            made = align_window(a, b, self.models.a_bytes, self.models.b_bytes)
-            self.sizes.append((len(a), len(b), len(made.groups)))
-            self.written.append(
-                ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in made.groups)
-            )
-            self.links.extend(made.links)
-            self.ends.append(len(self.links))
-        return at
-
-    def count(self, found: list[list[int] | None]) -> None:
-        """Adds the windows of some texts to the counts."""
-        flat = np.fromiter((w for ws in found if ws for w in ws), np.int64)
-        counts = np.bincount(flat, minlength=len(self.number))
+        a_ids, b_ids = m.ids(fresh)
+        spelled = (" " + " ".join(fresh)).encode("utf-8", "replace")
+        if not spelled == b"".join([m.a_bytes[i] for i in a_ids]) == b"".join([m.b_bytes[i] for i in b_ids]):
+            if len(fresh) == 1:
+                self.by_piece[fresh[0]] = UNSPELLED
+            else:  # look for the pieces that tokens do not spell
+                half = len(fresh) // 2
+                self._add_alike(fresh[:half])
+                self._add_alike(fresh[half:])
+            return
+        a, b = Side.of(a_ids, m.a_lengths), Side.of(b_ids, m.b_lengths)
+        # anchors: shared ends before tokens that are marked on both sides; pieces begin with a mark
+        _, at_a, at_b = np.intersect1d(a.ends, b.ends, assume_unique=True, return_indices=True)
+        marked_a, marked_b = np.append(m.a_marked[a.ids], True), np.append(m.b_marked[b.ids], True)
+        anchors = marked_a[at_a + 1] & marked_b[at_b + 1]
+        a_stops, b_stops = at_a[anchors] + 1, at_b[anchors] + 1
+        spans = np.stack(
+            [np.append(0, a_stops[:-1]), a_stops, np.append(0, b_stops[:-1]), b_stops], axis=1
+        )
+        lengths = np.array([len(p.encode("utf-8", "replace")) + 1 for p in fresh])
+        last = np.searchsorted(a.ends[a_stops - 1], np.cumsum(lengths))  # each piece's last window
+        counts = np.diff(last, prepend=-1)
+        one = counts == 1  # the piece and the window's ids stand for each other
+        if one.any():
+            numbers = len(self.written) + np.arange(one.sum())
+            self._align(a, b, spans[last[one]])
+            self.by_piece.update(zip(itertools.compress(fresh, one), numbers.tolist(), strict=True))
+        for k in np.flatnonzero(~one).tolist():
+            windows = [self._window(a, b, w) for w in spans[last[k] - counts[k] + 1 : last[k] + 1]]
+            self.by_piece[fresh[k]] = self._joined(windows)
+
+    def _window(self, a: Side, b: Side, span: np.ndarray) -> int:
+        """Number of a window of a longer piece, remembered under its ids."""
+        i, x, j, y = span.tolist()
+        key = (*a.ids[i:x].tolist(), -1, *b.ids[j:y].tolist())
+        if key not in self.number:
+            self.number[key] = len(self.written)
+            self._align(a, b, span[None, :])
+        return self.number[key]
+
+    def _align(self, a: Side, b: Side, spans: np.ndarray) -> None:
+        """Aligns the windows between the given places of the two sides."""
+        a_counts, b_counts = spans[:, 1] - spans[:, 0], spans[:, 3] - spans[:, 2]
+        a_ids, b_ids = a.ids[_ranges(spans[:, 0], a_counts)], b.ids[_ranges(spans[:, 2], b_counts)]
+        m = self.models
+        made = align_windows(
+            Side.of(a_ids, m.a_lengths), Side.of(b_ids, m.b_lengths), a_counts, b_counts
+        )
+        self._store(made.sizes, made.links, made.written)
+
+    def _joined(self, windows: list[int]) -> int:
+        sizes = np.array(self.sizes, np.int64).reshape(-1, 4)[windows].sum(axis=0)
+        links = np.concatenate([self.links_of(w) for w in windows])
+        self._store(sizes[None, :], links, ["".join([self.written[w] for w in windows])])
+        return len(self.written) - 1
+
+    def _store(self, sizes: np.ndarray, links: np.ndarray, written: list[str]) -> None:
+        self.ends.frombytes((len(self.links) + np.cumsum(sizes[:, 3])).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.links.frombytes(links.astype(np.int64).tobytes())
+        self.written += written
+
+    def links_of(self, window: int) -> np.ndarray:
+        return np.array(self.links[self.ends[window] : self.ends[window + 1]], np.int64)
+
+    def count(self, flat: np.ndarray) -> None:
+        """Adds occurrences of windows to the counts."""
+        counts = np.bincount(flat, minlength=len(self.written))
         counts[: len(self.counts)] += self.counts
         self.counts = counts
 
     def counted_links(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct id pairs and how many links of the counted windows hold them; counts restart."""
-        ends = np.array(self.ends[: len(self.counts) + 1], np.int64)
-        codes = np.array(self.links[: ends[-1]], np.int64)
-        weights = np.repeat(self.counts, np.diff(ends))
-        self.counts = np.zeros(0, np.int64)
-        pairs, at = np.unique(codes[weights > 0], return_inverse=True)
-        n = np.zeros(len(pairs), np.int64)
-        np.add.at(n, at, weights[weights > 0])
-        return pairs, n
-
-    def values(self, listed: Listed) -> np.ndarray:
-        """Per window: links that are the best of their B id, summed counts, links not listed."""
-        key, done = self.valued
-        if key != listed.key:
-            done = np.zeros((0, 3), np.int64)
-        if len(done) < len(self.number):
-            ends = np.array(self.ends[len(done) :], np.int64)
-            codes = np.array(self.links[ends[0] :], np.int64)
-            counts, best = listed.look_up(codes)
-            columns = np.stack([best, counts, counts == 0], axis=1).astype(np.int64)
-            done = np.concatenate([done, np.add.reduceat(columns, ends[:-1] - ends[0], axis=0)])
-        self.valued = (listed.key, done)
-        return done
-
-    def links_of(self, windows: Sequence[int]) -> np.ndarray:
-        return np.concatenate(
-            [np.array(self.links[self.ends[w] : self.ends[w + 1]], np.int64) for w in windows]
-        )
+        counts, self.counts = self.counts, np.zeros(0, np.int64)
+        ends = np.array(self.ends[: len(counts) + 1], np.int64)
+        weights = np.repeat(counts, np.diff(ends))
+        codes = np.array(self.links[: ends[-1]], np.int64)[weights > 0]
+        return summed(codes, weights[weights > 0])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
+
+
+def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sum of the weights of each."""
+    order = np.argsort(codes, kind="stable")
+    codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1)) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(weights, first) if len(first) else first
 
 
 @dataclass(frozen=True)
 class Listed:
     """Counts of id pairs, sorted by pair, and whether a pair's count is the highest of its B id."""
 
-    key: str
     pairs: np.ndarray
     counts: np.ndarray
     best: np.ndarray
@@ -291,11 +375,11 @@ def _texts(docs: DataFrame, *keep: str) -> DataFrame:
     return small_batches(docs).select(*keep, text)
 
 
-def _over(
+def _read(
     df: DataFrame,
     schema: T.StructType,
     names: tuple[str, str],
-    work: Callable[[Windows, pa.RecordBatch, list], Iterator[list]],
+    work: Callable[[Windows, pa.RecordBatch, list], list],
     last: Callable[[Windows], list] | None = None,
 ) -> DataFrame:
     """Rows that ``work`` makes of some texts at a time, and ``last`` before windows are forgotten."""
@@ -303,46 +387,27 @@ def _over(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = to_arrow_schema(schema)
         windows = _windows(names)
-
-        def made(columns: list) -> pa.RecordBatch:
-            arrays = [
-                c.cast(k) if isinstance(c, pa.Array) else pa.array(c, type=k)
-                for c, k in zip(columns, types.types, strict=True)
-            ]
-            return pa.RecordBatch.from_arrays(arrays, schema=types)
-
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 found = windows.of_texts(part.column(part.num_columns - 1).to_pylist())
-                for columns in work(windows, part, found):
-                    yield made(columns)
+                yield _batch(types, work(windows, part, found))
                 if windows.full():
                     if last:
-                        yield made(last(windows))
+                        yield _batch(types, last(windows))
                     windows.clear()
         if last:
-            yield made(last(windows))
+            yield _batch(types, last(windows))
 
     return df.mapInArrow(lean(run), schema)
 
 
-def pair_counts(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
-    """``a``, ``b``, ``n``: how many links of all texts hold the two ids."""
-    schema = T.StructType(
-        [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), long("n")]
-    )
-
-    def count(windows: Windows, part: pa.RecordBatch, found: list) -> Iterator[list]:
-        windows.count(found)
-        return iter(())
-
-    def emit(windows: Windows) -> list:
-        pairs, n = windows.counted_links()
-        return [pairs >> 32, pairs & 0xFFFFFFFF, n]
-
-    partial = _over(_texts(docs), schema, _shipped(docs, (byte_level, piece_model)), count, emit)
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+def _batch(types: pa.Schema, columns: list) -> pa.RecordBatch:
+    arrays = [
+        c.cast(k) if isinstance(c, pa.Array) else pa.array(c, type=k)
+        for c, k in zip(columns, types.types, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, schema=types)
 
 
 def groups(
@@ -353,18 +418,82 @@ def groups(
     group = T.StructType([T.StructField("a", ids), T.StructField("b", ids)])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("groups", T.ArrayType(group))])
 
-    def spell(windows: Windows, part: pa.RecordBatch, found: list) -> Iterator[list]:
+    def spell(windows: Windows, part: pa.RecordBatch, found: list) -> list:
         made = [
             [
                 {"a": [int(i) for i in a.split(",")], "b": [int(i) for i in b.split(",")]}
                 for w in ws or ()
-                for a, b in (g.split("|") for g in windows.written[w].split(";"))
+                for a, b in (g.split("|") for g in windows.written[w][:-1].split(";"))
             ]
             for ws in found
         ]
-        yield [*part.columns[: len(keep)], made]
+        return [*part.columns[: len(keep)], made]
+
+    return _read(_texts(docs, *keep), schema, _shipped(docs, (byte_level, piece_model)), spell)
+
+
+_SIZES = ("n_a", "n_b", "n_groups", "n_links")
+_PAIR = [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), long("n")]
+
+
+def aligned(docs: DataFrame, byte_level: str, piece_model: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's sizes, digest of groups and packed links; and ``a``, ``b``, ``n``: how many
+    links of all texts hold two ids.
 
-    return _over(_texts(docs, *keep), schema, _shipped(docs, (byte_level, piece_model)), spell)
+    The texts are read once. Both tables are written to the shared folder.
+    """
+    fields = [docs.schema["doc_id"], *[long(c) for c in _SIZES], string("groups_sha256")]
+    packed = T.StructField("_links", T.BinaryType())
+    schema = T.StructType([*fields, packed, *_PAIR])
+
+    def read(windows: Windows, part: pa.RecordBatch, found: list) -> list:
+        flat = np.fromiter((w for ws in found if ws for w in ws), np.int64)
+        windows.count(flat)
+        stops = np.cumsum([len(ws or ()) for ws in found])
+        table = np.array(windows.sizes, np.int64).reshape(-1, 4)[flat]
+        sums = _between(table, stops)
+        ends = np.array(windows.ends, np.int64)
+        links = np.array(windows.links, np.int64)[_ranges(ends[flat], ends[flat + 1] - ends[flat])]
+        pack = ZstdCompressor(level=1).compress
+        hashes, blobs, at = [], [], 0
+        for ws, n in zip(found, sums[:, 3].tolist(), strict=True):
+            written = "".join([windows.written[w] for w in ws or ()])[:-1]
+            hashes.append(sha256(written.encode()).hexdigest() if ws else "")
+            blobs.append(pack(_narrow(links[at : at + n]).tobytes()) if ws else b"")
+            at += n
+        none = pa.nulls(len(found))
+        return [part.column(0), *sums.T, hashes, blobs, none, none, none]
+
+    def emit(windows: Windows) -> list:
+        pairs, n = windows.counted_links()
+        return [*[pa.nulls(len(n))] * (len(fields) + 1), pairs >> 32, pairs & 0xFFFFFFFF, n]
+
+    made = _read(_texts(docs, "doc_id"), schema, _shipped(docs, (byte_level, piece_model)), read, emit)
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/alignment/{uuid.uuid4().hex}"
+    made.write.parquet(folder)
+    rows = spark.read.schema(schema).parquet(folder)
+    counts = rows.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return rows.filter("a IS NULL").drop("a", "b", "n"), cut_lineage(counts)
+
+
+def _between(table: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Sums of a table's rows from each stop to the next."""
+    upto = np.concatenate([np.zeros((1, table.shape[1]), np.int64), np.cumsum(table, axis=0)])
+    return np.diff(upto[stops], axis=0, prepend=upto[:1])
+
+
+def _narrow(links: np.ndarray) -> np.ndarray:
+    """Pairs of ids, A's before B's, each in three bytes."""
+    pairs = np.stack([links >> 32, links & 0xFFFFFFFF], axis=1).astype("<u4")
+    return pairs.view(np.uint8).reshape(-1, 4)[:, :3]
+
+
+def _widened(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    pairs = wide.reshape(-1).view("<u4").astype(np.int64).reshape(-1, 2)
+    return pairs[:, 0] << 32 | pairs[:, 1]
 
 
 def digests(
@@ -372,61 +501,59 @@ def digests(
 ) -> DataFrame:
     """Per document: tokens, groups, links, how its links rank in the corpus, and a hash of groups.
 
-    The texts are read twice, once to count pairs and once for the results. ``listed`` pairs at most
-    travel to the tasks; which ones they are decides only how counts reach a text.
+    ``listed`` pairs at most travel to the tasks; which ones they are decides only how counts reach a
+    document.
     """
-    names = _shipped(docs, (byte_level, piece_model))
-    counts = cut_lineage(pair_counts(docs, byte_level, piece_model))
+    rows, counts = aligned(docs, byte_level, piece_model)
     highest = counts.groupBy("b").agg(F.max("n").alias("_highest"))  # one row an id of B
     ranked = counts.join(F.broadcast(highest), "b").select(
         "a", "b", "n", (F.col("n") == F.col("_highest")).alias("best")
     )
-    order = [F.col("n").desc(), "a", "b"]
-    top = ranked.orderBy(*order).limit(listed).toPandas()  # at most ``listed`` rows
+    top = ranked.orderBy(F.col("n").desc(), "a", "b").limit(listed).toPandas()  # ``listed`` rows at most
     codes = top["a"].to_numpy(np.int64) << 32 | top["b"].to_numpy(np.int64)
     by = np.argsort(codes)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(
-        (uuid.uuid4().hex, codes[by], top["n"].to_numpy(np.int64)[by], top["best"].to_numpy(bool)[by])
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (codes[by], top["n"].to_numpy(np.int64)[by], top["best"].to_numpy(bool)[by])
     )
+    kept = [c for c in rows.columns if c != "_links"]
+    fields = [rows.schema[c] for c in kept]
+    rest = T.StructField("_rest", T.ArrayType(T.StructType(_PAIR)))
+    schema = T.StructType([*fields, long("n_best"), long("count_sum"), rest])
 
-    fields = [long(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    rest = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), long("n")])
-    schema = T.StructType(
-        [docs.schema["doc_id"], *fields, string("groups_sha256"), T.StructField("_rest", T.ArrayType(rest))]
-    )
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, table = to_arrow_schema(schema), Listed(*sent.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield _batch(types, [*part.columns[:-1], *_ranked(part.column(len(kept)), table)])
 
-    def judge(windows: Windows, part: pa.RecordBatch, found: list) -> Iterator[list]:
-        values = windows.values(Listed(*sent.value))
-        sizes = np.array(windows.sizes, np.int64).reshape(-1, 3)
-        n_links = np.diff(np.array(windows.ends, np.int64))
-        table = np.concatenate([sizes, n_links[:, None], values], axis=1)
-        sums = np.array([table[ws].sum(axis=0) if ws else np.zeros(7, np.int64) for ws in found])
-        hashes, others = [], []
-        for ws, unlisted in zip(found, sums[:, 6], strict=True):
-            text = ";".join([windows.written[w] for w in ws]) if ws else ""
-            hashes.append(sha256(text.encode()).hexdigest() if ws else "")
-            others.append(_unlisted(windows, ws, sent.value[1]) if unlisted else [])
-        yield [part.column(0), *sums[:, :6].T, hashes, others]
-
-    rows = _over(_texts(docs, "doc_id"), schema, names, judge)
+    judged = small_batches(rows).select(*kept, "_links").mapInArrow(lean(judge), schema)
+    order = ["doc_id", *_SIZES, "n_best", "count_sum", "groups_sha256"]
     if len(top) < listed:
-        return rows.drop("_rest")
+        return judged.select(*order)
     last = top.iloc[-1]
     n, a, b = int(last["n"]), int(last["a"]), int(last["b"])
     same_n = (F.col("n") == n) & ((F.col("a") > a) | ((F.col("a") == a) & (F.col("b") > b)))
-    later = (F.col("n") < n) | same_n
-    return _with_rest(cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id())), ranked.filter(later))
-
-
-def _unlisted(windows: Windows, found: Sequence[int], pairs: np.ndarray) -> list[dict[str, int]]:
-    codes = windows.links_of(found)
-    at = np.minimum(np.searchsorted(pairs, codes), max(len(pairs) - 1, 0))
-    missing = codes[pairs[at] != codes] if len(pairs) else codes
-    return [
-        {"a": int(c) >> 32, "b": int(c) & 0xFFFFFFFF, "n": int(n)}
-        for c, n in zip(*np.unique(missing, return_counts=True), strict=True)
-    ]
+    later = ranked.filter((F.col("n") < n) | same_n)
+    numbered = cut_lineage(judged.withColumn("_row", F.monotonically_increasing_id()))
+    return _with_rest(numbered, later).select(*order)
+
+
+def _ranked(packed: pa.Array, table: Listed) -> list:
+    """Per document: links that are the best of their B id, summed counts, links not listed."""
+    unpack = ZstdDecompressor().decompress
+    links = [_widened(unpack(p) if p else b"") for p in packed.to_pylist()]
+    stops = np.cumsum([len(x) for x in links])
+    distinct, back = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True)
+    counts, best = table.look_up(distinct)
+    sums = _between(np.stack([best, counts, counts == 0], axis=1).astype(np.int64)[back], stops)
+    rest = []
+    for codes, n in zip(links, sums[:, 2], strict=True):
+        found = np.unique(codes[table.look_up(codes)[0] == 0], return_counts=True) if n else ((), ())
+        rest.append(
+            [{"a": int(c) >> 32, "b": int(c) & 0xFFFFFFFF, "n": int(k)} for c, k in zip(*found, strict=True)]
+        )
+    return [sums[:, 0], sums[:, 1], rest]
 
 
 def _with_rest(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -441,4 +568,4 @@ def _with_rest(rows: DataFrame, counts: DataFrame) -> DataFrame:
         "n_best": F.col("n_best") + F.coalesce("_best", F.lit(0)),
         "count_sum": F.col("count_sum") + F.coalesce("_sum", F.lit(0)),
     }
-    return rows.join(more, "_row", "left").withColumns(plus).drop("_row", "_rest", "_best", "_sum")
+    return rows.join(more, "_row", "left").withColumns(plus)
