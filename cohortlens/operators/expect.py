@@ -1,24 +1,24 @@
 """Expected outcome by position: weighted spline fits, a monotone fallback, and their scores.
 
 Every fit reads (position, rows, hits) counts, so the training data is one reduction of the fact
-table however many rows it has. All curves and all left-out classes are fitted together: one
-small aggregation per Newton step serves every fit.
+table however many rows it has. All curves and all left-out classes are fitted in one grouped job: a
+group holds one cell per position of one fit. Fits are a relation, so predictions, scores and the
+penalised gradient are joins and aggregations over it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.casts import is_true, null_if
 from cohortlens.operators.cohort import OutcomeColumns, Rules, in_population
-from cohortlens.operators.spread import equal_count_bins, lookup_join, rise_over_running_min
+from cohortlens.operators.spread import bins_within, equal_count_bins, lookup_join, rise_over_running_min
 from cohortlens.session import cut_lineage
 
 # Fixed values of the model.
@@ -30,8 +30,10 @@ N_BINS = 10
 REPORT_POSITIONS = (1, 10, 30, 100, 300, 1000)
 
 BASIS = KNOTS + 2  # cubic pieces over KNOTS uniform knots
-MAX_STEPS = 60
-STEP_TOLERANCE = 1e-9
+MAX_STEPS = 200
+STEP_TOLERANCE = 1e-10
+#: A guard that every curve breaks, so that all fits are step fits, and one that none does.
+ALWAYS_STEPS, NEVER_STEPS = -1.0, float("inf")
 
 
 @dataclass(frozen=True)
@@ -93,18 +95,45 @@ class Fit:
     low: float = 0.0
     high: float = 1.0
     beta: tuple[float, ...] = (0.0,) * (BASIS + 1)
-    steps: IsotonicRegressionModel | None = None
+    steps: tuple[tuple[float, float, float], ...] = ()
 
     def predict(self, df: DataFrame, x: str, out: str) -> DataFrame:
         """Adds the curve's probability in place."""
-        if self.method == "constant":
-            return df.withColumn(out, F.lit(self.mean))
-        if self.method == "isotonic":
-            model = self.steps.setFeaturesCol("_x").setPredictionCol(out)
-            return model.transform(df.withColumn("_x", F.col(x).cast("double"))).drop("_x")
-        z = F.log(F.col(x).cast("double"))
-        basis = spline_basis(z, F.lit(self.low), F.lit(self.high))
-        return df.withColumn(out, _probability([F.lit(b) for b in self.beta], basis))
+        first, last, value = zip(*self.steps, strict=True) if self.steps else ((), (), ())
+        steps = F.arrays_zip(
+            *[F.lit(list(map(float, v))).cast("array<double>").alias(c)
+              for c, v in (("first", first), ("last", last), ("value", value))]
+        )
+        p = _at(
+            F.lit(self.method), F.lit(self.mean), F.lit(self.low), F.lit(self.high),
+            [F.lit(b) for b in self.beta], steps, F.col(x).cast("double"),
+        )
+        return df.withColumn(out, p)
+
+
+#: The relation of fits, one row each. A step stands for the positions first to last.
+FITS = (
+    "fit string, method string, mean double, low double, high double, beta array<double>, "
+    "steps array<struct<first:double,last:double,value:double>>"
+)
+
+
+def _at(
+    method: Column, mean: Column, low: Column, high: Column, beta: Sequence[Column], steps: Column, x: Column
+) -> Column:
+    """A fit's probability at position ``x``."""
+    spline = 1 / (1 + F.exp(-_score(beta, spline_basis(F.log(x), low, high))))
+    left = F.try_element_at(F.filter(steps, lambda s: s["first"] <= x), F.lit(-1))
+    right = F.try_element_at(F.filter(steps, lambda s: s["last"] >= x), F.lit(1))
+    between = left["value"] + (right["value"] - left["value"]) * (
+        (x - left["last"]) / (right["first"] - left["last"])
+    )
+    step = (
+        F.when(left.isNull(), right["value"])
+        .when(right.isNull() | (left["last"] >= x), left["value"])
+        .otherwise(between)
+    )
+    return F.when(method == "constant", mean).when(method == "isotonic", step).otherwise(spline)
 
 
 def _score(beta: Sequence[Column], basis: Sequence[Column]) -> Column:
@@ -114,135 +143,152 @@ def _score(beta: Sequence[Column], basis: Sequence[Column]) -> Column:
     return out
 
 
-def _probability(beta: Sequence[Column], basis: Sequence[Column]) -> Column:
-    return 1 / (1 + F.exp(-_score(beta, basis)))
+def solve(cells: DataFrame, last: int, *, max_rise: float = MAX_RISE) -> DataFrame:
+    """The relation of fits (see ``FITS``), one per value of ``fit`` in (fit, x, n, k) cells.
 
-
-def fit_many(cells: DataFrame, last: int, *, max_rise: float = MAX_RISE) -> dict[str, Fit]:
-    """A fit per value of ``fit`` from (fit, x, n, k) cells.
-
-    A penalised logistic curve over a spline of log(x); when it climbs more than ``max_rise``
-    above an earlier value anywhere on 1..last, a decreasing step fit instead; the plain mean
-    when there is only one outcome or one position. The number of fits is the number of curves
-    times classes; only their sums and coefficients reach the driver.
+    A penalised logistic curve over a spline of log(x); when it climbs more than ``max_rise`` above an
+    earlier value anywhere on 1..last, a decreasing step fit instead; the plain mean when there is only
+    one outcome or one position. Fits without rows are left out.
     """
-    cells = cut_lineage(
-        cells.filter("n > 0").select("fit", F.col("x").cast("double").alias("x"), "n", "k")
+    once = cells.filter("n > 0").groupBy("fit", F.col("x").cast("double").alias("x")).agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k")
     )
-    z = F.log("x")
-    found = cells.groupBy("fit").agg(
-        F.sum("n").alias("size"), F.sum("k").alias("hits"), F.min(z).alias("low"), F.max(z).alias("high")
+    schema = pa.schema(
+        [
+            ("fit", pa.string()), ("method", pa.string()), *[(c, pa.float64()) for c in ("mean", "low", "high")],
+            ("beta", pa.list_(pa.float64())),
+            ("steps", pa.list_(pa.struct([(c, pa.float64()) for c in ("first", "last", "value")]))),
+        ]
     )
-    fits, spans = {}, {}
-    for r in found.collect():
-        if r["hits"] in (0, r["size"]) or r["low"] == r["high"]:
-            fits[r["fit"]] = Fit("constant", mean=r["hits"] / r["size"])
-        else:
-            spans[r["fit"]] = (r["low"], r["high"])
-    if spans:
-        betas = _newton(cells, spans)
-        splines = {
-            key: Fit("logistic_spline", low=low, high=high, beta=betas[key])
-            for key, (low, high) in spans.items()
+
+    def fit(group: pa.Table) -> pa.Table:
+        x, n, k = (group.column(c).to_numpy().astype(float) for c in "xnk")
+        order = np.argsort(x)
+        made = fit_cells(x[order], n[order], k[order], last, max_rise)
+        steps = [dict(zip(("first", "last", "value"), s, strict=True)) for s in made.steps]
+        row = {
+            "fit": group.column("fit")[0].as_py(), "method": made.method, "mean": made.mean,
+            "low": made.low, "high": made.high, "beta": list(made.beta), "steps": steps,
         }
-        climbs = _climbs(cells, splines, last)
-        for key, fit in splines.items():
-            fits[key] = fit if climbs[key] <= max_rise else _isotonic(cells, key)
-    return fits
-
-
-def _newton(cells: DataFrame, spans: Mapping[str, tuple[float, float]]) -> dict[str, tuple]:
-    """Coefficients of every penalised fit; each step is one aggregation over the cells."""
-    spark = cells.sparkSession
-    names = ["fit", "low", "high"]
-    knots = _local(spark, names, [(k, lo, hi) for k, (lo, hi) in spans.items()])
-    basis = spline_basis(F.log("x"), F.col("low"), F.col("high"))
-    rows = cells.join(knots, "fit")
-    rows = rows.select("fit", "n", "k", *[b.alias(f"b{j}") for j, b in enumerate(basis, start=1)])
-    rows = cut_lineage(rows.withColumn("b0", F.lit(1.0)))
-
-    size = BASIS + 1
-    ridge = np.full(size, 1 / INVERSE_PENALTY)
-    ridge[0] = 0.0  # the intercept is not penalised
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = [F.expr("sum(n * (greatest(s, 0D) + log1p(exp(-abs(s)))) - k * s)").alias("loss")]
-    sums += [F.expr(f"sum((k - n * p) * b{i})").alias(f"g{i}") for i in range(size)]
-    sums += [F.expr(f"sum(v * b{i} * b{j})").alias(f"h{i}_{j}") for i, j in pairs]
-    score = " + ".join(f"w{j} * b{j}" for j in range(size))
-    weights = ["fit", *[f"w{j}" for j in range(size)]]
-
-    best = {k: (np.inf, np.zeros(size), np.zeros(size)) for k in spans}  # loss, beta, step
-    trial = {k: np.zeros(size) for k in spans}
-    done: dict[str, tuple] = {}
+        return pa.Table.from_pylist([row], schema=schema)
+
+    return once.groupBy("fit").applyInArrow(fit, FITS)
+
+
+def fit_cells(x: np.ndarray, n: np.ndarray, k: np.ndarray, last: int, max_rise: float) -> Fit:
+    """The fit of one curve's cells, one per position in ascending order."""
+    mean = float(k.sum() / n.sum())
+    if k.sum() in (0, n.sum()) or len(x) == 1:
+        return Fit("constant", mean=mean)
+    low, high = float(np.log(x[0])), float(np.log(x[-1]))
+    beta = _penalised(_design(x, low, high), n, k)
+    grid = _design(np.arange(1.0, last + 1), low, high) @ beta
+    curve = 1 / (1 + np.exp(-grid))
+    if last and np.max(curve - np.minimum.accumulate(curve)) > max_rise:
+        blocks = pooled([(b, w, at, at) for b, w, at in zip(k, n, x, strict=True)])
+        return Fit("isotonic", mean, low, high, steps=tuple((f, t, b / w) for b, w, f, t in blocks))
+    return Fit("logistic_spline", mean, low, high, tuple(beta.tolist()))
+
+
+def _design(x: np.ndarray, low: float, high: float) -> np.ndarray:
+    """A column of ones and the spline basis, as in ``spline_basis``."""
+    u = (np.clip(np.log(x), low, high) - low) / ((high - low) / (KNOTS - 1))
+    far = np.abs(u[:, None] - np.arange(BASIS) + 1)
+    bump = np.where(far < 1, (4 - 6 * far**2 + 3 * far**3) / 6, np.clip(2 - far, 0, None) ** 3 / 6)
+    return np.hstack([np.ones((len(x), 1)), bump])
+
+
+def _penalised(design: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Coefficients of least penalised loss by damped Newton steps; the intercept is not penalised."""
+    ridge = np.full(design.shape[1], 1 / INVERSE_PENALTY)
+    ridge[0] = 0.0
+
+    def loss(beta: np.ndarray) -> float:
+        s = design @ beta
+        return float((n * np.logaddexp(0, s) - k * s).sum() + 0.5 * ridge @ (beta * beta))
+
+    beta = np.zeros(design.shape[1])
     for _ in range(MAX_STEPS):
-        at = _local(spark, weights, [(k, *map(float, b)) for k, b in trial.items()])
-        scored = rows.join(at, "fit").selectExpr("*", f"{score} AS s")
-        scored = scored.selectExpr("*", "1 / (1 + exp(-s)) AS p").selectExpr("*", "n * p * (1 - p) AS v")
-        for r in scored.groupBy("fit").agg(*sums).collect():
-            key, beta = r["fit"], trial[r["fit"]]
-            loss = r["loss"] + 0.5 * float(ridge @ (beta * beta))
-            kept_loss, kept, step = best[key]
-            if loss > kept_loss + 1e-9 * abs(kept_loss):  # overshot: try half the step
-                step = step / 2
-            else:
-                hessian = np.diag(ridge)
-                for i, j in pairs:
-                    hessian[i, j] += r[f"h{i}_{j}"]
-                    hessian[j, i] = hessian[i, j]
-                gradient = np.array([r[f"g{i}"] for i in range(size)]) - ridge * beta
-                kept_loss, kept = loss, beta
-                step = np.linalg.solve(hessian, gradient)
-            best[key] = (kept_loss, kept, step)
-            trial[key] = kept + step
-            if np.max(np.abs(step)) < STEP_TOLERANCE:
-                done[key] = tuple(float(v) for v in trial.pop(key))
-        if not trial:
-            return done
-    raise RuntimeError(f"no convergence for {sorted(trial)}")
-
-
-def _local(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
-    """A few rows, one per fit, as a relation the planner sees the size of."""
-    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows)], names=list(names)))
-
-
-def _climbs(cells: DataFrame, fits: Mapping[str, Fit], last: int) -> dict[str, float]:
-    """Largest climb above an earlier value per fit, over the whole grid."""
-    keys = F.array(*[F.lit(k) for k in fits])
-    grid = position_grid(cells, last).select("x", F.explode(keys).alias("fit"))
-    curve = cut_lineage(predict_each(grid, fits, "x", "p"))
-    risen = rise_over_running_min(curve, "x", ["p"], by=["fit"])
-    return {r["fit"]: r["m"] for r in risen.groupBy("fit").agg(F.max("rise_p").alias("m")).collect()}
-
-
-def _isotonic(cells: DataFrame, key: str) -> Fit:
-    rates = cells.filter(F.col("fit") == key).select(
-        "x", (F.col("k") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("weight")
+        p = 1 / (1 + np.exp(-(design @ beta)))
+        gradient = design.T @ (k - n * p) - ridge * beta
+        step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + np.diag(ridge + 1e-12), gradient)
+        here, size = loss(beta), 1.0
+        while loss(beta + size * step) > here + 1e-12 * abs(here) and size > 1e-9:
+            size /= 2
+        beta = beta + size * step
+        if np.max(np.abs(size * step)) < STEP_TOLERANCE:
+            break
+    return beta
+
+
+def pooled(blocks: Iterable[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """Blocks (hits, rows, first, last) in order, pooled until their rates do not rise.
+
+    Pooling parts of a series first and their blocks after that gives the same blocks.
+    """
+    stack: list[tuple[float, float, float, float]] = []
+    for hits, rows, first, last in blocks:
+        while stack and stack[-1][0] * rows < hits * stack[-1][1]:
+            before = stack.pop()
+            hits, rows, first = hits + before[0], rows + before[1], before[2]
+        stack.append((hits, rows, first, last))
+    return stack
+
+
+def predict_with(rows: DataFrame, fits: DataFrame, x: str, out: str) -> DataFrame:
+    """Adds the probability of the fit that each row names in ``fit``; 0 where no row trained it."""
+    renamed = fits.select("fit", *[F.col(c).alias(f"_{c}") for c in fits.columns[1:]])
+    beta = [F.col("_beta")[j] for j in range(BASIS + 1)]
+    p = _at(
+        F.col("_method"), F.col("_mean"), F.col("_low"), F.col("_high"), beta, F.col("_steps"),
+        F.col(x).cast("double"),
     )
-    trained = IsotonicRegression(
-        isotonic=False, featuresCol="x", labelCol="rate", weightCol="weight"
-    ).fit(rates)
-    return Fit("isotonic", steps=trained)
-
-
-def predict_each(df: DataFrame, fits: Mapping[str, Fit], x: str, out: str) -> DataFrame:
-    """Adds the probability of the fit each row names in ``fit``."""
-    size = BASIS + 1
-    plain = [(k, f.method == "constant", f.mean, f.low, f.high, *f.beta)
-             for k, f in fits.items() if f.method != "isotonic"]
-    stepped = {k: f for k, f in fits.items() if f.method == "isotonic"}
-    names = ["fit", "_flat", "_mean", "_low", "_high", *[f"_w{j}" for j in range(size)]]
-    parts = []
-    if plain:
-        table = _local(df.sparkSession, names, plain)
-        joined = df.join(table, "fit")
-        basis = spline_basis(F.log(F.col(x).cast("double")), F.col("_low"), F.col("_high"))
-        p = _probability([F.col(f"_w{j}") for j in range(size)], basis)
-        joined = joined.withColumn(out, F.when(F.col("_flat"), F.col("_mean")).otherwise(p))
-        parts.append(joined.select(*df.columns, out))
-    for key, fit in stepped.items():
-        parts.append(fit.predict(df.filter(F.col("fit") == key), x, out).select(*df.columns, out))
-    return _stack(parts)
+    joined = rows.join(renamed, "fit", "left")
+    return joined.select(*rows.columns, F.coalesce(p, F.lit(0.0)).alias(out))
+
+
+def coefficients(fits: DataFrame) -> DataFrame:
+    """(fit, j, beta, low, high) of the spline fits, the intercept first."""
+    splines = fits.filter("method = 'logistic_spline'")
+    return splines.select("fit", F.posexplode("beta").alias("j", "beta"), "low", "high")
+
+
+def gradients(cells: DataFrame, fits: DataFrame) -> DataFrame:
+    """(fit, j, gradient) of the penalised log likelihood at each spline fit's coefficients.
+
+    An aggregation over the cells that shares nothing with the solver: at a fit it is 0 everywhere.
+    """
+    splines = fits.filter("method = 'logistic_spline'").select("fit", "low", "high", "beta")
+    at = cells.join(splines, "fit")
+    basis = [F.lit(1.0), *spline_basis(F.log(F.col("x").cast("double")), F.col("low"), F.col("high"))]
+    p = 1 / (1 + F.exp(-_score([F.col("beta")[j] for j in range(BASIS + 1)], basis[1:])))
+    left = at.select("fit", "beta", (F.col("k") - F.col("n") * p).alias("_left"), F.array(*basis).alias("_basis"))
+    sums = [F.sum(F.col("_left") * F.col("_basis")[j]).alias(f"g{j}") for j in range(BASIS + 1)]
+    summed = left.groupBy("fit", "beta").agg(*sums)
+    parts = [
+        F.struct(
+            F.lit(j).alias("j"),
+            (F.col(f"g{j}") - (F.col("beta")[j] / INVERSE_PENALTY if j else F.lit(0.0))).alias("gradient"),
+        )
+        for j in range(BASIS + 1)
+    ]
+    return summed.select("fit", F.explode(F.array(*parts)).alias("g")).select("fit", "g.j", "g.gradient")
+
+
+def fit_many(cells: DataFrame, last: int, *, max_rise: float = MAX_RISE) -> dict[str, Fit]:
+    """The fits by name; for a few curves, each a row of the relation."""
+    return {
+        r["fit"]: Fit(
+            r["method"], r["mean"], r["low"], r["high"], tuple(r["beta"]), tuple(map(tuple, r["steps"]))
+        )
+        for r in solve(cells, last, max_rise=max_rise).collect()
+    }
+
+
+def curve_points(fits: DataFrame, last: int) -> DataFrame:
+    """(fit, x, p) of every fit at every position 1..last."""
+    grid = fits.select("fit", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("x"))
+    return predict_with(grid, fits, "x", "p")
 
 
 def fit_curve(counts: DataFrame, last: int, *, x: str = "x", n: str = "n", k: str = "k") -> Fit:
@@ -304,7 +350,9 @@ def with_residuals(
     )
 
 
-def scores(cells: DataFrame, p: str | Column, n: str = "n", k: str = "k") -> DataFrame:
+def scores(
+    cells: DataFrame, p: str | Column, n: str = "n", k: str = "k", by: Sequence[str] = ()
+) -> DataFrame:
     """Brier score and log loss of predictions over (n, k) cells, probabilities kept off 0 and 1."""
     raw = F.col(p) if isinstance(p, str) else p
     prob = F.least(F.greatest(raw, F.lit(CLIP)), F.lit(1 - CLIP))
@@ -312,19 +360,20 @@ def scores(cells: DataFrame, p: str | Column, n: str = "n", k: str = "k") -> Dat
     size = null_if(F.sum(n), 0)
     brier = F.sum(hit * (1 - prob) * (1 - prob) + miss * prob * prob) / size
     loss = -F.sum(hit * F.log(prob) + miss * F.log(1 - prob)) / size
-    return cells.agg(brier.alias("brier"), loss.alias("log_loss"))
+    return cells.groupBy(*by).agg(brier.alias("brier"), loss.alias("log_loss"))
 
 
 def leave_one_out(
-    counts: DataFrame, specs: Sequence[CurveSpec], last: int, *, fold: str, x: str, out: str = "pred"
+    counts: DataFrame, specs: Sequence[CurveSpec], last: int, *, fold: str, x: str, out: str = "pred",
+    max_rise: float = MAX_RISE,
 ) -> DataFrame:
     """Each class's cells predicted by curves fitted on all other classes: (curve, fold, x, n, k).
 
     ``counts`` holds one row per (fold, x) with the counts of every curve. All fits are solved
-    together.
+    in one job. Where no other class had rows the prediction is 0.
     """
     long, cells = _held_out_cells(counts, specs, fold, x)
-    return _predict_held_out(long, fit_many(cells, last), fold, x, out)
+    return _predict_held_out(long, solve(cells, last, max_rise=max_rise), fold, x, out)
 
 
 def _held_out_cells(
@@ -352,14 +401,9 @@ def _fit_name(held: Column) -> Column:
     return F.concat_ws("|", "curve", held.cast("string"))
 
 
-def _predict_held_out(
-    long: DataFrame, fits: Mapping[str, Fit], fold: str, x: str, out: str
-) -> DataFrame:
+def _predict_held_out(long: DataFrame, fits: DataFrame, fold: str, x: str, out: str) -> DataFrame:
     named = long.withColumn("fit", _fit_name(F.col(fold)))
-    untrained = [r[0] for r in named.select("fit").distinct().collect() if r[0] not in fits]
-    fits = {**fits, **{key: Fit("constant") for key in untrained}}  # no other class had rows
-    predicted = predict_each(named, fits, "x", out)
-    return predicted.select("curve", fold, F.col("x").alias(x), "n", "k", out)
+    return predict_with(named, fits, "x", out).select("curve", fold, F.col("x").alias(x), "n", "k", out)
 
 
 def _curve_entries(specs: Sequence[CurveSpec]) -> Column:
@@ -387,86 +431,103 @@ def calibration(
 
 @dataclass(frozen=True)
 class Evaluation:
-    """Fit quality per curve, held-out calibration, and the curve at the reported positions."""
+    """Fit quality per curve, the held-out predictions of every cell, and the fits."""
 
     report: DataFrame
-    deciles: DataFrame
-    at_positions: DataFrame
+    held_out: DataFrame
+    fits: DataFrame
+    last: int
+
+    def at_positions(self, positions: Sequence[int] = REPORT_POSITIONS) -> DataFrame:
+        """(curve, position, expected) at those of the positions that the grid has."""
+        listed = F.array(*[F.lit(p) for p in positions if p <= self.last]).cast("array<int>")
+        grid = self.fits.select("fit", F.explode(listed).alias("position"))
+        values = predict_with(grid, self.fits, "position", "expected")
+        return values.select(F.col("fit").alias("curve"), "position", "expected")
 
 
 def evaluate(
     df: DataFrame,
-    grain: Sequence[str],
     specs: Sequence[CurveSpec] | None = None,
     c: OutcomeColumns | None = None,
-    positions: Sequence[int] = REPORT_POSITIONS,
+    *,
+    max_rise: float = MAX_RISE,
 ) -> Evaluation:
-    """Scores each curve against a constant, in sample and with every class left out in turn."""
+    """Scores each curve against a constant, in sample and with every class left out in turn.
+
+    Full and held-out fits are solved in one job, and all scores are one aggregation.
+    """
     c = c or OutcomeColumns()
     specs = list(specs or standard_curves(c))
     by_class = cut_lineage(training_counts(df, specs, [c.period, c.sequence], c))
-    last, cells = by_class.agg(F.max(c.sequence)).first()[0], curve_cells(by_class, specs, c.sequence)
-    cells = cut_lineage(cells.groupBy("fit", "x").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
+    last = by_class.agg(F.max(c.sequence)).first()[0] or 0
+    cells = curve_cells(by_class, specs, c.sequence).groupBy("fit", "x").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k")
+    )
     long, held_cells = _held_out_cells(by_class, specs, c.period, c.sequence)
-    solved = fit_many(cells.unionByName(held_cells), last)
-    fits = {s.name: solved.get(s.name, Fit("constant")) for s in specs}
-    held_out = cut_lineage(_predict_held_out(long, solved, c.period, c.sequence, "pred"))
-    sizes = {
-        r["fit"]: (r["n"], r["k"])
-        for r in cells.groupBy("fit").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
-    }
-    reports, deciles = [], []
-    for s in specs:
-        fit = fits[s.name]
-        size, hits = sizes[s.name]
-        base_rate = hits / size if size else 0.0
-        own = cells.filter(F.col("fit") == s.name)
-        unseen = held_out.filter(F.col("curve") == s.name)
-        scored = {
-            "baseline": scores(own, F.lit(base_rate)),
-            "in_sample": scores(fit.predict(own, "x", "p"), "p"),
-            "leave_one_class_out": scores(unseen, "pred"),
-        }
-        deciles.append(_held_out_deciles(df, unseen, s, grain, c))
-        for kind, table in scored.items():
-            reports.append(
-                table.select(
-                    F.lit(s.name).alias("curve"),
-                    F.lit(fit.method).alias("method"),
-                    F.lit(size).cast("long").alias("n"),
-                    F.round(F.lit(base_rate), 4).alias("base_rate"),
-                    F.lit(kind).alias("scored"),
-                    F.round("brier", 5).alias("brier"),
-                    F.round("log_loss", 5).alias("log_loss"),
-                )
-            )
-    grid = curve_table(df, fits, last, "position").filter(F.col("position").isin(*positions))
-    at_positions = grid.unpivot(["position"], list(fits), "curve", "expected")
-    return Evaluation(_stack(reports), _stack(deciles), at_positions)
-
+    solved = cut_lineage(solve(cells.unionByName(held_cells), last, max_rise=max_rise))
+    fits = solved.filter(F.col("fit").isin([s.name for s in specs]))
+    held_out = _predict_held_out(long, solved, c.period, c.sequence, "pred")
 
-def _held_out_deciles(df, held_out, spec: CurveSpec, grain: Sequence[str], c: OutcomeColumns):
-    inside = in_population(Rules(count_uncredited=not spec.credited_only), c)
-    keys = [c.period, c.sequence]
-    rows = df.filter(inside).select(
-        *keys, *[g for g in grain if g not in keys], is_true(F.col(spec.target)).alias("_y")
+    totals = cells.groupBy("fit").agg(F.sum("n").alias("size"), F.sum("k").alias("hits"))  # a row a curve
+    own = predict_with(cells, fits, "x", "p").join(totals, "fit").withColumn(
+        "base", F.coalesce(F.col("hits") / null_if(F.col("size"), 0), F.lit(0.0))
     )
-    predicted = lookup_join(rows, held_out.select(*keys, "pred"), keys, spread=grain)
-    table = calibration(predicted, "pred", "_y", grain)
-    return table.select(
-        F.lit(spec.name).alias("curve"),
-        "decile",
-        "n",
-        F.round("expected", 4).alias("expected"),
-        F.round("observed", 4).alias("observed"),
+    columns = ["curve", "scored", "n", "k", "p"]
+
+    def scored(rows: DataFrame, curve: str, kind: str, p: str) -> DataFrame:
+        return rows.select(F.col(curve).alias("curve"), F.lit(kind).alias("scored"), "n", "k", F.col(p).alias("p"))
+
+    rows = scored(own, "fit", "baseline", "base").unionByName(scored(own, "fit", "in_sample", "p"))
+    rows = rows.unionByName(scored(held_out, "curve", "leave_one_class_out", "pred")).select(*columns)
+    table = scores(rows, "p", by=["curve", "scored"])
+    known = fits.select(F.col("fit").alias("curve"), "method")
+    sizes = totals.select(F.col("fit").alias("curve"), "size", "hits")
+    table = table.join(sizes, "curve").join(known, "curve", "left")
+    report = table.select(
+        "curve",
+        F.coalesce("method", F.lit("constant")).alias("method"),
+        F.col("size").cast("long").alias("n"),
+        F.round(F.coalesce(F.col("hits") / null_if(F.col("size"), 0), F.lit(0.0)), 4).alias("base_rate"),
+        "scored",
+        F.round("brier", 5).alias("brier"),
+        F.round("log_loss", 5).alias("log_loss"),
     )
+    return Evaluation(report, held_out, fits, last)
 
 
-def _stack(tables: Sequence[DataFrame]) -> DataFrame | None:
-    out = None
-    for t in tables:
-        out = t if out is None else out.unionByName(t)
-    return out
+def held_out_deciles(
+    df: DataFrame,
+    held_out: DataFrame,
+    specs: Sequence[CurveSpec],
+    grain: Sequence[str],
+    c: OutcomeColumns | None = None,
+    n_bins: int = N_BINS,
+) -> DataFrame:
+    """Expected and observed rate per curve in equal-count bins of the held-out prediction.
+
+    Rows of equal predictions are ordered by ``grain``. All curves are binned in one pass.
+    """
+    c = c or OutcomeColumns()
+    keys = [c.period, c.sequence]
+    inside = [
+        F.when(
+            in_population(Rules(count_uncredited=not s.credited_only), c),
+            F.struct(F.lit(s.name).alias("curve"), is_true(F.col(s.target)).alias("hit")),
+        )
+        for s in specs
+    ]
+    rows = df.select(*keys, *[g for g in grain if g not in keys], F.explode(F.array_compact(F.array(*inside))).alias("_c"))
+    rows = rows.select(*[x for x in rows.columns if x != "_c"], "_c.curve", F.col("_c.hit").alias("_y"))
+    on = ["curve", *keys]
+    predicted = lookup_join(rows, held_out.select(*on, "pred"), on, spread=grain)
+    rounded = predicted.withColumn("_order", F.round("pred", 12))  # sums in another order tie alike
+    binned = bins_within(rounded.select("curve", "pred", "_order", "_y", *grain), ["curve"], ["_order", *grain], n_bins, "decile")
+    return binned.groupBy("curve", "decile").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("pred").alias("expected"),
+        F.avg(F.col("_y").cast("double")).alias("observed"),
+    )
 
 
 def curve_rises(

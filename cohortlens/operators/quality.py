@@ -37,6 +37,7 @@ class Check:
     threshold: float | None = None
     bad: Column | None = None
     show: tuple[str, ...] = ()
+    more: Column | None = None  # an aggregate in words that is added to the detail
 
 
 def any_is(level: str) -> Callable[[Column], Column]:
@@ -83,24 +84,39 @@ def join_coverage(
 
 def share(
     name: str, flag: Column, detail: str, *, among: Column | None = None,
-    warn_above: float | None = None,
+    warn_above: float | None = None, within: Sequence[tuple[str, Column]] = (),
 ) -> Check:
-    """Percent of rows where ``flag`` holds; informational unless ``warn_above`` is given."""
+    """Percent of rows where ``flag`` holds; informational unless ``warn_above`` is given.
+
+    The detail gives the share again for each (name, condition) of ``within``.
+    """
     inside = F.lit(True) if among is None else is_true(among)
-    pct = 100 * F.avg(F.when(inside, is_true(flag).cast("double")))
-    value = F.round(F.coalesce(pct, F.lit(100.0)), 2)
+
+    def pct(rows: Column) -> Column:
+        found = 100 * F.avg(F.when(rows, is_true(flag).cast("double")))
+        return F.round(F.coalesce(found, F.lit(100.0)), 2)
+
+    value = pct(inside)
+    parts = [F.concat(pct(inside & is_true(c)).cast("string"), F.lit(f"% of {n}")) for n, c in within]
 
     def status(v: Column) -> Column:
         if warn_above is None:
             return F.lit("pass")
         return F.when(v > warn_above, F.lit("warn")).otherwise(F.lit("pass"))
 
-    return Check(name, "coverage", value, status, detail, warn_above)
+    more = F.concat_ws("; ", *parts) if parts else None
+    return Check(name, "coverage", value, status, detail, warn_above, more=more)
 
 
 def run_row_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """All checks from a single pass over the table."""
-    values = df.agg(*[c.value.cast("double").alias(f"_v{i}") for i, c in enumerate(checks)])
+    found = [c.value.cast("double").alias(f"_v{i}") for i, c in enumerate(checks)]
+    found += [c.more.alias(f"_m{i}") for i, c in enumerate(checks) if c.more is not None]
+    values = df.agg(*found)
+
+    def detail(i: int, c: Check) -> Column:
+        return F.lit(c.detail) if c.more is None else F.concat_ws("; ", F.lit(c.detail), F.col(f"_m{i}"))
+
     results = F.array(
         *[
             F.struct(
@@ -109,7 +125,7 @@ def run_row_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
                 c.status(F.col(f"_v{i}")).alias("status"),
                 F.col(f"_v{i}").alias("value"),
                 F.lit(c.threshold).cast("double").alias("threshold"),
-                F.lit(c.detail).alias("detail"),
+                detail(i, c).alias("detail"),
             )
             for i, c in enumerate(checks)
         ]
@@ -119,20 +135,28 @@ def run_row_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 def offenders_result(
     offenders: DataFrame, name: str, category: str, level: str, detail: str,
-    *, threshold: float | None = 0.0, value: Column | None = None,
+    *, threshold: float | None = 0.0, value: Column | None = None, named: str | None = None,
 ) -> DataFrame:
-    """A check whose offenders come from a reduction: their number, or another aggregate."""
+    """A check whose offenders come from a reduction: their number, or another aggregate.
+
+    ``named`` is a column whose values the detail lists; for offenders that are few by their nature.
+    """
+    names = F.lit(None).cast("string")
+    if named is not None:
+        names = F.array_join(F.sort_array(F.collect_set(named)).cast("array<string>"), ", ")
     found = offenders.agg(
         F.count(F.lit(1)).alias("_n"),
         (F.count(F.lit(1)) if value is None else value).cast("double").alias("value"),
+        names.alias("_names"),
     )
+    listed = F.concat(F.lit(f"{detail}: "), F.when(F.col("_names") == "", F.lit("none")).otherwise(F.col("_names")))
     return found.select(
         F.lit(name).alias("name"),
         F.lit(category).alias("category"),
         any_is(level)(F.col("_n")).alias("status"),
         "value",
         F.lit(threshold).cast("double").alias("threshold"),
-        F.lit(detail).alias("detail"),
+        (F.lit(detail) if named is None else listed).alias("detail"),
     )
 
 
@@ -181,8 +205,8 @@ def period_result(
     size = last - first + 1
     return offenders_result(
         missing_periods(df, period, first, last), name, "completeness", "fail",
-        f"periods {first}-{last} present", threshold=float(size),
-        value=F.lit(size) - F.count(F.lit(1)),
+        f"periods {first}-{last} present; missing", threshold=float(size),
+        value=F.lit(size) - F.count(F.lit(1)), named=period,
     )
 
 
@@ -202,18 +226,28 @@ def coverage_by_period(
     )
 
 
+def low_periods(by_period: DataFrame, warn_below: float) -> DataFrame:
+    """Periods whose coverage is low."""
+    return by_period.filter(F.col("pct_known") < warn_below)
+
+
 def coverage_result(by_period: DataFrame, name: str, warn_below: float, detail: str) -> DataFrame:
-    """Warns when any period's coverage is low; the value is the lowest."""
-    lowest = F.min("pct_known")
-    found = by_period.agg(lowest.alias("value"))
+    """Warns when any period's coverage is low; the value is the lowest, the detail lists them."""
+    period = F.col(by_period.columns[0])
+    low = F.collect_set(F.when(F.col("pct_known") < warn_below, period))
+    found = by_period.agg(
+        F.min("pct_known").alias("value"),
+        F.array_join(F.sort_array(low).cast("array<string>"), ", ").alias("_low"),
+    )
     status = F.when(F.col("value") < warn_below, F.lit("warn")).otherwise(F.lit("pass"))
+    listed = F.when(F.col("_low") == "", F.lit("none")).otherwise(F.col("_low"))
     return found.select(
         F.lit(name).alias("name"),
         F.lit("coverage").alias("category"),
         status.alias("status"),
         F.col("value").cast("double").alias("value"),
         F.lit(float(warn_below)).alias("threshold"),
-        F.lit(detail).alias("detail"),
+        F.concat(F.lit(f"{detail}; below {warn_below:g}%: "), listed).alias("detail"),
     )
 
 

@@ -239,14 +239,50 @@ def equal_count_bins(
 ) -> DataFrame:
     """1-based bins of near-equal size along a total order; earlier bins take the remainder."""
     placed = global_position(df, order, "_pos", "_n")
-    pos, small = F.col("_pos"), F.floor(F.col("_n") / n_bins)
-    extra = F.pmod("_n", F.lit(n_bins))
+    return placed.select(*df.columns, _bin(F.col("_pos"), F.col("_n"), n_bins).alias(out))
+
+
+def bins_within(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], n_bins: int, out: str = "bin"
+) -> DataFrame:
+    """1-based bins of near-equal size within each value of ``by``, along a total order.
+
+    One range partitioning over (by, order) serves all groups: a group lies in neighbouring
+    partitions, and its sizes there (a row per group and partition) shift the numbers inside a
+    partition to places in the group, however large it is.
+    """
+    every = [*by, *order]
+    stored = cut_lineage(
+        df.repartitionByRange(*every).sortWithinPartitions(*every).withColumn(
+            "_id", F.monotonically_increasing_id()
+        )
+    )
+    placed = stored.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy(*by, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    group = W.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.col("_part").alias("_in"),
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_size").over(group).alias("_n"),
+    )
+    same = F.col("_part") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rows = placed.join(sizes, same)
+    return rows.select(
+        *df.columns, _bin(F.col("_id") + F.col("_shift"), F.col("_n"), n_bins).alias(out)
+    )
+
+
+def _bin(pos: Column, n: Column, n_bins: int) -> Column:
+    """1-based bin of a 0-based place among ``n``; earlier bins take the remainder."""
+    small, extra = F.floor(n / n_bins), F.pmod(n, F.lit(n_bins))
     edge = extra * (small + 1)
     early = F.floor(pos / (small + 1))
     late = extra + F.floor((pos - edge) / F.greatest(small, F.lit(1)))
-    return placed.select(
-        *df.columns, (F.when(pos < edge, early).otherwise(late) + 1).cast("int").alias(out)
-    )
+    return (F.when(pos < edge, early).otherwise(late) + 1).cast("int")
 
 
 def rise_over_running_min(

@@ -150,6 +150,32 @@ def dq_group_checks(spark, sf):
     return out.select(*PLAIN)
 
 
+LOW_MONEY = """SELECT class_year FROM fact WHERE day_seq BETWEEN 1 AND 100 GROUP BY class_year
+  HAVING round(100 * avg(CASE WHEN money IS NOT NULL THEN 1.0 ELSE 0.0 END), 2) < 50.5"""
+
+
+@query(
+    FACT_SQL
+    + f"""SELECT 'years_present' AS name, 'periods 1995-2003 present; missing: ' || (
+            SELECT coalesce(string_agg(y, ', ' ORDER BY y), 'none') FROM range(1995, 2004) t(y)
+            WHERE y NOT IN (SELECT class_year FROM fact)) AS detail
+          UNION ALL SELECT 'money_coverage', 'lowest yearly % with money; below 50.5%: ' || (
+            SELECT coalesce(string_agg(class_year, ', ' ORDER BY class_year), 'none') FROM ({LOW_MONEY}))
+          UNION ALL SELECT 'money_share', '% with money; ' || (SELECT concat_ws('; ',
+            round(100 * avg(CASE WHEN money IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE credited AND reached), 2) || '% of reached',
+            round(100 * avg(CASE WHEN money IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE credited AND high), 2) || '% of high')
+            FROM fact)"""
+)
+def dq_evidence(spark, sf):
+    fact = order_outcomes(spark, sf)
+    per_year = Q.coverage_by_period(fact, "class_year", "money", F.col("day_seq").between(1, 100))
+    shares = Q.share("money_share", F.col("money").isNotNull(), "% with money", among=F.col("credited"),
+                     within=[("reached", F.col("reached")), ("high", F.col("high"))])
+    results = Q.period_result(fact, "class_year", 1995, 2003)
+    results = results.unionByName(Q.coverage_result(per_year, "money_coverage", 50.5, "lowest yearly % with money"))
+    return results.unionByName(Q.run_row_checks(fact, [shares])).select("name", "detail")
+
+
 BAD_ROWS = {
     "line_join": "n_lines IS NULL",
     "value_join": "is_final AND coalesce(reached, false) AND value IS NULL",
@@ -215,18 +241,18 @@ def curve_rise_offenders(spark, sf):
 
 @query(
     FACT_SQL
-    + f""", d AS (SELECT class_year * 100 + block AS decile, count(*) AS n, avg(exp_reached) AS expected,
+    + f""", d AS (SELECT class_year * 100 + block AS bin, count(*) AS n, avg(exp_reached) AS expected,
                avg(CASE WHEN reached THEN 1.0 ELSE 0.0 END) AS observed
              FROM fact WHERE eligible AND credited GROUP BY 1),  -- a bin for each class and block
         w AS (SELECT *, (expected + 2.706025 / (2 * n)) / (1 + 2.706025 / n) AS centre,
                1.645 * sqrt(expected * (1 - expected) / n + 2.706025 / (4 * n * n)) / (1 + 2.706025 / n) AS half FROM d)
-      SELECT decile, n, {r("expected")} AS expected, {r("observed")} AS observed, {r("centre - half")} AS interval_low,
+      SELECT bin, n, {r("expected")} AS expected, {r("observed")} AS observed, {r("centre - half")} AS interval_low,
              {r("centre + half")} AS interval_high
       FROM w WHERE observed NOT BETWEEN centre - half AND centre + half"""
 )
 def calibration_offenders(spark, sf):
     rows = order_outcomes(spark, sf).filter("eligible AND credited")
-    bins = rows.groupBy((F.col("class_year") * 100 + F.col("block")).alias("decile")).agg(
+    bins = rows.groupBy((F.col("class_year") * 100 + F.col("block")).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("exp_reached").alias("expected"),
         F.avg(F.col("reached").cast("double")).alias("observed"),
     )

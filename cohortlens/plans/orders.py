@@ -9,8 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions import bands, casts, dates
+from cohortlens.functions import bands, dates
 from cohortlens.operators.cohort import OutcomeColumns
+from cohortlens.operators.expect import (
+    ALWAYS_STEPS,
+    CurveSpec,
+    curve_cells,
+    curve_points,
+    solve,
+    training_counts,
+    with_residuals,
+)
 from cohortlens.operators.spread import flag_last, hot_keys, lookup_join
 from cohortlens.session import written_once
 
@@ -90,21 +99,26 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     return lookup_join(rows, customer, ["cust_key"], spread=["order_key"], hot=hot)
 
 
-def expected_by_block(rows: DataFrame) -> DataFrame:
-    """Smoothed outcome rates per block of days, over all eligible and over credited rows."""
-    inside = F.col("eligible")
-    credited = inside & F.col("credited")
+#: The four curves of the fact table. Days of a year are few, so each is a step fit.
+CURVES = [
+    CurveSpec("exp_reached_all", "reached", False),
+    CurveSpec("exp_high_all", "high", False),
+    CurveSpec("exp_reached", "reached", True),
+    CurveSpec("exp_high", "high", True),
+]
+LAST_DAY = 366
 
-    def rate(population, hit, name):
-        k = F.count_if(population & casts.is_true(F.col(hit)))
-        return ((k + 1) / (F.count_if(population) + 2)).alias(name)
 
-    return rows.groupBy("block").agg(
-        rate(inside, "reached", "exp_reached_all"),
-        rate(inside, "high", "exp_high_all"),
-        rate(credited, "reached", "exp_reached"),
-        rate(credited, "high", "exp_high"),
-    )
+def published_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """Every curve's value per day of the year, fitted on the labelled orders: an input relation."""
+
+    def build() -> DataFrame:
+        counts = training_counts(labelled_orders(spark, folder), CURVES, [COLUMNS.sequence], COLUMNS)
+        fits = solve(curve_cells(counts, CURVES, COLUMNS.sequence), LAST_DAY, max_rise=ALWAYS_STEPS)
+        points = curve_points(fits, LAST_DAY).withColumnRenamed("x", COLUMNS.sequence)
+        return points.groupBy(COLUMNS.sequence).pivot("fit", [s.name for s in CURVES]).agg(F.first("p"))
+
+    return written_once(spark, ("published_curves", folder), build)
 
 
 def order_outcomes(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,9 +126,20 @@ def order_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return written_once(spark, ("order_outcomes", folder), lambda: build_outcomes(spark, folder))
 
 
+def labelled_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order with its outcomes, tiers and bands, as the curves are trained on."""
+    return written_once(spark, ("labelled_orders", folder), lambda: _labelled(order_rows(spark, folder)))
+
+
 def build_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """The fact table: one row per order."""
-    rows = order_rows(spark, folder)
+    """The fact table: labelled orders, the published curves by day, and what lies between them."""
+    curves = F.broadcast(published_curves(spark, folder))  # LAST_DAY rows
+    rows = labelled_orders(spark, folder).join(curves, COLUMNS.sequence, "left")
+    gaps = [("reached", "exp_reached", "reached_minus_exp"), ("high", "exp_high", "high_minus_exp")]
+    return with_residuals(rows, gaps, COLUMNS)
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
     final = F.col("is_final")
     reached = F.coalesce(F.col("n_returned"), F.lit(0)) >= 2
     value = F.when(~reached, F.lit(0.0)).otherwise(F.col("net_e4") / 1e9)
@@ -146,23 +171,36 @@ def build_outcomes(spark: SparkSession, folder: str) -> DataFrame:
             "block": F.floor((F.col("day_seq") - 1) / BLOCK).cast("int"),
         }
     )
-    rows = rows.withColumn("tier", bands.ordinal_label(F.col("tier_order"), TIERS))
-    rows = rows.join(F.broadcast(expected_by_block(rows)), "block", "left")  # 13 blocks a year
-    scored = F.col("eligible") & F.col("credited")
+    return rows.withColumn("tier", bands.ordinal_label(F.col("tier_order"), TIERS))
 
-    def residual(hit, expected):
-        return F.when(scored, casts.is_true(F.col(hit)).cast("double") - F.col(expected))
 
-    return rows.withColumns(
-        {
-            "reached_minus_exp": residual("reached", "exp_reached"),
-            "high_minus_exp": residual("high", "exp_high"),
-        }
-    )
+def step_sql(cells: str, out: str) -> str:
+    """SQL of ``out`` (fit, x, p): decreasing step fits of ``cells`` (fit, x, n, k) by the min-max
+    formula, the least over starts a <= x of the largest mean of a..b over ends b >= x."""
+    return f"""{out}_sums AS (
+  SELECT fit, x, n, k, sum(n) OVER w AS nn, sum(k) OVER w AS kk FROM {cells} WINDOW w AS (PARTITION BY fit ORDER BY x)
+), {out}_tops AS (
+  SELECT a.fit, b.x, max(CAST(b.kk - a.kk + a.k AS DOUBLE) / CAST(b.nn - a.nn + a.n AS DOUBLE))
+    OVER (PARTITION BY a.fit, a.x ORDER BY b.x DESC) AS top
+  FROM {out}_sums a JOIN {out}_sums b ON a.fit = b.fit AND b.x >= a.x
+), {out} AS (
+  SELECT fit, x, min(top) AS p FROM {out}_tops GROUP BY 1, 2
+)"""
+
+
+def between_sql(points: str, steps: str, out: str) -> str:
+    """SQL of ``out`` (columns of ``points`` and p): step fits read off at ``points`` (fit, x, ...)."""
+    return f"""{out}_ends AS (
+  SELECT g.*, l.x AS lx, l.p AS lp, h.x AS hx, h.p AS hp FROM {points} g
+  ASOF LEFT JOIN {steps} l ON l.fit = g.fit AND l.x <= g.x ASOF LEFT JOIN {steps} h ON h.fit = g.fit AND h.x >= g.x
+), {out} AS (
+  SELECT * EXCLUDE (lx, lp, hx, hp), CASE WHEN lp IS NULL THEN hp WHEN hp IS NULL OR lx >= x THEN lp
+    ELSE lp + (hp - lp) * ((x - lx) / CAST(hx - lx AS DOUBLE)) END AS p FROM {out}_ends
+)"""
 
 
 # The same fact table in SQL, for the side-by-side checks.
-FACT_SQL = """
+LABELLED_SQL = """
 WITH line AS (
   SELECT l_orderkey AS order_key, COUNT(*) AS n_lines,
          COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,
@@ -209,19 +247,25 @@ WITH line AS (
 ), labelled AS (
   SELECT *, ['Not credited', 'Never reached', 'Low', 'Middle', 'High', 'Top'][tier_order + 1] AS tier
   FROM tiered
-), blocks AS (
-  SELECT block,
-    (COUNT(*) FILTER (WHERE eligible AND reached) + 1) / (COUNT(*) FILTER (WHERE eligible) + 2) AS exp_reached_all,
-    (COUNT(*) FILTER (WHERE eligible AND high) + 1) / (COUNT(*) FILTER (WHERE eligible) + 2) AS exp_high_all,
-    (COUNT(*) FILTER (WHERE eligible AND credited AND reached) + 1)
-      / (COUNT(*) FILTER (WHERE eligible AND credited) + 2) AS exp_reached,
-    (COUNT(*) FILTER (WHERE eligible AND credited AND high) + 1)
-      / (COUNT(*) FILTER (WHERE eligible AND credited) + 2) AS exp_high
-  FROM labelled GROUP BY block
+)
+"""
+_CELLS = " UNION ALL ".join(
+    f"""SELECT '{c.name}' AS fit, class_year, day_seq AS x, count(*) AS n, count(*) FILTER (WHERE {c.target}) AS k
+  FROM labelled WHERE eligible{" AND credited" if c.credited_only else ""} GROUP BY 2, 3"""
+    for c in CURVES
+)
+FACT_SQL = f"""{LABELLED_SQL}, class_cells AS ({_CELLS}
+), cells AS (
+  SELECT fit, x, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM class_cells GROUP BY 1, 2
+), {step_sql("cells", "steps")}, grid AS (
+  SELECT fit, x FROM (SELECT DISTINCT fit FROM cells), range(1, {LAST_DAY + 1}) t(x)
+), {between_sql("grid", "steps", "curve_points")}, published AS (
+  SELECT x AS day_seq, {", ".join(f"max(p) FILTER (WHERE fit = '{c.name}') AS {c.name}" for c in CURVES)}
+  FROM curve_points GROUP BY 1
 ), fact AS (
-  SELECT labelled.*, exp_reached_all, exp_high_all, exp_reached, exp_high,
+  SELECT labelled.*, {", ".join(c.name for c in CURVES)},
     CASE WHEN eligible AND credited THEN CAST(coalesce(reached, false) AS INTEGER) - exp_reached END AS reached_minus_exp,
     CASE WHEN eligible AND credited THEN CAST(coalesce(high, false) AS INTEGER) - exp_high END AS high_minus_exp
-  FROM labelled LEFT JOIN blocks USING (block)
+  FROM labelled LEFT JOIN published USING (day_seq)
 )
 """

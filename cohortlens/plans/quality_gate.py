@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.casts import is_true
 from cohortlens.functions.dates import step_by_period
 from cohortlens.operators import quality as Q
-from cohortlens.operators.expect import curve_rises, evaluate
+from cohortlens.operators.expect import curve_rises, evaluate, held_out_deciles, standard_curves
 from cohortlens.operators.profile import value_freq
 from cohortlens.operators.report import coverage, share_of_parent
 from cohortlens.session import cut_lineage
@@ -48,7 +48,8 @@ def row_checks() -> list[Q.Check]:
         Q.rule("debut_after_draft", "validity", early, "warn", "debut on or before the event date",
                (*WHO, "draft_start_date", "mlb_debut_date")),
         Q.share("college_d1_conference_share", c("conference").isNotNull(),
-                "% of college picks with a conference", among=c("school_type").isin(*COLLEGES)),
+                "% of college picks with a conference", among=c("school_type").isin(*COLLEGES),
+                within=[("four-year picks", c("school_type") == COLLEGES[0])]),
         Q.share("unknown_school_type_share", c("school_type") == "Unknown",
                 "% of picks without a school type", warn_above=5.0),
         Q.implication("no_signed_non_final", c("signed"), c("is_final_draft"),
@@ -102,6 +103,13 @@ def offending_rows(fact: DataFrame, curve: DataFrame, deciles: DataFrame) -> dic
         "unique_pick": (Q.key_offenders(fact, GRAIN).select(*WHO), GRAIN),
         "one_final_draft_per_person": (
             Q.final_offenders(fact, "person_id", "is_final_draft"), ["person_id"]),
+        "years_present": (Q.missing_periods(fact, "draft_year", *CLASS_YEARS), ["draft_year"]),
+        "bonus_coverage_rounds_1_10": (
+            Q.low_periods(
+                Q.coverage_by_period(fact, "draft_year", "bonus_usd", F.col("round_number").between(1, 10)), 90
+            ),
+            ["draft_year"],
+        ),
         "max_round_by_year": (
             Q.max_label_offenders(fact, "draft_year", "round_number", expected_rounds()), ["draft_year"]),
         "slot_curve_monotone": (curve_rises(curve, "pick_number", CURVES), ["curve", "pick_number"]),
@@ -121,8 +129,9 @@ def quality_report(fact: DataFrame, source: DataFrame, curve: DataFrame) -> dict
     The nineteen statuses are looked at first, so examples are only searched for the checks
     that did not pass.
     """
-    evaluation = evaluate(fact, GRAIN)
-    deciles = evaluation.deciles.filter(F.col("curve") == "exp_mlb_signed").drop("curve")
+    evaluation = evaluate(fact)
+    all_deciles = cut_lineage(held_out_deciles(fact, evaluation.held_out, standard_curves(), GRAIN))
+    deciles = all_deciles.filter(F.col("curve") == "exp_mlb_signed").drop("curve")
     results = cut_lineage(run_checks(fact, source, curve, deciles))
     open_checks = {r["name"] for r in results.select("name", "status").collect() if r["status"] != "pass"}
     examples = offending_rows(fact, curve, deciles)
@@ -136,7 +145,10 @@ def quality_report(fact: DataFrame, source: DataFrame, curve: DataFrame) -> dict
         "outcome_tier_mix_by_year": share_of_parent(
             tiered, ["draft_year"], ["outcome_tier_order", "outcome_tier"], "picks"),
         "slot_model": evaluation.report,
-        "slot_model_deciles": evaluation.deciles,
+        "slot_model_deciles": all_deciles.withColumns(
+            {c: F.round(c, 4) for c in ("expected", "observed")}
+        ),
+        "slot_model_at_picks": evaluation.at_positions(),
     }
 
 

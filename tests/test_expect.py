@@ -168,15 +168,71 @@ def test_left_out_classes_are_predicted_by_the_others(fact, spark):
 
 def test_evaluation_report(fact):
     specs = expect.standard_curves()[:1]
-    result = expect.evaluate(fact, ["draft_year", "pick_number"], specs)
+    result = expect.evaluate(fact, specs)
     report = {r["scored"]: r for r in result.report.collect()}
     n = fact.filter("outcome_eligible AND signed").count()
     assert set(report) == {"baseline", "in_sample", "leave_one_class_out"}
     assert report["in_sample"]["n"] == n
     assert report["in_sample"]["brier"] < report["baseline"]["brier"]
     assert report["in_sample"]["log_loss"] <= report["leave_one_class_out"]["log_loss"]
-    deciles = result.deciles.orderBy("decile").collect()
+    grain = ["draft_year", "pick_number"]
+    deciles = expect.held_out_deciles(fact, result.held_out, specs, grain).orderBy("decile").collect()
     assert [d["decile"] for d in deciles] == list(range(1, 11)) and sum(d["n"] for d in deciles) == n
     expected = [d["expected"] for d in deciles]
     assert expected == sorted(expected)
-    assert {r["position"] for r in result.at_positions.collect()} == {1, 10, 30, 100, 300}
+    assert {r["position"] for r in result.at_positions().collect()} == {1, 10, 30, 100, 300}
+
+
+def test_gradients_vanish_at_the_fits_and_nowhere_else(spark):
+    counts = _counts(spark, _draws())
+    cells = counts.withColumn("fit", F.lit("one"))
+    fits = expect.solve(cells, 400)
+    assert fits.first()["method"] == "logistic_spline"
+    at_fit = [abs(r["gradient"]) for r in expect.gradients(cells, fits).collect()]
+    assert len(at_fit) == 7 and max(at_fit) < 1e-6
+    moved = fits.withColumn("beta", F.transform("beta", lambda b: b + 0.01))
+    assert max(abs(r["gradient"]) for r in expect.gradients(cells, moved).collect()) > 0.1
+    assert expect.coefficients(fits).count() == 7
+
+
+def test_pooling_parts_first_gives_the_same_blocks():
+    rng = random.Random(8)
+    for _ in range(200):
+        cells = [(rng.randint(0, w), w, x, x) for x, w in enumerate(rng.randint(1, 6) for _ in range(rng.randint(1, 30)))]
+        cut = sorted(rng.sample(range(len(cells) + 1), 2)) if len(cells) > 1 else [0, 1]
+        parts = [cells[: cut[0]], cells[cut[0] : cut[1]], cells[cut[1] :]]
+        merged = expect.pooled([b for p in parts for b in expect.pooled(p)])
+        assert merged == expect.pooled(cells)
+        rates = [h / w for h, w, _, _ in merged]
+        assert rates == sorted(rates, reverse=True)
+
+
+def test_steps_between_positions_are_interpolated(spark):
+    cells = spark.createDataFrame([("a", 2, 4, 3), ("a", 4, 4, 1)], "fit string, x int, n int, k int")
+    fits = expect.solve(cells, 5, max_rise=expect.ALWAYS_STEPS)
+    curve = {r["x"]: r["p"] for r in expect.curve_points(fits, 5).collect()}
+    assert curve == {1: 0.75, 2: 0.75, 3: 0.5, 4: 0.25, 5: 0.25}
+    fit = expect.fit_many(cells, 5, max_rise=expect.ALWAYS_STEPS)["a"]
+    rows = fit.predict(expect.position_grid(cells, 5), "x", "p").collect()
+    assert {r["x"]: r["p"] for r in rows} == curve
+
+
+def test_a_fit_that_overshoots_still_converges(spark):
+    # nearly separable: full Newton steps from zero run away
+    cells = [(x, 1000, 1000 if x < 20 else 0) for x in range(1, 40)] + [(40, 1000, 1)]
+    counts = spark.createDataFrame([("one", *c) for c in cells], "fit string, x int, n int, k int")
+    fits = expect.solve(counts, 40, max_rise=expect.NEVER_STEPS)
+    assert max(abs(r["gradient"]) for r in expect.gradients(counts, fits).collect()) < 1e-4
+
+
+def test_bins_within_groups_of_any_size(spark):
+    from cohortlens.operators import spread
+
+    rng = random.Random(4)
+    rows = [(g, rng.random(), i) for i, g in enumerate(rng.choices(["a", "b", None, "c"], [60, 30, 9, 1], k=1000))]
+    df = spark.createDataFrame(rows, "g string, v double, i int").repartition(5)
+    got = spread.bins_within(df, ["g"], ["v", "i"], 10).collect()
+    for g in ("a", "b", None, "c"):
+        ranked = sorted((r["v"], r["i"], r["bin"]) for r in got if r["g"] == g)
+        want = [b + 1 for b, part in enumerate(np.array_split(np.arange(len(ranked)), 10)) for _ in part]
+        assert [b for _, _, b in ranked] == want
