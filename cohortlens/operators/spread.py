@@ -14,20 +14,34 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import cut_lineage
 
-HOT_KEYS = 100  # the largest keys are treated apart; any key above 1 % of the rows is among them
+HOT_KEYS = 1_000  # frequent keys that are treated apart, at most
+TRACKED = 50_000  # keys a frequency sketch holds; a key's count is off by less than 1 / 30,000 of the rows
+WINDOW = 100_000  # distinct values of a group that one window may sort
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], *, fraction: float = 0.01) -> DataFrame:
-    """The HOT_KEYS most frequent keys, judged on a sample.
+def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(``_hash``, ``_share``) of the most frequent keys: what part of all rows each one has.
 
-    The keys are fetched once, so both sides of a join treat the same ones apart whatever the
-    sample: it only decides how rows travel.
+    A mergeable sketch over all rows counts them in one scan of the key columns. The keys are fetched
+    once, so both sides of a join treat the same ones apart; they only decide how rows travel.
     """
-    seen = df.select(*on).sample(fraction=fraction, seed=1).groupBy(*on).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    top = seen.orderBy(F.col("_n").desc(), *on).limit(HOT_KEYS).drop("_n")
-    return df.sparkSession.createDataFrame(top.collect(), top.schema)  # HOT_KEYS rows at most
+    known = F.when(_known(on), _key_hash(on))
+    top = F.call_function("approx_top_k", known, F.lit(HOT_KEYS), F.lit(TRACKED))
+    seen = df.agg(top.alias("_top"), F.count(F.lit(1)).alias("_n")).first()
+    listed = [(t["item"], t["count"] / seen["_n"]) for t in seen["_top"] if t["item"] is not None]
+    return df.sparkSession.createDataFrame(listed, "_hash long, _share double")  # HOT_KEYS rows at most
+
+
+def _key_hash(on: Sequence[str]) -> Column:
+    """A key's hash, the same for equal whole numbers of different widths."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in on])
+
+
+def _known(on: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for c in on:
+        out = out & F.col(c).isNotNull()
+    return out
 
 
 def lookup_join(
@@ -44,27 +58,27 @@ def lookup_join(
 
     Rows of a key are dealt over ``salts`` tasks by a hash of ``spread`` (grain columns), or by
     the task they come from when there is no grain, and the lookup is repeated per salt. For a
-    lookup too large to repeat, ``hot`` (see ``hot_keys``) names the keys to treat so, each dealt
-    over as many tasks as a shuffle has; all other keys travel plainly. Null keys match nothing and are dealt out. A lookup that Spark measures
-    below its broadcast threshold is still broadcast.
+    lookup too large to repeat, ``hot`` (see ``hot_keys``) gives the frequent keys' shares: a key is
+    dealt over as many places as its share of all tasks, twice over, and its lookup row is repeated as
+    often; all other keys travel plainly. Null keys match nothing and are dealt out. A lookup that
+    Spark measures below its broadcast threshold is still broadcast.
     """
-    if salts is None:
-        shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salts = 16 if hot is None else max(16, shuffled)
-    salt = F.pmod(F.xxhash64(*spread) if spread else F.spark_partition_id(), F.lit(salts)).cast("int")
+    tasks = max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or 16
+    dealt_by = F.xxhash64(F.lit("salt"), *spread) if spread else F.spark_partition_id()
+    salt = F.pmod(dealt_by, F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     if hot is not None:
-        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # HOT_KEYS rows
-        rows, lookup = rows.join(marked, list(on), "left"), lookup.join(marked, list(on), "left")
-        missing = F.lit(False)
-        for c in on:
-            missing = missing | F.col(c).isNull()
-        salt = F.when(F.col("_hot") | missing, salt).otherwise(F.lit(0))
-        copies = F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0)))
+        places = hot.select("_hash", F.ceil(2 * F.col("_share") * tasks).cast("int").alias("_places"))
+        places = F.broadcast(places.filter("_places > 1"))  # HOT_KEYS rows
+        rows, lookup = (t.withColumn("_hash", _key_hash(on)).join(places, "_hash", "left") for t in (rows, lookup))
+        size = F.when(~_known(on), tasks).otherwise(F.coalesce("_places", F.lit(1)))
+        salt = F.pmod(dealt_by, size).cast("int")
+        copies = F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1)
     dealt = rows.withColumn("_salt", salt)
     repeated = lookup.withColumn("_salt", F.explode(copies))
     if hot is not None:
-        dealt, repeated = dealt.drop("_hot"), repeated.drop("_hot")
+        dealt, repeated = dealt.drop("_hash", "_places"), repeated.drop("_hash", "_places")
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
@@ -149,8 +163,9 @@ def exact_medians(
     """Exact median of ``x`` per group (and its row count), without gathering a group's values.
 
     A mergeable sketch gives each group a bracket that surely holds its middle values; exact
-    counts below the bracket plus the few distinct values inside it then give the true ranks.
-    The job fails if a bracket ever missed.
+    counts below the bracket plus the distinct values inside it then give the true ranks. Where a
+    group has more than ``WINDOW`` of those, they are range partitioned, and only the partitions
+    that hold its middle are looked at. The job fails if a bracket ever missed.
     """
     by = list(by)
     rows = df.filter(F.col(x).isNotNull()).select(
@@ -170,10 +185,17 @@ def exact_medians(
         .groupBy(*keys, "_n", "_in", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    running = W.partitionBy(*keys).orderBy("_in", "_v").rowsBetween(W.unboundedPreceding, 0)
-    upto = pieces.withColumn("_upto", F.sum("_c").over(running)).filter("_in")
+    pieces = cut_lineage(pieces)
     first_rank = F.floor((F.col("_n") + 1) / 2)
     second_rank = F.floor(F.col("_n") / 2) + 1
+    most = pieces.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > WINDOW:
+        pieces = _around_ranks(pieces, keys, first_rank, second_rank)
+        start, window = F.col("_start"), W.partitionBy(*keys, "_part")
+    else:
+        start, window = F.lit(0), W.partitionBy(*keys)
+    running = window.orderBy("_in", "_v").rowsBetween(W.unboundedPreceding, 0)
+    upto = pieces.withColumn("_upto", start + F.sum("_c").over(running)).filter("_in")
 
     def at(rank: Column) -> Column:
         return F.max(
@@ -189,6 +211,27 @@ def exact_medians(
     return middle.select(*by, value.otherwise((F.col("_a") + F.col("_z")) / 2).alias(out), *size)
 
 
+def _around_ranks(pieces: DataFrame, keys: list[str], first_rank: Column, last_rank: Column) -> DataFrame:
+    """Counted values of the range partitions in which a group's ranks lie, at most two a group, each
+    with the group's rows before it (``_start``)."""
+    order = [*keys, "_in", "_v"]
+    stored = cut_lineage(pieces.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = stored.withColumn("_part", F.spark_partition_id())
+    sizes = placed.groupBy(*keys, "_n", "_part").agg(F.sum("_c").alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_start") < rank) & (rank <= F.col("_start") + F.col("_size"))
+
+    wanted = starts.filter(holds(first_rank) | holds(last_rank))
+    wanted = wanted.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("_part").alias("_at"), "_start")
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return placed.join(wanted, same).drop("_at", *[f"_g_{k}" for k in keys])
+
+
 def _attach_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its group's bracket. The HOT_KEYS largest groups are broadcast, so their rows
     stay where they are; only the rows of smaller groups meet their bracket by key."""

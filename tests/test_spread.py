@@ -103,9 +103,12 @@ def test_lookup_join_keeps_every_row_once(df, spark):
 
 def test_hot_keys_only_are_salted_and_the_result_is_whole(df, spark):
     lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "g string, v int")
-    hot = spread.hot_keys(df, ["g"], fraction=1.0)
-    found = {r["g"] for r in hot.collect()}
-    assert "hot" in found and len(found) <= 100
+    hot = spread.hot_keys(df, ["g"])
+    shares = {r["_hash"]: r["_share"] for r in hot.collect()}
+    true = df.filter("g = 'hot'").count() / df.count()
+    key = df.filter("g = 'hot'").select(F.xxhash64("g")).first()[0]
+    assert max(shares, key=shares.get) == key and shares[key] == pytest.approx(true)
+    assert len(shares) == 7  # the null key is none
     for how, size in (("left", df.count()), ("inner", df.filter("g IN ('hot', 'a')").count())):
         got = spread.lookup_join(df, lookup, ["g"], spread=["id"], hot=hot, how=how)
         assert set(got.columns) == {*df.columns, "v"}
@@ -178,3 +181,62 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, df):
         )
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+def _sizes(spark, joined, tasks):
+    return [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+
+
+@pytest.mark.parametrize("case", ["150 equal keys", "nulls", "one key"])
+def test_no_task_gets_more_than_a_set_share(spark, case):
+    """With 64 tasks, no task holds more than a sixteenth of the rows, and every row is found once."""
+    n, tasks = 60_000, 64
+    key = {
+        "150 equal keys": F.when(F.col("id") % 10 < 9, F.col("id") % 150).otherwise(F.col("id") + 1000),
+        "nulls": F.when(F.col("id") % 10 >= 4, F.col("id") % 5000),
+        "one key": F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 1000),
+    }[case]
+    rows = spark.range(0, n, 1, 8).select("id", key.cast("int").alias("k"))
+    lookup = spark.range(0, 70_000, 1, 8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))  # long keys
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        joined = spread.lookup_join(rows, lookup, ["k"], spread=["id"], hot=spread.hot_keys(rows, ["k"]))
+        sizes = _sizes(spark, joined, tasks)
+        assert sum(sizes) == n and max(sizes) <= n / 16
+        assert joined.filter("NOT v <=> k * 2").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
+def test_medians_of_groups_whose_middle_is_large(spark, monkeypatch):
+    """Brackets of half the rows: the middle is found in range partitions, never in one window."""
+    monkeypatch.setattr(spread, "WINDOW", 50)
+    seen = []
+    around = spread._around_ranks
+
+    def spy(*args):
+        out = around(*args)
+        seen.append(out.groupBy(F.spark_partition_id(), "_part").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(spread, "_around_ranks", spy)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rng = random.Random(3)
+        rows = [(g, rng.random() if g != "ties" else float(rng.randint(0, 3)))
+                for g in rng.choices(["all", "few", "ties", None], [90, 1, 5, 4], k=9001)]
+        df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+        got = {r["g"]: r["median"] for r in spread.exact_medians(df, ["g"], "x", reach=0.25).collect()}
+        groups = {}
+        for g, x in rows:
+            groups.setdefault(g, []).append(x)
+        assert got == {g: statistics.median(v) for g, v in groups.items()}
+        assert seen and seen[0] < 1500  # of more than 4000 values in the bracket of the largest group
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
