@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Sequence
 
@@ -62,6 +63,26 @@ def fold_accents(s: pd.Series) -> pd.Series:
     return s.map(fold, na_action="ignore")
 
 
+@pandas_udf(StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """Short text with all character references decoded, named and numbered."""
+    return s.map(lambda v: html.unescape(v) if "&" in v else v, na_action="ignore")
+
+
+def acronyms(key: Column) -> Column:
+    """How a key may be abbreviated: the initials of its words but 'of' and 'and', and these without
+    the first 's'."""
+    lettered = F.filter(F.split(key, " "), lambda t: ~t.isin("of", "and", ""))
+    letters = F.array_join(F.transform(lettered, lambda t: F.substring(t, 1, 1)), "")
+    return F.array_distinct(F.array(letters, F.regexp_replace(letters, "^([^s]*)s", "$1")))
+
+
+def distinctive_words(key: Column) -> Column:
+    """Words of a key that are not generic."""
+    generic = F.array(*[F.lit(w) for w in GENERIC_WORDS])
+    return F.filter(F.array_except(F.split(key, " "), generic), lambda w: w != "")
+
+
 def first_match(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Label of the first pattern found in the text."""
     out = F
@@ -135,13 +156,8 @@ def names_consistent(key: Column, other_key: Column) -> Column:
     They share a distinctive word, or the first is the other's acronym, which may leave out
     the first 's' ('lsu', 'tcu').
     """
-    own, other = F.split(key, " "), F.split(other_key, " ")
-    generic = F.array(*[F.lit(w) for w in GENERIC_WORDS])
-    shared = F.size(F.array_intersect(F.array_except(own, generic), other)) > 0
-    lettered = F.filter(other, lambda t: ~t.isin("of", "and", ""))
-    acronym = F.array_join(F.transform(lettered, lambda t: F.substring(t, 1, 1)), "")
-    short = F.regexp_replace(acronym, "^([^s]*)s", "$1")
-    is_acronym = (F.length(key) >= 2) & ~key.contains(" ") & key.isin(acronym, short)
+    shared = F.size(F.array_intersect(distinctive_words(key), F.split(other_key, " "))) > 0
+    is_acronym = (F.length(key) >= 2) & ~key.contains(" ") & F.array_contains(acronyms(other_key), key)
     return F.coalesce((shared & (key != "") & (other_key != "")) | is_acronym, F.lit(False))
 
 

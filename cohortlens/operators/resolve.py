@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import text as T
 from cohortlens.functions.text import person_key, same_last_initial, token_sort_score
 from cohortlens.operators.spread import lookup_join, majority
 
@@ -148,3 +149,19 @@ def classify(
     label = label.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(F.lit("UNKNOWN"))
     name = name.when(F.col("_own").isNotNull(), F.lit(explicit_rule)).otherwise(F.lit("unknown"))
     return df.withColumns({out: label, rule: name}).drop("_own")
+
+
+def consistent_pairs(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
+    """Pairs (left, right) of distinct keys that could name the same place.
+
+    An inverted index of distinctive words and an index of acronyms propose the pairs, so keys that
+    share nothing never meet. Every pair is in the result once, however many words it shares.
+    """
+    asked = left.select(F.col(key).alias("left")).filter("left <> ''").distinct()
+    known = right.select(F.col(key).alias("right")).filter("right <> ''").distinct()
+    by_word = asked.select("left", F.explode(T.distinctive_words(F.col("left"))).alias("_clue"))
+    words = known.select("right", F.explode(F.array_distinct(F.split("right", " "))).alias("_clue"))
+    short = asked.filter((F.length("left") >= 2) & ~F.col("left").contains(" ")).withColumn("_clue", F.col("left"))
+    initials = known.select("right", F.explode(T.acronyms(F.col("right"))).alias("_clue"))
+    proposed = by_word.join(words, "_clue").unionByName(short.join(initials, "_clue"))
+    return proposed.select("left", "right").distinct()

@@ -9,6 +9,7 @@ from cohortlens.plans.catalog import (  # noqa: F401
     quality_queries,
     report_queries,
     resolve_queries,
+    sink_queries,
     staging_queries,
 )
 from cohortlens.plans.catalog.registry import ORACLES, QUERIES

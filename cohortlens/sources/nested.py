@@ -70,3 +70,18 @@ def read_json_documents(
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(list(paths) if not isinstance(paths, str) else paths)
+
+
+def with_parsed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds JSON text as structs and arrays, under the one schema that fits the documents of all rows.
+
+    The schema is a mergeable aggregate over the variants, so fields that only some documents have
+    are found wherever they are; a document that lacks one has null there. Text that is not JSON is
+    null.
+    """
+    variant = F.try_parse_json(F.col(text))
+    found = df.agg(F.schema_of_variant_agg(variant)).first()[0]
+    schema = found.replace("OBJECT<", "STRUCT<")
+    if not schema.startswith(("STRUCT<", "ARRAY<")):
+        raise ValueError(f"{text}: the documents are neither objects nor arrays, but {found}")
+    return df.withColumn(out, F.from_json(F.when(variant.isNotNull(), F.col(text)), schema))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.dates import first_date_of_range
-from cohortlens.functions.text import clean_cell, squeeze
+from cohortlens.functions.text import clean_cell, squeeze, unescaped
 
 ROW_FIELDS = (
     "table_no int, table_id string, row_no int, is_header boolean, "
@@ -215,7 +215,7 @@ def labelled_field(pages: DataFrame, label_pattern: str, out: str = "field") ->
     pattern = rf"(?s)<th[^>]*>\s*{label_pattern}\s*</th>\s*<td[^>]*>(.*?)</td>"
     raw = F.regexp_extract("html", pattern, 1)
     text = F.regexp_replace(raw, r"<[^>]+>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "&nbsp;|&#160;|\u00a0", " "), "&ndash;|&#8211;", "–")
+    text = F.translate(unescaped(text), "\u00a0", " ")
     return pages.withColumn(out, F.when(raw != "", squeeze(text)))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from cohortlens.session import cut_lineage
+
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None):
     """``name`` from a folder: Parquet if it is there, else CSV with a header.
@@ -55,6 +57,34 @@ def read_reference(
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in (casts or {}).items()})
 
 
+CORRUPT = "_corrupt"
+
+
+def read_checked_csv(
+    spark: SparkSession, path: str, schema: str, *, required: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """A typed CSV with a header as (accepted, rejected) rows.
+
+    A row is rejected when a cell cannot be read as its type, when it has too few or too many cells,
+    or when a ``required`` column is empty. Rejected rows keep their line (``_corrupt``, null for
+    readable rows) and the ``reason``. A file without a required column raises an error.
+    """
+    header = spark.read.option("header", True).csv(path)
+    require_columns(header, list(required), path)
+    declared = spark.createDataFrame([], schema).schema
+    marked = StructType([*declared.fields, StructField(CORRUPT, StringType())])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(marked)
+    # stored: whether a row is corrupt depends on which columns a scan reads
+    rows = cut_lineage(reader.option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", "").csv(path))
+    empty = F.lit(False)
+    for c in required:
+        empty = empty | F.col(c).isNull()
+    broken = F.col(CORRUPT).isNotNull()
+    reason = F.when(broken, "unreadable").when(empty, "required cell empty")
+    accepted = rows.filter(~broken & ~empty).drop(CORRUPT)
+    return accepted, rows.withColumn("reason", reason).filter(broken | empty)
+
+
 def require_columns(df: DataFrame, names: Sequence[str], source: str) -> DataFrame:
     """Fail before any job runs when a source lacks a column it must have."""
     missing = [n for n in names if n not in df.columns]
@@ -114,6 +144,15 @@ def write_parquet(
     writer.parquet(path)
 
 
+def replace_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str], sort: Sequence[str] = ()
+) -> None:
+    """Overwrites only those partitions of a Parquet table that ``df`` has rows of."""
+    ordered = df.repartitionByRange(*partition_by, *sort).sortWithinPartitions(*partition_by, *sort)
+    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[Column | str] = ()) -> None:
     """Overwrites a CSV export with a header; blanks, '' and null stay distinguishable."""
     if order:
