@@ -16,6 +16,7 @@ from cohortlens.session import cut_lineage
 
 HOT_KEYS = 1_000  # frequent keys that are treated apart, at most
 TRACKED = 50_000  # keys a frequency sketch holds; a key's count is off by less than 1 / 30,000 of the rows
+FEW_KEYS = 100_000  # repeated keys that are sent to every task
 WINDOW = 100_000  # distinct values of a group that one window may sort
 
 
@@ -144,9 +145,12 @@ def with_group_total(
 def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once.
 
-    Keys are counted on the map side, and the rows of a repeated key stay spread over tasks.
+    Keys are counted on the map side. Up to ``FEW_KEYS`` repeated keys go to the rows, which then stay
+    where they are; beyond that the rows of a repeated key are spread over tasks.
     """
-    repeated = df.groupBy(*keys).count().filter("count > 1").drop("count")
+    repeated = cut_lineage(df.groupBy(*keys).count().filter("count > 1").drop("count"))
+    if repeated.count() <= FEW_KEYS:
+        return df.join(F.broadcast(repeated), list(keys), "left_semi")
     return lookup_join(df, repeated, list(keys), how="left_semi", hot=hot_keys(df, keys))
 
 

@@ -166,7 +166,9 @@ def test_rise_over_running_min_in_blocks(spark, block):
         assert got[x] == pytest.approx(v - low)
 
 
-def test_duplicated_returns_every_member(spark, rows):
+@pytest.mark.parametrize("few", [0, 10])
+def test_duplicated_returns_every_member(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(spread, "FEW_KEYS", few)
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     assert sorted(rows(spread.duplicated(df, ["k"]))) == [(1, "a"), (1, "b")]
 
