@@ -211,7 +211,7 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     apart = rows - query
-    return np.sqrt(np.einsum("ij,ij->i", apart, apart))
+    return np.sqrt((apart * apart).sum(axis=1))
 
 
 def _calibrate(placed: DataFrame, tree: Tree, share: float, k: int) -> tuple[int, float]:
