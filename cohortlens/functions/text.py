@@ -52,17 +52,22 @@ KEY_AFFIXES = ("^university of ", "^college of ", " university$", " college$")
 
 
 @pandas_udf(StringType())
-def fold_accents(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks; Spark SQL has no such function."""
-
+def _folded(s: pd.Series) -> pd.Series:
     def fold(v):
-        if v is None or v.isascii():
-            return v
         return "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch))
 
     return s.map(fold, na_action="ignore")
 
 
+def fold_accents(c: Column) -> Column:
+    """Compatibility decomposition without combining marks; Spark SQL has no such function.
+
+    ASCII text, whose bytes are its characters, is its own folding and does not go to Python.
+    """
+    other = F.octet_length(c) > F.char_length(c)
+    return F.when(other, _folded(F.when(other, c))).otherwise(c)
+
+
 @pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     """Short text with all character references decoded, named and numbered."""
@@ -122,10 +127,9 @@ def state_tag(c: Column) -> Column:
 
 def person_key(c: Column) -> Column:
     """Name without accents, case, punctuation or generation suffixes; '' when missing."""
-    s = F.lower(fold_accents(F.coalesce(c, F.lit(""))))
-    s = F.regexp_replace(s, r"[.'’]", "")
-    s = F.regexp_replace(s, r"[^a-z0-9]+", " ")
-    return squeeze(F.regexp_replace(s, rf"\b({'|'.join(NAME_SUFFIXES)})\b", ""))
+    s = F.translate(F.lower(fold_accents(F.coalesce(c, F.lit("")))), ".'’", "")
+    words = F.split(F.regexp_replace(s, r"[^a-z0-9]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*NAME_SUFFIXES)), " ")
 
 
 def entity_key(c: Column) -> Column:
@@ -187,7 +191,7 @@ def subsequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def sorted_tokens(key: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(key, " ")), " ")
+    return F.array_join(F.sort_array(F.split(key, " ")), " ")
 
 
 def token_sort_score(key: Column, other_key: Column) -> Column:

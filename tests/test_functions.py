@@ -223,3 +223,20 @@ def test_score_against_a_quadratic_common_subsequence(spark):
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.subsequence_ratio("a", "b").alias("s"))
     for r in got.collect():
         assert r["s"] == pytest.approx(200 * lcs(r["a"], r["b"]) / (len(r["a"]) + len(r["b"])))
+
+
+def test_person_key_drops_whole_suffix_words_only(spark, rows):
+    cases = [
+        ("José  O'Neil Jr.", "jose oneil"), ("IV ii Vik v", "vik"), ("Jr", ""), (None, ""), ("", ""),
+        ("ﬁnn—Å.B. III", "finn ab"), ("Sr-Anna, Ivy", "anna ivy"),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string")
+    got = dict(rows(df.select("i", T.person_key(F.col("a")))))
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_folding_sends_no_ascii_text_to_python(spark, rows):
+    df = spark.createDataFrame([("plain",), ("Ünï",), (None,)], "a string")
+    assert sorted(rows(df.select(T.fold_accents(F.col("a")))), key=str) == [("Uni",), (None,), ("plain",)]
+    plan = df.select(T.fold_accents(F.col("a")))._jdf.queryExecution().toString()
+    assert "octet_length" in plan and "_folded(CASE WHEN" in plan
