@@ -237,6 +237,6 @@ def test_person_key_drops_whole_suffix_words_only(spark, rows):
 
 def test_folding_sends_no_ascii_text_to_python(spark, rows):
     df = spark.createDataFrame([("plain",), ("Ünï",), (None,)], "a string")
-    assert sorted(rows(df.select(T.fold_accents(F.col("a")))), key=str) == [("Uni",), (None,), ("plain",)]
+    assert {a for (a,) in rows(df.select(T.fold_accents(F.col("a"))))} == {"Uni", None, "plain"}
     plan = df.select(T.fold_accents(F.col("a")))._jdf.queryExecution().toString()
     assert "octet_length" in plan and "_folded(CASE WHEN" in plan
