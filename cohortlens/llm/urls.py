@@ -4,9 +4,12 @@ A url's tokens are its host's endings, the labels before the shortest one, and t
 and query. Where a listed rule decides a url, its verdict is a label: Spark's FP-growth finds the
 token combinations that are frequent among the labelled urls and imply one verdict; urls without a
 listed verdict say nothing for or against. Combinations below the support or the confidence are left
-out, and so is every rule that a shorter one with as much confidence makes needless. Rules are filed under their rarest token, so a url meets only the rules filed under its
-own tokens; of the rules whose tokens it all has, the most confident decides, and without one the
-url is allowed.
+out, and so is every rule that a shorter one with as much confidence makes needless. Two kinds of
+tokens need no combinations, which keeps long urls that many rows share from multiplying them: a token
+that only ever comes with one verdict is a rule of its own and makes every longer one with it needless,
+and tokens that lie in the same labelled urls stand for each other. Rules are filed under their rarest
+token, so a url meets only the rules filed under its own tokens; of the rules whose tokens it all has,
+the most confident decides, and without one the url is allowed.
 
 Null urls and urls without ``://`` have an empty host and path, no tokens, and are allowed. Repeated
 rows get the same verdict; among equally good rules the one with more tokens, then block, wins.
@@ -22,8 +25,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.spread import hot_keys, lookup_join
 from cohortlens.session import cut_lineage
 
+#: Rules and names of tokens up to which a list of them is sent to all executors.
+SENT_ROWS = 100_000
 SUPPORT = 0.002
 #: Urls that a combination must occur in at least; below, anything is frequent in a small table.
 LEAST_URLS = 25
@@ -103,36 +109,84 @@ def tokens(url: str = "url") -> Column:
     )
 
 
+def _sent(known: DataFrame) -> DataFrame:
+    return F.broadcast(known) if known.count() <= SENT_ROWS else known
+
+
+def token_counts(labelled: DataFrame, least: float) -> DataFrame:
+    """Tokens in at least ``least`` of the urls: ``freq``, the ``verdict`` that all their urls have or
+    null, and ``name``, the smallest token that lies in the same urls; stored.
+
+    Urls are told apart by the hash of their tokens and verdict, and equal sums over two such hashes
+    are taken for equal sets of urls. There are at most (tokens of a url / support) rows.
+    """
+    verdict = F.coalesce("verdict", F.lit("")).alias("verdict")
+    of_url = [F.xxhash64(F.lit(k), F.sort_array("tokens"), verdict).alias(f"h{k}") for k in range(2)]
+    seen = (
+        labelled.select(F.explode(F.array_distinct("tokens")).alias("token"), verdict, *of_url)
+        .groupBy("token")
+        .agg(
+            F.count(F.lit(1)).alias("freq"),
+            F.min("verdict").alias("low"),
+            F.max("verdict").alias("high"),
+            *[F.sum(F.col(f"h{k}").cast("decimal(20,0)")).alias(f"h{k}") for k in range(2)],
+        )
+        .where(F.col("freq") >= least)
+    )
+    named = seen.groupBy("freq", "h0", "h1").agg(F.min("token").alias("name"))
+    sure = (F.col("low") == F.col("high")) & (F.col("low") != "")
+    verdict = F.when(sure, F.col("low")).alias("verdict")
+    return cut_lineage(seen.join(named, ["freq", "h0", "h1"]).select("token", "freq", verdict, "name"))
+
+
+def renamed(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` (``key``, ``tokens``) with the distinct names of those tokens that ``names`` has."""
+    told = rows.select(key, F.explode("tokens").alias("token")).join(_sent(names.select("token", "name")), "token")
+    return told.groupBy(key).agg(F.collect_set("name").alias("tokens"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support, key) from ``tokens`` and ``verdict`` (or null)."""
+    return _mined(labelled, support, confidence)[0]
+
+
+def _mined(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """The rules over names of tokens, and the tokens with their names (see ``token_counts``)."""
     spark = labelled.sparkSession
-    shape = "tokens array<string>, verdict string, confidence double, support double, key string"
     if labelled.where(F.col("verdict").isNotNull()).isEmpty():
-        return spark.createDataFrame([], shape)
+        shape = "tokens array<string>, verdict string, confidence double, support double, key string"
+        return spark.createDataFrame([], shape), spark.createDataFrame([], "token string, name string")
+    n = labelled.count()
+    support = min(1.0, max(support, LEAST_URLS / n))
+    counts = token_counts(labelled, support * n)
+    mixed = counts.where("verdict IS NULL")
+    rows = cut_lineage(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict"))
     baskets = cut_lineage(
-        labelled.select(
+        rows.join(renamed(rows, mixed, "row").withColumnRenamed("tokens", "names"), "row", "left").select(
             F.filter(
-                F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))),
+                F.concat(
+                    F.coalesce("names", F.array().cast("array<string>")),
+                    F.array(F.concat(F.lit("="), F.col("verdict"))),
+                ),
                 lambda t: t.isNotNull(),
             ).alias("items")
         )
     )
-    support = min(1.0, max(support, LEAST_URLS / baskets.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     implied = F.col("consequent")[0]
-    found = cut_lineage(
-        model.associationRules.where(
-            implied.startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("="))
-        ).select(
-            F.array_sort("antecedent").alias("tokens"),
-            F.substring(implied, 2, 100).alias("verdict"),
-            "confidence",
-            "support",
-        )
+    combined = model.associationRules.where(
+        implied.startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("="))
+    ).select(
+        F.array_sort("antecedent").alias("tokens"),
+        F.substring(implied, 2, 100).alias("verdict"),
+        "confidence",
+        "support",
     )
-    frequent = model.freqItemsets.where(F.size("items") == 1).select(
-        F.col("items")[0].alias("token"), F.col("freq")
+    plain = counts.where("verdict IS NOT NULL AND token = name").select(
+        F.array("token").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), (F.col("freq") / n).alias("support")
     )
+    found = cut_lineage(combined.unionByName(plain))
+    frequent = counts.select("token", "freq")
     filed = (
         found.withColumn("token", F.explode("tokens"))
         .join(frequent, "token")
@@ -158,7 +212,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         .select("tokens", "verdict")
         .distinct()
     )
-    return cut_lineage(filed.join(needless, ["tokens", "verdict"], "left_anti"))
+    return cut_lineage(filed.join(needless, ["tokens", "verdict"], "left_anti")), counts
 
 
 def judge(
@@ -173,7 +227,7 @@ def judge(
         {"rule": name, "listed": verdict}
     )
     urls = rows.groupBy("url", "host", "path", "listed").agg(F.count(F.lit(1)).alias("rows"))
-    mined = mine(
+    mined, names = _mined(
         rows.where((F.col("host") != "") & F.col("listed").isNotNull()).select(
             tokens().alias("tokens"), F.col("listed").alias("verdict")
         ),
@@ -186,11 +240,11 @@ def judge(
         F.col("verdict").alias("implied"),
         "confidence",
     )
+    unlisted = urls.where(F.col("listed").isNull() & (F.col("host") != "")).select("url", tokens().alias("tokens"))
     decided = (
-        urls.where(F.col("listed").isNull() & (F.col("host") != ""))
-        .select("url", tokens().alias("tokens"))
+        renamed(unlisted, names, "url")
         .withColumn("token", F.explode("tokens"))
-        .join(filed, "token")
+        .join(_sent(filed), "token")
         .where(F.size(F.array_except("needed", "tokens")) == 0)
         .groupBy("url")
         .agg(
@@ -198,7 +252,8 @@ def judge(
         )
         .select("url", F.col("best.implied").alias("implied"), F.col("best.needed").alias("needed"))
     )
-    return rows.join(decided, "url", "left").select(
+    told = lookup_join(rows, decided, ["url"], spread=["page_id"], hot=hot_keys(rows, ["url"]))
+    return told.select(
         "page_id",
         "host",
         "path",

@@ -107,3 +107,29 @@ def test_unlisted_urls_do_not_count_against_a_rule(spark):
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, SHAPE), rules).collect()}
     assert {(got[i]["verdict"], got[i]["mined_rule"]) for i in range(200, 500)} == {("block", "query:win")}
     assert {got[i]["verdict"] for i in [*range(100, 160), *range(600, 700)]} == {"allow"}
+
+
+def test_long_urls_that_many_rows_share_end_soon(spark):
+    """Their pieces come with both verdicts, so none of them decides; the hosts do."""
+    rules = (urls.Rule("block", "bad.org", "/"), urls.Rule("allow", "good.org", "/"))
+    path = "/".join(f"piece{i}" for i in range(40))
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.org/{path}", None, None) for i in range(80)]
+    rows += [(100, f"http://other.net/{path}", None, None), (101, "http://x.net/?u=1", None, None)]
+    rows += [(200 + i, "http://other.net/" + path * 50, None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, SHAPE)
+    labelled = urls.with_parts(df.where("page_id < 80")).withColumn("verdict", urls.listed_rule(rules)[1])
+    labelled = labelled.select(urls.tokens().alias("tokens"), "verdict")
+    mined = {(tuple(r["tokens"]), r["verdict"]) for r in urls.mine(labelled, 0.1, 0.8).collect()}
+    assert mined == {(("under:bad.org",), "block"), (("under:good.org",), "allow")}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, rules, 0.1, 0.8).collect()}
+    assert len(got) == len(rows) and got[1] == "block" and got[0] == got[100] == got[101] == got[229] == "allow"
+
+
+def test_tokens_of_the_same_urls_stand_for_each_other(spark):
+    rules = (urls.Rule("block", "bad.org", "/"), urls.Rule("allow", "good.org", "/"))
+    rows = [(i, f"http://{'bad' if i < 45 else 'good'}.org/?aa&zz&n{i % 3}", None, None) for i in range(50)]
+    rows += [(100 + i, f"http://good.org/{i}?n{i % 3}", None, None) for i in range(50)]
+    rows += [(200, "http://h.net/?zz", None, None), (201, "http://h.net/?n1", None, None)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, SHAPE), rules, 0.1, 0.85).collect()}
+    assert (got[200]["verdict"], got[200]["mined_rule"]) == ("block", "query:aa")
+    assert got[201]["verdict"] == "allow"
