@@ -2,12 +2,15 @@
 
 Four shape figures of a text are transformed to be comparable between short and long texts. For each
 (language, source) the minimum covariance determinant estimate of their centre and spread is found:
-starting from medians and quartile ranges, concentration steps keep the three quarters of all
-documents that lie nearest and estimate again from them. A document is rejected when its squared
+starting from the median and from both quartiles, with quartile ranges as spread, concentration steps
+keep the three quarters of all documents that lie nearest and estimate again from them, until no
+determinant falls any more; the start that ends at the least determinant is taken. A document is rejected when its squared
 Mahalanobis distance passes the chi-square limit. Groups below ``GROUP_ROWS`` documents are pooled
 by language, then all together; if even the pool is that small, nothing is rejected by distance.
 
-All steps are group-wise sums and mergeable quantiles, so a group of any size is never gathered.
+All steps are group-wise sums and mergeable quantiles, and estimates are sent to the documents (or, if
+there are more than ``SENT_GROUPS``, those of hot groups are repeated), so a group of any size is never
+gathered.
 
 Null and empty texts have no words and fail the fixed limits; null languages and sources are groups
 of their own. Repeated rows count each time; ties at the concentration limit are all kept; extra
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import long, map_texts
+from cohortlens.operators.spread import hot_keys, lookup_join
 from cohortlens.session import cut_lineage
 
 LEAST_WORDS = 20
@@ -33,7 +37,13 @@ WINDOW = 8
 
 GROUP_ROWS = 200
 KEPT_SHARE = 0.75
-STEPS = 3
+#: Concentration steps at most, and the share by which a determinant must fall for another one.
+STEPS = 10
+FALL = 1e-3
+#: Starting places of a group's estimate: these of its three quartiles.
+STARTS = 3
+#: Estimates up to which they are sent to all executors.
+SENT_GROUPS = 50_000
 #: Spread that every figure has at least, so that a figure that is nearly constant in a group does
 #: not make small differences look large.
 FLOOR = (0.06, 0.35, 0.25, 0.06)
@@ -158,7 +168,15 @@ def _distance() -> Column:
     return total
 
 
+def _met(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with what is known of their group; the rows of a group do not meet in one task."""
+    if known.count() <= SENT_GROUPS * STARTS:
+        return rows.join(F.broadcast(known), "group", how)
+    return lookup_join(rows, known, ["group"], hot=hot_keys(rows, ["group"]), how=how)
+
+
 def _start(rows: DataFrame) -> DataFrame:
+    """Per group and ``start`` a centre, an inverse spread and no determinant yet."""
     quartiles = [
         F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)
     ]
@@ -168,12 +186,15 @@ def _start(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("group")
         .agg(*quartiles)
+        .withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
         .select(
             "group",
-            F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("centre"),
+            "start",
+            F.array(*[F.get(f"q{i}", "start") for i in range(P)]).alias("centre"),
             F.array(
                 *[1 / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
             ).alias("inverse"),
+            F.lit(float("inf")).alias("determinant"),
         )
     )
 
@@ -184,31 +205,47 @@ def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     correction = KEPT_SHARE / 0.5248
     for frame in frames:
         out = []
-        for group, n, sums, squares in frame.itertuples(index=False):
+        for group, start, n, sums, squares in frame.itertuples(index=False):
             centre = np.array(sums) / n
             spread = np.array(squares).reshape(P, P) / n - np.outer(centre, centre)
             spread = correction * spread + np.diag(np.square(FLOOR))
-            out.append((group, centre, np.linalg.inv(spread).ravel()))
-        yield pd.DataFrame(out, columns=["group", "centre", "inverse"])
+            out.append((group, start, centre, np.linalg.inv(spread).ravel(), np.linalg.det(spread)))
+        yield pd.DataFrame(out, columns=["group", "start", "centre", "inverse", "determinant"])
 
 
 def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The estimate from the rows of each group that lie nearest under ``estimate``."""
-    distance = rows.join(estimate, "group").withColumn("d", _distance())
-    limits = distance.groupBy("group").agg(F.percentile_approx("d", KEPT_SHARE, 1000).alias("limit"))
-    near = (
-        rows.join(estimate.join(limits, "group"), "group")
+    """The estimates from the rows of each group that lie nearest under ``estimate``."""
+    by = ["group", "start"]
+    limits = (
+        _met(rows, estimate)
         .withColumn("d", _distance())
-        .where("d <= limit")
+        .groupBy(*by)
+        .agg(F.percentile_approx("d", KEPT_SHARE, 1000).alias("limit"))
     )
-    sums = near.groupBy("group").agg(
+    near = _met(rows, cut_lineage(estimate.join(limits, by))).withColumn("d", _distance()).where("d <= limit")
+    sums = near.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(f"x{i}") for i in range(P)]).alias("sums"),
         F.array(
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(P) for j in range(P)]
         ).alias("squares"),
     )
-    return sums.mapInPandas(_inverted, "group string, centre array<double>, inverse array<double>")
+    shape = "group string, start int, centre array<double>, inverse array<double>, determinant double"
+    return sums.mapInPandas(_inverted, shape)
+
+
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """Per group the ``centre`` and ``inverse`` spread of the least determinant found; stored."""
+    estimate = cut_lineage(_start(rows))
+    for _ in range(STEPS):
+        after = cut_lineage(_concentrated(rows, estimate))
+        before = estimate.select("group", "start", F.col("determinant").alias("was"))
+        falls = after.join(before, ["group", "start"]).where(F.col("determinant") < (1 - FALL) * F.col("was"))
+        estimate = after
+        if falls.isEmpty():
+            break
+    best = F.min(F.struct("determinant", "start", "centre", "inverse"))
+    return cut_lineage(estimate.groupBy("group").agg(best.alias("b")).select("group", "b.centre", "b.inverse"))
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -221,12 +258,9 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     # Texts that fail the fixed limits are judged, too, but do not shape the estimates.
     usual = rows.where(~F.col("base_failed")).select("group", *[f"x{i}" for i in range(P)])
     sizes = usual.groupBy("group").agg(F.count(F.lit(1)).alias("rows_in_group"))
-    estimate = cut_lineage(_start(usual))
-    for _ in range(STEPS):
-        estimate = cut_lineage(_concentrated(usual, estimate))
-    usable = estimate.join(sizes.where(F.col("rows_in_group") >= GROUP_ROWS // 2), "group")
+    usable = least_determinant(usual).join(sizes.where(F.col("rows_in_group") >= GROUP_ROWS // 2), "group")
 
-    distance = rows.join(usable, "group", "left").withColumn("distance", _distance())
+    distance = _met(rows, cut_lineage(usable), "left").withColumn("distance", _distance())
     return distance.select(
         *keep,
         "n_words",

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -68,3 +69,19 @@ def test_small_tables_are_judged_by_the_limits_alone(spark):
     assert len(rows) == docs.count()
     assert all(r["kept"] == (not r["base_failed"]) for r in rows)
     assert quality.judge(samples.empty(spark)).count() == 0
+
+
+def test_least_determinant_is_that_of_all_subsets(spark):
+    """Groups of 12 rows, three of them away: 9 rows are kept, and all 220 ways are tried."""
+    rng = np.random.default_rng(5)
+    groups = {f"g{k}": np.concatenate([rng.normal(0, 1, (9, quality.P)), rng.normal(6, 1, (3, quality.P))]) for k in range(6)}
+    rows = [(g, *map(float, x)) for g, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "group string, " + ", ".join(f"x{i} double" for i in range(quality.P)))
+    got = {r["group"]: np.array(r["centre"]) for r in quality.least_determinant(df).collect()}
+
+    def determinant(xs):
+        return np.linalg.det(0.75 / 0.5248 * np.cov(xs.T, bias=True) + np.diag(np.square(quality.FLOOR)))
+
+    for g, xs in groups.items():
+        best = min((xs[list(s)] for s in itertools.combinations(range(12), 9)), key=determinant)
+        assert np.allclose(got[g], best.mean(axis=0))
