@@ -38,8 +38,8 @@ WINDOW = 8
 GROUP_ROWS = 200
 KEPT_SHARE = 0.75
 #: Concentration steps at most, and the share by which a determinant must fall for another one.
-STEPS = 10
-FALL = 1e-3
+STEPS = 5
+FALL = 0.01
 #: Starting places of a group's estimate: these of its three quartiles.
 STARTS = 3
 #: Estimates up to which they are sent to all executors.
@@ -168,9 +168,12 @@ def _distance() -> Column:
     return total
 
 
-def _met(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with what is known of their group; the rows of a group do not meet in one task."""
-    if known.count() <= SENT_GROUPS * STARTS:
+def _met(rows: DataFrame, known: DataFrame, how: str = "inner", few: bool | None = None) -> DataFrame:
+    """``rows`` with what is known of their group; the rows of a group do not meet in one task.
+
+    ``few`` says whether the list is short enough to be sent; without it, it is counted.
+    """
+    if known.count() <= SENT_GROUPS * STARTS if few is None else few:
         return rows.join(F.broadcast(known), "group", how)
     return lookup_join(rows, known, ["group"], hot=hot_keys(rows, ["group"]), how=how)
 
@@ -213,16 +216,16 @@ def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["group", "start", "centre", "inverse", "determinant"])
 
 
-def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _concentrated(rows: DataFrame, estimate: DataFrame, few: bool | None = None) -> DataFrame:
     """The estimates from the rows of each group that lie nearest under ``estimate``."""
     by = ["group", "start"]
     limits = (
-        _met(rows, estimate)
+        _met(rows, estimate, few=few)
         .withColumn("d", _distance())
         .groupBy(*by)
         .agg(F.percentile_approx("d", KEPT_SHARE, 1000).alias("limit"))
     )
-    near = _met(rows, cut_lineage(estimate.join(limits, by))).withColumn("d", _distance()).where("d <= limit")
+    near = _met(rows, cut_lineage(estimate.join(limits, by)), few=few).withColumn("d", _distance()).where("d <= limit")
     sums = near.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(f"x{i}") for i in range(P)]).alias("sums"),
@@ -237,8 +240,9 @@ def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def least_determinant(rows: DataFrame) -> DataFrame:
     """Per group the ``centre`` and ``inverse`` spread of the least determinant found; stored."""
     estimate = cut_lineage(_start(rows))
+    few = estimate.count() <= SENT_GROUPS * STARTS
     for _ in range(STEPS):
-        after = cut_lineage(_concentrated(rows, estimate))
+        after = cut_lineage(_concentrated(rows, estimate, few))
         before = estimate.select("group", "start", F.col("determinant").alias("was"))
         falls = after.join(before, ["group", "start"]).where(F.col("determinant") < (1 - FALL) * F.col("was"))
         estimate = after
