@@ -20,7 +20,12 @@ def _fixed(x: Column, digits: int) -> Column:
 
 def pct(x: Column) -> Column:
     """0.29 -> '29.0%'."""
-    return _or_dash(x, F.concat(_fixed(100 * x, 1), F.lit("%")))
+    return percent(100 * x)
+
+
+def percent(x: Column) -> Column:
+    """29.0 -> '29.0%'."""
+    return one_decimal(x, "%")
 
 
 def pct_short(x: Column) -> Column:
