@@ -160,3 +160,27 @@ def test_no_pair_that_would_be_confirmed_is_ruled_out():
             found += 1
             assert kept
     assert found > 30 and possible.mean() < 0.9
+
+
+def test_every_document_counts_in_the_fit(spark):
+    """More documents than a sample would hold, long ones cut at passages, and one word of its own each."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in "bdfgklmn" for b in "aeiou"]
+    docs = [(i, f"own{i} " + samples.words(rng, rng.choice([0, 5, 40, 70]), vocabulary)) for i in range(2600)]
+    docs += [(3000, None), (3001, ""), (3002, samples.words(rng, 3 * d.FIT_WORDS, vocabulary))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    frequency, texts = d._document_frequencies(frame)
+    idf = d._weights(frequency, texts)
+    total, n = d._multiplied(frame, idf)
+    want, rows = np.zeros((d.SLOTS, d.PROBES)), 0
+    probes = d._random(d.PROBES).astype(np.float64)
+    for ids in d.word_slots([(t or "").encode() for _, t in docs]):
+        for at in range(0, len(ids), d.PASSAGE):
+            slots, counts = np.unique(ids[at : at + d.PASSAGE], return_counts=True)
+            weight = counts * idf[slots].astype(np.float64)
+            weight /= np.linalg.norm(weight)
+            want[slots] += weight[:, None] * (weight @ probes[slots])
+            rows += 1
+    assert n == rows and np.allclose(total, want, rtol=1e-3, atol=0.05)
+    factor = d.document_factor(frame, idf)
+    assert factor.shape[0] == d.SLOTS and np.linalg.norm(factor @ (factor.T @ probes) - want / rows) < 0.05 * np.linalg.norm(want / rows)
