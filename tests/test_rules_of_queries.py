@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from cohortlens import session
+from cohortlens.operators import expect
 from cohortlens.plans import orders
 
 
@@ -70,3 +71,15 @@ def test_order_rows_travel_once_for_flag_and_lines(spark, tmp_path):
     shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
     # customers (2), orders and latest by order, latest by entity, lines by order; places (4)
     assert len(shuffles) <= 10 and not any("order_date" in s for s in shuffles)
+
+
+def test_few_held_out_predictions_are_sent_to_the_rows(spark, monkeypatch):
+    def shuffled(*_, **__):
+        raise AssertionError("the rows were shuffled to a few predictions")
+
+    monkeypatch.setattr(expect, "lookup_join", shuffled)
+    rows = [(i, 1995 + i % 2, 1 + i % 4, True, True, i % 3 == 0, False) for i in range(40)]
+    facts = spark.createDataFrame(rows, "order_key long, class_year int, day_seq int, eligible boolean, credited boolean, reached boolean, high boolean")
+    held_out = facts.select(F.lit("one").alias("curve"), "class_year", "day_seq", F.lit(0.5).alias("pred")).distinct()
+    deciles = expect.held_out_deciles(facts, held_out, [expect.CurveSpec("one", "reached", True)], ["order_key"], orders.COLUMNS)
+    assert [r["n"] for r in deciles.collect()] == [4] * 10
