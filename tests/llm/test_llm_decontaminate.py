@@ -184,3 +184,38 @@ def test_every_document_counts_in_the_fit(spark):
     assert n == rows and np.allclose(total, want, rtol=1e-3, atol=0.05)
     factor = d.document_factor(frame, idf)
     assert factor.shape[0] == d.SLOTS and np.linalg.norm(factor @ (factor.T @ probes) - want / rows) < 0.05 * np.linalg.norm(want / rows)
+
+
+def test_only_passages_with_enough_of_an_items_words_are_projected():
+    """The pairs are those that the rarer words leave of all, whatever text stands beside them."""
+    rng = random.Random(21)
+    vocabulary = ["the", "of", "and"] * 8 + [f"w{i}" for i in range(90)]
+    items = [d.read_item(i, samples.words(rng, n, vocabulary)) for i, n in enumerate([1, 2, 5, 7, 16, 33, 60] * 4)]
+    texts = [samples.words(rng, n, vocabulary) for n in (0, 1, 15, 16, 17, 32, 33, 48, 300, 0)]
+    texts += [f"{rng.choice(texts[2:])} {' '.join(w.decode() for w in items[i].words)}" for i in range(20)]
+    slots = d.word_slots([t.encode() for t in texts])
+    idf = np.ones(d.SLOTS, dtype=np.float32)
+    rare = d.Rare(d._item_slots(items), idf)
+    projected = d._filled(np.random.default_rng(4).standard_normal((d.SLOTS, 8)).astype(np.float32))
+    targets = np.array([projected[s].sum(0) / np.linalg.norm(projected[s].sum(0)) for s in d._item_slots(items)])
+
+    want = {}
+    for k, s in enumerate(slots):
+        held, numbers = rare.halves(s)
+        for at in d.passage_starts(len(s)) if len(s) else ():
+            row = projected[s[at : at + d.PASSAGE]].sum(0)
+            cosines = targets @ row / np.linalg.norm(row)
+            ends = [np.full(len(items), v) for v in (at // d.STEP, 0, -(-len(s) // d.STEP))]
+            possible = rare.possible([(held, numbers)], *ends, np.arange(len(items)))
+            for i, item in enumerate(d._item_slots(items)):
+                n = min(len(item), d.GRAM)
+                grams = {tuple(item[j : j + n]) for j in range(len(item) - n + 1)}
+                # The last passage has the words in a row that begin in its second half, too.
+                till = len(s) if at == d.passage_starts(len(s))[-1] else at + d.STEP
+                shared = any(tuple(s[j : j + n]) in grams for j in range(at, min(till, len(s) - n + 1)))
+                if possible[i] and (cosines[i] >= d.COSINE or shared):
+                    want[k, at, i] = cosines[i]
+    got = list(zip(*(v.tolist() for v in d._candidates(slots, projected, targets, d.Grams(d._item_slots(items)), rare)), strict=True))
+    assert want and {g[:3] for g in got} == want.keys() and len(got) == len(want)
+    assert all(abs(want[k, at, i] - cosine) < 1e-4 for k, at, i, cosine in got)
+    assert got == sorted(got, key=lambda g: g[:3])
