@@ -4,6 +4,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import samples
 from pyspark.sql import functions as F
@@ -94,6 +95,59 @@ def test_pieces_of_a_text_have_the_ids_of_the_whole(models):
         assert b == models.b.encode(text), repr(text)
 
 
+WHITES = ["\u200b", "\u180e", "\u2028", "\x85", "\x1c", "\xa0", "\u3000", "\u200c"]
+ODD = [f"{x}{w}{y}" for w in WHITES for x in ("a", "a ", "") for y in ("b c", " b", "")]
+
+
+def test_texts_cut_by_columns_are_the_pieces_of_each(models):
+    made = ["", *texts(1500), *ODD]
+    pieces, counts = models.cut(pa.array(made))
+    assert counts.tolist() == [len(models.pieces_of(t)) if t else 0 for t in made]
+    assert pieces.to_pylist() == [p for t in made if t for p in models.pieces_of(t)]
+
+
+def test_pieces_have_the_same_ids_alone_and_together(models):
+    made = [t for t in [*texts(1500), *ODD] if t]
+    for text in made:
+        a, b = zip(*(models.ids([p]) for p in models.pieces_of(text)), strict=True)
+        assert sum(a, []) == models.a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert sum(b, []) == models.b.encode(text), repr(text)
+    pieces = list({p: None for t in made for p in models.pieces_of(t) if p[-1] not in " \n\t"})
+    random.Random(1).shuffle(pieces)
+    a, b = zip(*(models.ids([p]) for p in pieces), strict=True)
+    assert models.ids(pieces) == (sum(a, []), sum(b, []))
+
+
+def test_pieces_with_line_breaks_share_a_text(models, monkeypatch):
+    pieces = [f"end{i}.\nThen" for i in range(alignment.TOGETHER)]
+    alone = [models.ids([p]) for p in pieces]
+    given, real = [], models.b
+
+    class Counted:
+        def encode(self, texts, **more):
+            given.extend(texts)
+            return real.encode(texts, **more)
+
+    monkeypatch.setattr(models, "b", Counted())
+    assert models.ids(pieces) == tuple(sum(side, []) for side in zip(*alone, strict=True))
+    assert len(given) == 1
+
+
+def test_new_pieces_are_aligned_together(models, monkeypatch):
+    calls, real = [], alignment.align_windows
+    monkeypatch.setattr(alignment, "align_windows", lambda *x: calls.append(1) or real(*x))
+    windows = alignment.Windows(models)
+    windows.of_texts([f"one{i} two{i}  three{i}.\n four{i}" for i in range(200)])
+    assert len(calls) <= 2
+
+
+def test_groups_of_empty_and_unspelled_texts(spark):
+    docs = spark.createDataFrame([(0, ""), (1, "the ▁ end"), (2, None), (3, "the end")], "doc_id long, text string")
+    for rows in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).coalesce(1)):
+        got = {r["doc_id"]: len(r["groups"]) for r in alignment.groups(rows, BYTE_LEVEL, PIECE_MODEL).collect()}
+        assert got[0] == got[1] == got[2] == 0 < got[3]
+
+
 def test_every_column_equals_brute_force(spark, models):
     rows = list(enumerate([None, *texts(150)]))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
